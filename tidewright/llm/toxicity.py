@@ -1,7 +1,7 @@
 """Toxicity: a character n-gram linear classifier whose features are scaled by naive Bayes log-count ratios.
 
 A document's features are the character n-grams (of its UTF-8 bytes, A-Z in lower
-case, white space as one blank each) that occur in it at all, 3 to 6 bytes long. Each selected n-gram j has the log-count
+case, white space as one blank each) that occur in it at all, 3 to 8 bytes long. Each selected n-gram j has the log-count
 ratio r_j = log((p_j / |p|) / (q_j / |q|)) of its smoothed document counts in the two classes; a logistic
 regression is fitted on the features scaled by r_j. Scoring is one pass over the bytes of every whole text:
 rolling hashes, a bit per bucket to reject nearly all positions, then an exact look-up of the 64-bit hash.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidewright.llm import _common as C
 
-ORDERS = (3, 4, 5, 6)
+ORDERS = (3, 4, 5, 6, 7, 8)
 BUCKET_BITS = 22
 _K = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BYTE = C.random_u64(256, 17)
@@ -73,7 +73,7 @@ def _doc_hashes(text: str) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", *, rows_per_class: tuple[int, int] = (5000, 2500), max_chars: int = 20_000, n_features: int = 4096, l2: float = 0.3, order: str = "doc_id") -> ToxicityModel:
+def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", *, rows_per_class: tuple[int, int] = (4000, 2000), max_chars: int = 20_000, n_features: int = 4096, l2: float = 0.03, order: str = "doc_id") -> ToxicityModel:
     """Fits on a bounded sample of labelled rows, on the driver.
 
     rows_per_class: the most rows of label 0 and of label 1; the rows with the smallest hash of `order` are taken.
@@ -88,7 +88,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", *, rows_p
     return fit_local(rows, np.array(labels, np.int8), n_features=n_features, l2=l2)
 
 
-def fit_local(texts: list[str], y: np.ndarray, *, n_features: int = 4096, l2: float = 0.3, least: int = 3) -> ToxicityModel:
+def fit_local(texts: list[str], y: np.ndarray, *, n_features: int = 4096, l2: float = 0.03, least: int = 3) -> ToxicityModel:
     none = np.zeros(0)
     if len(texts) == 0 or y.min() == y.max():
         share = float(y.mean()) if len(texts) else 0.0
