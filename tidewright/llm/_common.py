@@ -11,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +76,19 @@ def drop_table(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def with_row(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """docs with a column that tells every row from all others, the same each time the table is read.
+
+    It is the place of the row in its Parquet file; a DataFrame that isn't a plain scan of files is written first.
+    """
+    try:
+        at = docs.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias(name))
+        at.schema  # resolves the hidden columns
+        return at
+    except AnalysisException:
+        return with_row(as_table(docs, "rows"), name)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

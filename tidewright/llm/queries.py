@@ -23,6 +23,25 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", C.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.llm import mixing
+
+    return mixing.mix(C.read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.llm import packing
+
+    return packing.pack(C.read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")).drop("ids")
+
+
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.llm import exact_dedup
+
+    marks = exact_dedup.dedup(C.read(spark, sf_dir, "documents"), exact_dedup.half("doc_id"))
+    return marks.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewright.llm import token_counts
 
@@ -31,7 +50,17 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op3_source_mix": op3_source_mix,
+    "op4_packing": op4_packing,
+    "op10_exact_dedup": op10_exact_dedup,
     "op9_token_counts": op9_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_exact_dedup": r"""
+        WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
+        r AS (SELECT doc_id, norm, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, row_number() OVER w = 1 AS kept
+              FROM t WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id))
+        SELECT doc_id, keep_id, group_size, kept, sha256(norm) AS text_sha256 FROM r
+    """,
+}
