@@ -18,7 +18,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewright.llm import toxicity
 
     docs = C.read(spark, sf_dir, "documents")
-    model = toxicity.fit(toxicity.training_rows(docs, C.read(spark, sf_dir, "labels")))
+    model = toxicity.fit(docs, C.read(spark, sf_dir, "labels"))
     scored = toxicity.score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", C.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
 

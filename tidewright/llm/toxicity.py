@@ -73,19 +73,22 @@ def _doc_hashes(text: str) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", *, rows_per_class: tuple[int, int] = (4000, 2000), max_chars: int = 20_000, n_features: int = 4096, l2: float = 0.03, order: str = "doc_id") -> ToxicityModel:
-    """Fits on a bounded sample of labelled rows, on the driver.
+def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", rows_per_class: tuple[int, int] = (4000, 2000), max_chars: int = 20_000, n_features: int = 4096, l2: float = 0.03) -> ToxicityModel:
+    """Fits on the driver, on a bounded sample of the labels (key, label) whose rows are not held out.
 
-    rows_per_class: the most rows of label 0 and of label 1; the rows with the smallest hash of `order` are taken.
-    max_chars: labelled rows with longer texts are not in the sample, which bounds its bytes. Scoring has no such bound.
+    rows_per_class: the most rows of label 0 and of label 1; the keys with the smallest hashes are taken, and only
+    their texts are gathered, so no text is shuffled. max_chars: sampled rows with longer texts are left out, which
+    bounds the sample's bytes. Scoring has no such bound. A key with both labels counts as 1.
     """
-    rows, labels = [], []
-    for y, most in enumerate(rows_per_class):
-        some = labelled.filter((F.col(label) == y) & F.col(text).isNotNull() & (F.length(text) <= max_chars))
-        for r in some.select(text, order).orderBy(F.xxhash64(F.col(order).cast("string")), text).limit(most).select(text).toLocalIterator():
-            rows.append(r[0])
-            labels.append(y)
-    return fit_local(rows, np.array(labels, np.int8), n_features=n_features, l2=l2)
+    classes = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & ~C.held_out(key)).groupBy(key).agg(F.max(label).alias("_label"))
+    rows, y = [], []
+    for value, most in enumerate(rows_per_class):
+        sample = classes.filter(F.col("_label") == value).orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(most).select(key)
+        texts = docs.select(key, text).join(F.broadcast(sample), key).filter(F.col(text).isNotNull() & (F.length(text) <= max_chars))
+        found = sorted((str(r[0]), r[1]) for r in texts.collect())
+        rows += [t for _, t in found]
+        y += [value] * len(found)
+    return fit_local(rows, np.array(y, np.int8), n_features=n_features, l2=l2)
 
 
 def fit_local(texts: list[str], y: np.ndarray, *, n_features: int = 4096, l2: float = 0.03, least: int = 3) -> ToxicityModel:
@@ -190,9 +193,3 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str =
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, out])
 
     return C.map_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
-
-
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts and labels of the documents that are not held out."""
-    labels = labels.select("doc_id", "toxic").filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").filter(~C.held_out()).join(labels, "doc_id")
