@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm import _common as C
+from tidewright.llm import license_scan
 
 
 def tokenizer_path(name: str) -> str:
@@ -42,6 +43,40 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.llm import language_id
+
+    docs = C.read(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.fit(docs))
+    return found.select("doc_id", C.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.llm import media
+
+    folder = C.scratch_path(spark, "media")
+    catalogue = C.as_table(media.store(C.read(spark, sf_dir, "documents"), folder), "catalogue")
+    found = media.features(media.fill_metadata(media.objects(catalogue), folder), folder)
+    found = C.as_table(found, "features").drop("shard", "offset", "length", "bits")
+    return catalogue.select("doc_id", "digest").join(found, "digest").drop("digest")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(C.read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.concat_ws(" ", "sentences").alias("sentences"), F.concat_ws(",", "licenses").alias("licenses"), "n_unknown")
+
+
+#: The rules of op8.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.llm import url_filter
+
+    pages = C.read(spark, sf_dir, "pages")
+    return url_filter.judge_urls(pages, URL_RULES, url_filter.fit(pages, URL_RULES))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewright.llm import token_counts
 
@@ -53,10 +88,15 @@ QUERIES = {
     "op3_source_mix": op3_source_mix,
     "op4_packing": op4_packing,
     "op10_exact_dedup": op10_exact_dedup,
+    "op5_language_id": op5_language_id,
+    "op6_media_columns": op6_media_columns,
+    "op7_license_scan": op7_license_scan,
+    "op8_url_filter": op8_url_filter,
     "op9_token_counts": op9_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_license_scan": license_scan.oracle_sql(),
     "op10_exact_dedup": r"""
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
         r AS (SELECT doc_id, norm, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, row_number() OVER w = 1 AS kept
