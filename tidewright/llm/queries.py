@@ -24,6 +24,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", C.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.llm import jaccard_join
+
+    return jaccard_join.join(C.read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewright.llm import mixing
 
@@ -85,6 +91,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_source_mix": op3_source_mix,
     "op4_packing": op4_packing,
     "op10_exact_dedup": op10_exact_dedup,
