@@ -199,11 +199,13 @@ def dedup(docs: DataFrame, in_snapshot: Column | None = None, *, key: str = "doc
     hashed = texts.withColumn("digest", F.unhex(digest(F.col("norm"))))
     moved = C.as_table(hashed.join(wanted, "digest").select("digest", "key", "n_chars", "norm", (F.col("key").eqNullSafe(F.col("best_key")) & (F.col("n_chars") == F.col("best_chars"))).alias("is_best")), "texts")
     leaders = moved.filter("is_best").groupBy("digest").agg(F.min("norm").alias("leader"))
-    clash = C.as_table(moved.join(leaders, "digest").filter(F.col("norm") != F.col("leader")).select("digest").distinct(), "clash")
+    # written before they are made distinct, so that Spark can split the join of a very large group
+    clash = C.as_table(moved.join(C.as_table(leaders, "leaders"), "digest").filter(F.col("norm") != F.col("leader")).select("digest"), "clash")
     joined = rows.join(groups, "digest")
     if clash.isEmpty():
         out = joined
     else:  # one digest, different texts: these rows are grouped by their whole texts
+        clash = clash.distinct()
         apart = hashed.join(clash, "digest").select("digest", "norm", "key", "n_chars", "rid")
         apart = C.as_table(apart, "apart")
         regrouped = apart.join(_groups(apart, "digest", "norm"), ["digest", "norm"])
