@@ -20,7 +20,8 @@ from tidewright.llm import exact_dedup, jaccard_join, mixing, packing, queries,
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Scores every whole text by a model of this stage's own documents and the labels; scores of 0.5 or more go."""
     model = toxicity.fit(docs, C.read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out="_score").filter("_score < 0.5").drop("_score")
+    score = C.fresh(docs, "_score")
+    return toxicity.score(docs, model, out=score).filter(F.col(score) < 0.5).drop(score)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,8 +6,6 @@ import sys
 import tempfile
 import types
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import tidewright
+from tidewright.session import ship
 
 #: The white space of the contracts, `[\x20\x09-\x0D]`.
 SPACES = " \t\n\x0b\f\r"
@@ -24,19 +22,6 @@ SPACES = " \t\n\x0b\f\r"
 CHUNK_BYTES = 1 << 20
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application, so that a cluster needs no copy of it."""
-    app = spark.sparkContext.applicationId
-    if getattr(ship, "app", None) != app:
-        top = Path(tidewright.__file__).parent
-        out = Path(tempfile.mkdtemp(prefix="tidewright-")) / "tidewright.zip"
-        with zipfile.ZipFile(out, "w") as z:
-            for f in sorted(top.rglob("*.py")):
-                z.write(f, f.relative_to(top.parent))
-        spark.sparkContext.addPyFile(str(out))
-        ship.app = app
-
-
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """mapInArrow with this package at hand on the executors."""
     ship(df.sparkSession)
@@ -76,15 +61,24 @@ def drop_table(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df lacks."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_row(docs: DataFrame, name: str = "_row") -> DataFrame:
     """docs with a column that tells every row from all others, the same each time the table is read.
 
     It is the place of the row in its Parquet file; a DataFrame that isn't a plain scan of files is written first.
     """
     try:
-        at = docs.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias(name))
-        at.schema  # resolves the hidden columns
-        return at
+        at = docs.metadataColumn("_metadata")
+        out = docs.withColumn(name, F.struct(F.xxhash64(at["file_path"]).alias("file"), at["row_index"].alias("at")))
+        out.schema  # resolves the hidden column
+        return out
     except AnalysisException:
         return with_row(as_table(docs, "rows"), name)
 

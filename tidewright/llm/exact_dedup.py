@@ -188,7 +188,10 @@ def dedup(docs: DataFrame, in_snapshot: Column | None = None, *, key: str = "doc
     """
     spark = docs.sparkSession
     in_snapshot = F.lit(False) if in_snapshot is None else in_snapshot
-    texts = (docs if row else C.with_row(docs)).select(F.col(row or "_row").alias("rid"), F.col(key).alias("key"), F.length(F.coalesce(text, F.lit(""))).cast("long").alias("n_chars"), in_snapshot.alias("old"), normalised(text).alias("norm"))
+    if row is None:
+        row = C.fresh(docs, "_row")
+        docs = C.with_row(docs, row)
+    texts = docs.select(F.col(row).alias("rid"), F.col(key).alias("key"), F.length(F.coalesce(text, F.lit(""))).cast("long").alias("n_chars"), in_snapshot.alias("old"), normalised(text).alias("norm"))
     rows = C.as_table(texts.select("key", "n_chars", "old", "rid", F.unhex(digest(F.col("norm"))).alias("digest")), "digests")
     snapshot = build_snapshot(_groups(rows.filter("old"), "digest"))
     groups = C.as_table(_merged(_groups(rows.filter(~F.col("old")), "digest"), snapshot), "groups")
@@ -217,9 +220,10 @@ def dedup(docs: DataFrame, in_snapshot: Column | None = None, *, key: str = "doc
 
 def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns; the texts are compared as in dedup()."""
-    docs = C.with_row(docs)
-    kept = dedup(docs, half(key), key=key, text=text, row="_row").filter("kept").select(F.col("row").alias("_row"))
-    return docs.join(kept, "_row", "left_semi").drop("_row")
+    row = C.fresh(docs, "_row")
+    docs = C.with_row(docs, row)
+    kept = dedup(docs, half(key), key=key, text=text, row=row).filter("kept").select(F.col("row").alias(row))
+    return docs.join(kept, row, "left_semi").drop(row)
 
 
 def half(key: str) -> Column:

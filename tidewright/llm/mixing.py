@@ -144,7 +144,8 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
 
 def apply_mix(docs: DataFrame, **how) -> DataFrame:
     """docs with each row as often as the mix takes it; rows that it takes no time go."""
-    docs = C.with_row(docs)
-    copies = mix(docs, row="_row", **how).filter("copies > 0").select(F.col("row").alias("_row"), "copies")
-    out = docs.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.drop("_row", "copies", "_copy")
+    names = docs.columns
+    row, copy = C.fresh(docs, "_row"), C.fresh(docs, "_copy")
+    docs = C.with_row(docs, row)
+    copies = mix(docs, row=row, **how).filter("copies > 0").select(F.col("row").alias(row), F.sequence(F.lit(1), F.col("copies").cast("int")).alias(copy))
+    return docs.join(copies, row).withColumn(copy, F.explode(copy)).select(*names)
