@@ -9,10 +9,11 @@ A document's set is its distinct 5-word shingles, hashed to 64 bits; with fewer
    indexing prefix. Shingles that one node alone sends are dropped at once.
 4. Partition: a node joins the group of the node with which it shares most prefix shingles, as leader; groups are cut
    into chunks of bounded size. Members are compared with their leader; those that link to it share its component.
-5. Token-group matrix: (shingle, group) over the members' prefixes. Pairs of groups that share an entry, fit in size, and
-   are not known to be one component are candidates.
-6. Each candidate pair is bounded: |Q n union of the group| against the overlap that the sizes ask for. Only qualifying
-   groups are opened, and only sets of different components in them compared, exactly.
+5. Token-group matrix: (shingle, group) over the unions of the members' prefixes. Pairs of groups that share entries, fit in
+   size and are not known to be one component are bounded: the entries that they share, and the most that can lie beyond
+   the prefixes, against the overlap that a link of their sizes asks for.
+6. Only qualifying pairs are opened. In them, each set is bounded once more against the union of the whole sets of the
+   other group, and only sets of different components are compared, exactly.
 
 A large group of near copies meets in its leaders, so its pairs are never enumerated; chunks bound what a task holds, and
 frequent shingles are salted. Links within and between components are complete as far as components go: every two sets that
@@ -29,7 +30,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -249,8 +250,7 @@ def _shared(prefixes: DataFrame, partitions: int, percent: int) -> DataFrame:
         new = np.concatenate([[True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])])
         group = np.cumsum(new) - 1
         size = np.bincount(group)
-        hot = size > SALTED // 2
-        keep = ((size > 1) & (np.bincount(group, weights=indexed) > 0) | hot)[group]
+        keep = (size > 1)[group]
         # salted tokens keep even lone entries: their other entries lie elsewhere
         multi = salt > 0
         keep |= multi
@@ -322,12 +322,18 @@ def _maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
-    """For each row: row (of C.with_row()), key, n_shingles, component_id, and first: whether it stands for its component."""
+def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 80, row: str | None = None) -> DataFrame:
+    """For each row: row (of C.with_row()), key, n_shingles, component_id, and first: whether it stands for its component.
+
+    row: the column of C.with_row(), if docs has it.
+    """
     spark = docs.sparkSession
     C.ship(spark)
-    if "_row" not in docs.columns:
-        docs = C.with_row(docs)
+    if row is None:
+        row = C.fresh(docs, "_row")
+        docs = C.with_row(docs, row)
+    docs = docs.select(F.col(row).alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"))
+    own, key, text = key, "_key", "_text"
     rows, sketch = _pieces(docs, key, text)
     nodes = rows.filter("n > 0").groupBy("node", "lane").agg(F.min("row").alias("row"), F.max("n").alias("n"))
     clashing = np.array([r[0] for r in nodes.groupBy("node").count().filter("count > 1").limit(100_000).select("node").collect()], np.int64).view(np.uint64)
@@ -347,7 +353,7 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: i
     named = lead.join(tops, "component").select("node", "top")
     full = rows.filter("n > 0").join(named, "node").select("row", "key", "n", F.col("top.key").alias("component_id"), (F.col("row") == F.col("top.row")).alias("first"))
     out = full.unionByName(rows.filter("n = 0").select("row", "key", "n", F.col("key").alias("component_id"), F.lit(True).alias("first")))
-    return out.select("row", F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", "first")
+    return out.select("row", F.col("key").alias(own), F.col("n").alias("n_shingles"), "component_id", "first")
 
 
 def _components(spark, docs, text, nodes, sketch, clashing, total, percent) -> DataFrame:
@@ -361,29 +367,19 @@ def _components(spark, docs, text, nodes, sketch, clashing, total, percent) -> D
     across = shared.filter("hot").select("token", F.coalesce("leader", "node").alias("node")).distinct()
     top = across.groupBy("token").agg(F.min("node").alias("leader"))
     across = across.join(top, "token").filter(F.col("node") != F.col("leader")).groupBy("node", "leader").agg(F.count(F.lit(1)).alias("times"))
-    follows = follows.unionByName(across).groupBy("node").agg(F.max_by("leader", F.struct("times", "leader")).alias("leader"))
+    follows = follows.unionByName(across).groupBy("node").agg(F.max(F.struct("times", "leader")).alias("best"))
     every = shared.select("node", "n").distinct().join(follows, "node", "left")
-    every = C.as_table(every.withColumn("leader", F.coalesce("leader", "node")), "follows")
+    every = C.as_table(every.select("node", "n", F.coalesce("best.leader", "node").alias("leader"), "best.times"), "follows")
     sizes = every.groupBy("leader").agg(F.count(F.lit(1)).alias("size"))
     chunked = every.join(sizes, "leader").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CHUNK)))
-    chunked = C.as_table(chunked.select("node", "n", "leader", "part", F.xxhash64("leader", "part").alias("chunk")), "chunks")
-
-    # the sets of all nodes that share a prefix token with another
-    wanted = nodes.join(chunked.select("node"), "node", "left_semi").select(F.col("row").alias("_row"))
-    source = docs.select("_row", text).join(_maybe_broadcast(C.as_table(wanted, "wanted")), "_row", "left_semi").select(text)
-
-    def sets(batches):
-        for b in batches:
-            for _, _, tokens, bounds in _read(b, text):
-                node, _ = _ids(tokens, bounds, clashing)
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(tokens.view(np.int64)))], names=["node", "toks"])
-
-    tokens = C.as_table(C.map_arrow(source, sets, "node long, toks array<long>"), "tokens")
-
-    # members against their leaders
-    member = chunked.filter("node != leader").select("node", "chunk", F.lit(False).alias("leads"))
-    leaders = chunked.filter("node != leader").select(F.col("leader").alias("node"), "chunk", F.lit(True).alias("leads")).distinct()
-    edges = C.as_table(_compare_with_leaders(tokens.join(_maybe_broadcast(C.as_table(member.unionByName(leaders), "members")), "node"), percent), "edges")
+    chunked = C.as_table(chunked.select("node", "n", "leader", "times", F.xxhash64("leader", "part").alias("chunk")), "chunks")
+
+    # members against their leaders, where the shared prefix tokens allow a link; the matrix sees to all other pairs
+    lead = chunked.select(F.col("node").alias("leader"), F.col("n").alias("leader_n"))
+    member = chunked.filter("node != leader").join(lead, "leader").filter(F.col("times") >= least_shared(F.col("n"), F.col("n"), F.col("leader_n"), F.col("leader_n"), percent))
+    member = C.as_table(member.select("node", "leader", "chunk"), "members")
+    roles = member.select("node", "chunk", F.lit(False).alias("leads")).unionByName(member.select(F.col("leader").alias("node"), "chunk", F.lit(True).alias("leads")).distinct())
+    edges = C.as_table(_compare_with_leaders(_with_sets(docs, text, nodes, roles, clashing), percent), "edges")
     first = C.as_table(components(edges), "components")
 
     # the matrix: (token, group) with what is needed to rule pairs out
@@ -397,29 +393,59 @@ def _components(spark, docs, text, nodes, sketch, clashing, total, percent) -> D
     several = matrix.groupBy("token").agg(F.min("c0").alias("t0"), F.max("c1").alias("t1")).filter("t0 < t1").select("token")
     mixed = C.as_table(matrix.join(several, "token"), "mixed")
     C.drop_table(matrix)
+
+    # bounds: what two groups share of their prefixes, and the most that can lie beyond, against the overlap of a link
     a, b = mixed.alias("a"), mixed.alias("b")
-    fits = (F.col("a.indexed") | F.col("b.indexed")) & (100 * F.col("a.n1") >= percent * F.col("b.n0")) & (100 * F.col("b.n1") >= percent * F.col("a.n0"))
+    fits = (100 * F.col("a.n1") >= percent * F.col("b.n0")) & (100 * F.col("b.n1") >= percent * F.col("a.n0"))
     apart = ~((F.col("a.c0") == F.col("a.c1")) & (F.col("b.c0") == F.col("b.c1")) & (F.col("a.c0") == F.col("b.c0")))
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.group") <= F.col("b.group")) & fits & apart)
-    pairs = C.as_table(pairs.select(F.col("a.group").alias("g"), F.col("b.group").alias("h")).distinct(), "pairs")
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.group") <= F.col("b.group")) & fits & apart)
+    bounds = [F.min("a.n0").alias("g0"), F.max("a.n1").alias("g1"), F.min("b.n0").alias("h0"), F.max("b.n1").alias("h1")]
+    pairs = met.groupBy(F.col("a.group").alias("g"), F.col("b.group").alias("h")).agg(F.count(F.lit(1)).alias("met"), F.max(F.col("a.indexed") | F.col("b.indexed")).alias("indexed"), *bounds)
+    pairs = pairs.filter(F.col("indexed") & (F.col("met") >= least_shared(F.col("g0"), F.col("g1"), F.col("h0"), F.col("h1"), percent)))
+    pairs = C.as_table(pairs.select("g", "h"), "pairs")
 
-    # bounds, and opening of what qualifies
+    # opening of what qualifies
     sides = pairs.select("g", "h", F.col("g").alias("group"), F.lit(0).alias("side")).unionByName(pairs.filter("g != h").select("g", "h", F.col("h").alias("group"), F.lit(1).alias("side")))
-    opened = C.as_table(sides.join(grouped.select("group", "node", "component"), "group").select("g", "h", "side", "node", "component"), "opened")
-    candidates = tokens.join(_maybe_broadcast(opened), "node")
+    opened = sides.join(grouped.select("group", "node", "component"), "group").select("node", "g", "h", "side", "component")
+    candidates = _with_sets(docs, text, nodes, opened, clashing)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(open_groups(pdf, percent), columns=["u", "v"], dtype="int64")
 
     more = C.as_table(candidates.groupBy("g", "h").applyInPandas(run, "u long, v long"), "more")
-    for t in (shared, tokens, mixed, opened):
+    for t in (shared, mixed):
         C.drop_table(t)
-    final = components(edges.unionByName(more)) if not more.isEmpty() else first
-    return final
+    return components(edges.unionByName(more)) if not more.isEmpty() else first
+
+
+def least_shared(a0: Column, a1: Column, b0: Column, b1: Column, percent: int) -> Column:
+    """How many prefix tokens two sets of sizes in [a0, a1] and [b0, b1] share at least if they link.
+
+    Of two sets, take the one whose prefix ends first in the order. Its prefix shares with the other set only what lies in
+    that one's prefix too, and beyond its prefix lie ceil(percent / 100 * size) - 1 tokens; the overlap is at most the sum.
+    """
+    return F.ceil(percent * (a0 + b0) / (100 + percent)) - F.ceil(percent * F.greatest(a1, b1) / 100) + 1
+
+
+def _with_sets(docs: DataFrame, text: str, nodes: DataFrame, roles: DataFrame, clashing: np.ndarray) -> DataFrame:
+    """roles (node, ...) with toks, the node's set, from the text of the document that stands for it."""
+    placed = C.as_table(roles.join(nodes.select("node", F.col("row").alias("_row")), "node"), "roles")
+    keep = [c for c in placed.columns if c != "_row"]
+    source = docs.select("_row", text).join(_maybe_broadcast(placed), "_row").select(*keep, text)
+    schema = T.StructType([*(source.schema[c] for c in keep), T.StructField("toks", T.ArrayType(T.LongType()))])
+
+    def run(batches):
+        for b in batches:
+            for i, j, tokens, bounds in _read(b, text):
+                sets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(tokens.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in keep), sets], names=schema.names)
+
+    return C.map_arrow(source, run, schema)
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """docs with one row of each component, the one of the smallest key; rows with an empty set all stay."""
-    docs = C.with_row(docs)
-    kept = join(docs, key=key, text=text, percent=percent).filter("first").select(F.col("row").alias("_row"))
-    return docs.join(kept, "_row", "left_semi").drop("_row")
+    row = C.fresh(docs, "_row")
+    docs = C.with_row(docs, row)
+    kept = join(docs, key=key, text=text, percent=percent, row=row).filter("first").select(F.col("row").alias(row))
+    return docs.join(kept, row, "left_semi").drop(row)
