@@ -82,7 +82,7 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -
     words = np.bincount(doc, minlength=n_docs)
     ahead = np.cumsum(words) - words
     h = word.copy()
-    for k in range(1, shingle):
+    for k in range(1, min(shingle, len(word))):
         h[: len(h) - k] = h[: len(h) - k] * _K + word[k:]
     whole = np.arange(len(word)) - ahead[doc] <= words[doc] - shingle
     h = C.mix64(h)
@@ -214,8 +214,9 @@ def _prefixes(docs: DataFrame, text: str, levels: np.ndarray, clashing: np.ndarr
                     info = np.full(probe, 2 * n, np.int64)
                     info[:index] += 1
                     lv = level[part][at]
-                    salts = np.where(lv > hot_level, np.exp2(lv / 4.0) // SALTED + 1, 1).astype(np.int64)
-                    for o, v in zip(out, (tokens[part][at].view(np.int64), (x >> 7) % salts, np.full(probe, x, np.uint64).view(np.int64), info), strict=True):
+                    salts = np.where(lv > hot_level, np.exp2(lv / 4.0) // SALTED + 1, 0).astype(np.int64)
+                    salt = np.where(salts > 0, 1 + (x >> 7) % np.maximum(salts, 1), 0)  # 0: not salted
+                    for o, v in zip(out, (tokens[part][at].view(np.int64), salt, np.full(probe, x, np.uint64).view(np.int64), info), strict=True):
                         o.append(v)
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=schema.names)
