@@ -49,7 +49,9 @@ def targets(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), most_repeats:
     level = (F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(ordered.rowsBetween(0, Window.unboundedFollowing))
     filled = by_source.withColumn("weight", weight).withColumn("cap", cap).withColumn("level", level)
     # from the first source that isn't capped on, its level holds
-    final = F.min(F.when(F.col("level") * F.col("weight") < F.col("cap"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(Window.partitionBy())["level"]
+    free = F.when(F.col("level") * F.col("weight") < F.col("cap"), F.struct(F.row_number().over(ordered), "level"))
+    filled = filled.withColumn("free", free)
+    final = F.min("free").over(Window.partitionBy())["level"]
     return filled.withColumn("final", final).select("source", "n_docs", "source_size", F.least(F.col("cap"), F.coalesce(F.col("final") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
