@@ -73,8 +73,8 @@ RULES = [
 SENTENCE_END = r"\n+|[.!?;:]+[ \t\r]+|[.!?;:]+\n+"
 NOT_WORD = r"[^a-z0-9+]+"
 LICENCE = r"\blicen[cs]e"
-#: Every known sentence holds one of these; texts without any are passed over at once.
-CUES = ("licen", "permission", "copyright", "warranty", "redistribut", "free software", "any later version", "public domain", "rights reserved")
+#: Every known sentence holds one of these words; texts without any are passed over at once.
+CUES = r"licen|permission|copyright|warrant|redistribut|software|reserved|later|\bcc\b"
 
 
 def normalised(sentence: Column) -> Column:
@@ -87,7 +87,7 @@ def identifiers(text: str = "text") -> Column:
     """The identifiers of the known sentences of a text, in reading order."""
     known = F.create_map(*(F.lit(x) for ident, sentences in SENTENCES.items() for s in sentences for x in (s, ident)))
     filled = F.coalesce(F.col(text), F.lit(""))
-    cue = F.lower(filled).rlike("|".join(CUES))
+    cue = F.lower(filled).rlike(CUES)
     found = F.transform(F.split(filled, SENTENCE_END), lambda s: F.try_element_at(known, normalised(s)))
     return F.when(cue, F.filter(found, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
 
