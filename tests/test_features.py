@@ -75,6 +75,13 @@ def test_asof(spark, series):
     left = series([0, 0, 0, 0])
     assert col(X.asof(left, right, ["v"]), "v") == [None, 1.0, 2.0, 2.0]
     assert col(X.asof(left, right, ["v"], backfill=True), "v") == [1.0, 1.0, 2.0, 2.0]
+    for unit in ("hour", "day", "month"):
+        assert col(X.asof(left, right, ["v"], block=unit), "v") == [None, 1.0, 2.0, 2.0]
+        assert col(X.asof(left, right, ["v"], backfill=True, block=unit), "v") == [1.0, 1.0, 2.0, 2.0]
+    keyed = right.withColumn("series_id", F.lit("y")).unionByName(right.withColumn("series_id", F.lit("b")).withColumn("v", F.col("v") * 10))
+    both = series([0, 0, 0], b=[0, 0, 0])
+    for unit in (None, "hour"):
+        assert col(X.asof(both, keyed, ["v"], by=["series_id"], block=unit), "v") == [None, 10.0, 20.0, None, 1.0, 2.0]
 
 
 def test_joins(spark, series):

@@ -106,6 +106,17 @@ def test_lanes_agree_with_catalyst(series):
     np.testing.assert_allclose(one["pred"], two["pred"], atol=1e-9)
 
 
+def test_predict_matrix(series):
+    f = RecursiveForecaster(lags=[1, 3], window_features=X.RollingFeatures(["mean"], 2)).fit(series(wave(60)))
+    p = preds(f.predict(4))
+    m = f.create_predict_matrix(4).orderBy("step").collect()
+    y = wave(60) + p
+    for k, r in enumerate(m):
+        assert (r.lag_1, r.lag_3, r.roll_mean_2) == pytest.approx((y[59 + k], y[57 + k], (y[59 + k] + y[58 + k]) / 2))
+        coef, intercept = f.models["y"]
+        assert intercept + coef[0] * r.lag_1 + coef[1] * r.lag_3 + coef[2] * r.roll_mean_2 == pytest.approx(p[k])
+
+
 def test_ramp_by_differences(series):
     f = RecursiveForecaster(lags=[1], differencing=1).fit(series([2 * t for t in range(30)]))
     assert preds(f.predict(3)) == pytest.approx([60, 62, 64])

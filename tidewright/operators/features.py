@@ -241,23 +241,39 @@ def same_index(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("ts",))
         raise ValueError("the indexes differ")
 
 
-def asof(left: DataFrame, right: DataFrame, columns: Sequence[str], by: Sequence[str] = (), backfill: bool = False) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, columns: Sequence[str], by: Sequence[str] = (), backfill: bool = False, block: str | None = None) -> DataFrame:
     """left (ts, ...) with, for each of columns, the last value of right at or before ts.
 
     Both sides are stacked and filled forward in one window; of one time, right rows come first. by: keys within which to look.
-    backfill: rows before right's first get its first value.
+    backfill: rows before right's first get its first value. block: a unit of date_trunc; then blocks of time are filled apart,
+    and only each block's last values are carried on, so that no task holds all rows of a key.
     """
     by = list(by)
     value = F.struct(*(F.col(c) for c in columns))
     rest = [c for c in left.columns if c not in (*by, "ts")]
-    a = left.select(*by, "ts", F.lit(1).alias("_side"), F.struct(F.lit(0).alias("_"), *rest).alias("_row"), F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType).alias("_v"))
+    kind = right.select(value.alias("v")).schema["v"].dataType
+    a = left.select(*by, "ts", F.lit(1).alias("_side"), F.struct(F.lit(0).alias("_"), *rest).alias("_row"), F.lit(None).cast(kind).alias("_v"))
     b = right.select(*by, "ts", F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), value.alias("_v"))
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("ts", "_side")
-    out = a.unionByName(b)
-    filled = {c: F.last(F.col("_v")[c], ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in columns}
+    both = a.unionByName(b)
+    keys = by or [F.lit(0)]
+    if block is None:
+        w = Window.partitionBy(*keys).orderBy("ts", "_side")
+        filled = {c: F.last(F.col("_v")[c], ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in columns}
+        if backfill:
+            filled = {c: F.coalesce(x, F.first(F.col("_v")[c], ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))) for c, x in filled.items()}
+        return both.withColumns(filled).filter("_side = 1").select(*by, "ts", *(F.col("_row")[c].alias(c) for c in rest), *columns)
+    both = both.withColumn("_block", F.date_trunc(block, "ts"))
+    known = {c: F.when(F.col("_v")[c].isNotNull(), F.col("ts")) for c in columns}
+    ends = both.groupBy(*by, "_block").agg(*(F.max_by(F.col("_v")[c], known[c]).alias(f"_z_{c}") for c in columns), *(F.min_by(F.col("_v")[c], known[c]).alias(f"_a_{c}") for c in columns))
+    e = Window.partitionBy(*keys).orderBy("_block")
+    carry = {f"_c_{c}": F.last(f"_z_{c}", ignorenulls=True).over(e.rowsBetween(Window.unboundedPreceding, -1)) for c in columns}
     if backfill:
-        filled = {c: F.coalesce(x, F.first(F.col("_v")[c], ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))) for c, x in filled.items()}
-    return out.withColumns(filled).filter("_side = 1").select(*by, "ts", *(F.col("_row")[c].alias(c) for c in rest), *columns)
+        carry |= {f"_f_{c}": F.first(f"_a_{c}", ignorenulls=True).over(e.rowsBetween(0, Window.unboundedFollowing)) for c in columns}
+    ends = ends.withColumns(carry).select(*by, "_block", *carry)
+    w = Window.partitionBy(*by, "_block").orderBy("ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumns({f"_i_{c}": F.last(F.col("_v")[c], ignorenulls=True).over(w) for c in columns}).filter("_side = 1")
+    out = inside.join(ends, [*by, "_block"])
+    return out.select(*by, "ts", *(F.col("_row")[c].alias(c) for c in rest), *(F.coalesce(f"_i_{c}", f"_c_{c}", *([f"_f_{c}"] if backfill else [])).alias(c) for c in columns))
 
 
 def time_windows(df: DataFrame, columns: Sequence[str], windows: Sequence[str] = ("1D", "7D"), functions: Sequence[str] = ("mean", "max", "min"), step: int = 3600, by: Sequence[str] = ("series_id",)) -> DataFrame:

@@ -606,6 +606,37 @@ def crps_ensemble(spark, sf_dir):
     return rounded(M.crps_ensemble(m, ["series_id", "ts"]), "crps")
 
 
+@query(f"""{BASE}, qq AS (SELECT series_id, quantile_cont(y, [0.0, 0.25, 0.5, 0.75, 1.0]) AS q, arg_max(y, ts) AS y FROM filled GROUP BY 1), rg AS (SELECT *, least(q[1], y) - greatest((greatest(q[5], y) - least(q[1], y)) * 0.1, 1e-9) AS lo, greatest(q[5], y) + greatest((greatest(q[5], y) - least(q[1], y)) * 0.1, 1e-9) AS hi FROM qq),
+pt AS (SELECT series_id, i, y, q, lo + i * (hi - lo) / 999 AS x, (hi - lo) / 999 AS s FROM rg, (SELECT unnest(range(0, 1000)) AS i)),
+cd AS (SELECT series_id, i, s, pow(CASE WHEN x < q[1] THEN 0.0 WHEN x < q[2] THEN 0.25 * (x - q[1]) / (q[2] - q[1]) WHEN x < q[3] THEN 0.25 + 0.25 * (x - q[2]) / (q[3] - q[2]) WHEN x < q[4] THEN 0.5 + 0.25 * (x - q[3]) / (q[4] - q[3]) WHEN x < q[5] THEN 0.75 + 0.25 * (x - q[4]) / (q[5] - q[4]) ELSE 1.0 END - CASE WHEN x >= y THEN 1.0 ELSE 0.0 END, 2) AS g FROM pt)
+SELECT series_id, {q6('sum(CASE WHEN i IN (0, 999) THEN g / 2 ELSE g END * s)')} AS crps FROM cd GROUP BY 1""")
+def crps_quantiles(spark, sf_dir):
+    levels = [0.0, 0.25, 0.5, 0.75, 1.0]
+    q = filled(spark, sf_dir).groupBy("series_id").agg(F.percentile("y", F.array(*(F.lit(x) for x in levels))).alias("q"), F.max_by("y", "ts").alias("y"))
+    wide = q.select("series_id", "y", *(F.col("q")[i].alias(f"q{i}") for i in range(5)))
+    return rounded(M.crps_quantiles(wide, [f"q{i}" for i in range(5)], levels), "crps").select("series_id", "crps")
+
+
+@query(f"{BASE} SELECT ts FROM hourly WHERE series_id = 'click' AND y IS NOT NULL INTERSECT SELECT ts FROM hourly WHERE series_id = 'view' AND y IS NOT NULL")
+def index_intersection(spark, sf_dir):
+    h = hourly(spark, sf_dir).filter("y is not null")
+    return h.filter("series_id = 'click'").select("ts").intersect(h.filter("series_id = 'view'").select("ts"))
+
+
+@query("SELECT event_type AS series_id FROM events WHERE value > 50 EXCEPT SELECT event_type FROM events WHERE value > 1e9")
+def level_difference(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return e.filter("y > 50").select("series_id").distinct().exceptAll(e.filter("y > 1e9").select("series_id").distinct())
+
+
+@query(f"{BASE}, s AS (SELECT DISTINCT ts FROM filled), x AS (SELECT ts, series_id, avg(y) AS y FROM e WHERE series_id IN ('error', 'view') GROUP BY 1, 2), l AS (SELECT k.series_id, s.ts FROM s, (VALUES ('error'), ('view')) k(series_id)) SELECT l.series_id, l.ts, {q6('x.y')} AS value FROM l ASOF LEFT JOIN x ON l.series_id = x.series_id AND l.ts >= x.ts")
+def asof_by_key_in_blocks(spark, sf_dir):
+    e = events(spark, sf_dir).filter("series_id in ('error', 'view')")
+    right = e.groupBy("series_id", "ts").agg(F.avg("y").alias("value"))
+    left = hourly(spark, sf_dir).filter("series_id in ('error', 'view')").select("series_id", "ts")
+    return rounded(features.asof(left, right, ["value"], by=["series_id"], block="day"), "value")
+
+
 @query(f"{BASE}, {_BACK} SELECT series_id, {q6('avg(abs(y - pred))')} AS MAE, {q6('avg(pow(y - pred, 2))')} AS MSE FROM kept WHERE series_id = 'view' GROUP BY 1")
 def compare_actual_predicted(spark, sf_dir):
     rows = B.keep_last_fold(_backtest_rows(spark, sf_dir)).filter("series_id = 'view'")
@@ -655,6 +686,12 @@ def recursive_intervals(spark, sf_dir):
     return f.predict_interval(12, 0.8)
 
 
+@query()
+def predict_matrix(spark, sf_dir):
+    f = RecursiveForecaster(lags=[1, 24], window_features=features.RollingFeatures(["mean"], 6))
+    return f.fit(filled(spark, sf_dir)).create_predict_matrix(12)
+
+
 @query()
 def backtest_recursive(spark, sf_dir):
     return B.backtest(RecursiveForecaster(lags=[1, 24]), filled(spark, sf_dir), folds.TimeSeriesFold(24, 300, fold_stride=120), ["mean_absolute_error"])[0]

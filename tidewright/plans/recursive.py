@@ -465,6 +465,19 @@ class RecursiveForecaster:
         out = self._timed(out, F.col("step"))
         return out.select("series_id", "ts", "step", *(["boot_id"] if boot else []), "pred")
 
+    def create_predict_matrix(self, steps: int, exog: DataFrame | None = None) -> DataFrame:
+        """(series_id, ts, step, features): what each step of a forecast is computed from, in the scale that is regressed."""
+        path = self._paths(steps, exog, None, None)
+        past = self.windows.select("series_id", "last", F.posexplode("state").alias("_i", "y"), F.size("state").alias("_n"))
+        past = self._timed(past, F.col("_i") - F.col("_n") + 1).select("series_id", "ts", "step", "y")
+        rows = past.unionByName(path.select("series_id", "ts", "step", F.col("pred").alias("y"))).withColumns(X.lag_columns(self.lag_list))
+        if self.window_features:
+            rows = self.window_features.transform(rows)
+        rows = rows.filter("step > 0")
+        if self.exog_names:
+            rows = rows.join(exog.withColumns({c: F.col(c).cast("double") for c in self.exog_names}), [c for c in ("series_id", "ts") if c in exog.columns])
+        return rows.select("series_id", "ts", "step", *self.feature_names)
+
     # ---- distributions
 
     def predict_bootstrapping(self, steps: int, n_boot: int = 250, exog: DataFrame | None = None, in_sample: bool = True, binned: bool = True, seed: int = 123, last_window: DataFrame | None = None, levels=None) -> DataFrame:
