@@ -72,7 +72,13 @@ def resample(series: DataFrame, rule: str = "h", closed: str = "left", label: st
     agg, empty = AGGREGATES[by]
     value = F.min_by("y", F.when(F.col("y").isNotNull(), F.col("ts"))) if by == "first" else F.max_by("y", F.when(F.col("y").isNotNull(), F.col("ts"))) if by == "last" else agg("y")
     bins = binned.groupBy("series_id", F.col("_bin").alias("ts")).agg(value.alias("y"))
-    out = grid_of(bins, rule, shared).join(bins, ["series_id", "ts"], "left")
+    ends = None
+    if shared:  # the first and last time of the table, from the source alone
+        ends = series.agg(F.min("ts").alias("_a"), F.max("ts").alias("_z"))
+        if 86400 % step:
+            ends = ends.withColumn("_origin", F.date_trunc("day", "_a"))
+        ends = ends.select(*(bin_start(c, rule, closed, origin).alias(c) for c in ("_a", "_z")))
+    out = _spread(bins, step, ends)
     if empty is not None:
         out = out.withColumn("y", F.coalesce("y", F.lit(empty)))
     if label == "right":
@@ -80,14 +86,33 @@ def resample(series: DataFrame, rule: str = "h", closed: str = "left", label: st
     return out.select("series_id", "ts", "y")
 
 
+def _spread(bins: DataFrame, step: int, ends: DataFrame | None) -> DataFrame:
+    """bins with a row of NULL for each step between a bin and the next; with ends, from _a to _z for every series.
+
+    Each row stands for the steps up to the next one, so no spine is joined and the table is read once.
+    """
+    one = F.make_dt_interval(secs=F.lit(step))
+    start, end = F.col("ts"), F.coalesce(F.lead("ts").over(over_series()) - one, F.col("ts"))
+    if ends is not None:
+        bins = bins.crossJoin(F.broadcast(ends))  # one row
+        start = F.when(F.lag("ts").over(over_series()).isNull(), F.col("_a")).otherwise(start)
+        end = F.coalesce(F.lead("ts").over(over_series()) - one, F.col("_z"))
+    steps = bins.withColumns({"_from": start, "_to": end})
+    out = steps.withColumn("_t", F.explode(F.sequence("_from", "_to", one)))
+    return out.select("series_id", F.col("_t").alias("ts"), F.when(F.col("_t") == F.col("ts"), F.col("y")).alias("y"))
+
+
 def as_frequency(series: DataFrame, rule: str = "h") -> DataFrame:
     """Puts rows on a regular grid without aggregating; steps without a row get NULL."""
     return grid_of(series, rule, shared=False).join(series, ["series_id", "ts"], "left").select("series_id", "ts", "y")
 
 
-def gaps(series: DataFrame, rule: str = "h", shared: bool = False) -> DataFrame:
-    """(series_id, ts) of the steps that have no row."""
-    return grid_of(series, rule, shared).join(series.select("series_id", "ts"), ["series_id", "ts"], "left_anti")
+def gaps(series: DataFrame, rule: str = "h") -> DataFrame:
+    """(series_id, ts) of the steps between a series' ends that have no row. One window, no join."""
+    one = F.make_dt_interval(secs=F.lit(seconds_of(rule)))
+    rows = series.select("series_id", "ts").withColumn("_next", F.lead("ts").over(over_series()))
+    holed = rows.filter(F.col("_next") > F.col("ts") + one)
+    return holed.select("series_id", F.explode(F.sequence(F.col("ts") + one, F.col("_next") - one, one)).alias("ts"))
 
 
 def check_complete(series: DataFrame, rule: str = "h") -> DataFrame:

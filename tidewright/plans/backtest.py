@@ -52,9 +52,9 @@ def keep_last_fold(rows: DataFrame) -> DataFrame:
 def backtest(forecaster: SeasonalNaive | RecursiveForecaster, series: DataFrame, cv: TimeSeriesFold | OneStepAheadFold, metrics: str | Sequence[str] = "mean_absolute_error", exog: DataFrame | None = None, by: Sequence[str] = ("series_id",), interval=None) -> tuple[DataFrame, DataFrame]:
     """(metrics, predictions). Overlapping folds count once in metrics, by the last of them; gap rows do not count."""
     metrics = [metrics] if isinstance(metrics, str) else list(metrics)
-    n = length(series)
     spark = series.sparkSession
-    placed = with_pos(series)
+    placed = with_pos(series).persist()  # read for every fold, and for the metrics' scale
+    n = length(placed)
     if isinstance(cv, OneStepAheadFold):
         rows = _one_step(forecaster, placed, cv, exog)
         train = placed.filter(F.col("pos") < cv.initial_train_size)

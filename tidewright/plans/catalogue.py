@@ -127,7 +127,7 @@ def resample_daily_orders(spark, sf_dir):
 @query(f"{BASE}, r AS (SELECT series_id, min(ts) AS a, max(ts) AS z FROM b GROUP BY 1) SELECT h.series_id, h.ts FROM hourly h JOIN r ON r.series_id = h.series_id AND h.ts BETWEEN a AND z WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.series_id = h.series_id AND b.ts = h.ts)")
 def completeness_gaps(spark, sf_dir):
     e = events(spark, sf_dir)
-    return grid.gaps(e.select("series_id", grid.bin_start("ts", "h").alias("ts")).distinct(), "h")
+    return grid.gaps(e.select("series_id", grid.bin_start("ts", "h").alias("ts")).distinct())
 
 
 @query(f"{BASE} SELECT series_id, ts, {q6('y')} AS y FROM filled")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewright.operators.curate import QuantileBinner
 from tidewright.operators.grid import future
-from tidewright.session import with_pos
+from tidewright.session import seconds_of
 
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "mean": F.avg,
@@ -27,6 +27,16 @@ AGGREGATES: dict[str, Callable[[Column], Column]] = {
 RESIDUALS = 10_000
 
 
+def _of_array(a: Column, agg: str) -> Column:
+    """An aggregate of an array without NULLs."""
+    total = F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    n = F.size(a)
+    if agg == "median":
+        s = F.array_sort(a)
+        return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+    return {"mean": total / F.nullif(n, F.lit(0)), "sum": total, "max": F.array_max(a), "min": F.array_min(a)}[agg]
+
+
 def capped(residuals: DataFrame, n_bins: int, seed: int = 123, total: int = RESIDUALS) -> DataFrame:
     """At most total // n_bins residuals of each bin and `total` of each series, picked by a seeded hash.
 
@@ -88,25 +98,45 @@ class SeasonalNaive:
         """Keeps the history; residuals and bins are computed only on demand."""
         self.history, self.residuals, self.binner, self.out_residuals = series, None, None, None
         if store_residuals:
+            self.history = series = series.persist()  # read for forecasts, bins and residuals; release() lets it go
             self.residuals, self.binner = self._in_sample(series, seed)
         return self
 
+    def release(self) -> None:
+        self.history.unpersist()
+
     # ---- forecasts
 
     def predict(self, steps: int, history: DataFrame | None = None) -> DataFrame:
         """(series_id, ts, step, pred) of the next steps. Raises when run if no offset of a time has a value in the history."""
         history = history if history is not None else self.history
-        ahead = future(history, steps, self.rule)
-        return self._by_steps(ahead, history) if isinstance(self.offset, int) else self._by_calendar(ahead, history)
-
-    def _by_steps(self, ahead: DataFrame, history: DataFrame) -> DataFrame:
-        n = self.offset
-        h = with_pos(history).select("series_id", "pos", "y")
-        last = h.groupBy("series_id").agg(F.max("pos").alias("_last"))
-        at = ahead.join(last, "series_id").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(self.n_offsets - 1))))
-        at = at.withColumn("pos", F.col("_last") - n + 1 + F.pmod(F.col("step") - 1, F.lit(n)) - F.col("k") * n)
-        joined = at.join(h, ["series_id", "pos"], "left")
-        return joined.groupBy("series_id", "ts", "step").agg(AGGREGATES[self.agg]("y").alias("pred"))
+        n = self._offset_steps()
+        return self._by_steps(history, n, steps) if n else self._by_calendar(future(history, steps, self.rule), history)
+
+    def _offset_steps(self) -> int | None:
+        """The offset in steps of the grid, if it is a fixed number of them."""
+        if isinstance(self.offset, int):
+            return self.offset
+        unit = str(self.offset).split()[1].rstrip("s").lower()
+        if unit in ("month", "year"):
+            return None
+        seconds, step = seconds_of(self.offset), seconds_of(self.rule)
+        return seconds // step if seconds % step == 0 else None
+
+    def _by_steps(self, history: DataFrame, n: int, steps: int) -> DataFrame:
+        """Each series' last n * n_offsets steps as an array, from which every forecast is read: one pass, no join."""
+        step = seconds_of(self.rule)
+        series = Window.partitionBy("series_id")
+        back = (F.unix_timestamp("_last") - F.unix_timestamp("ts")) / step
+        near = history.withColumn("_last", F.max("ts").over(series)).withColumn("_b", back)
+        near = near.filter((F.col("_b") < n * self.n_offsets) & (F.col("_b") == F.floor("_b")) & F.col("y").isNotNull())
+        state = near.groupBy("series_id").agg(F.max("_last").alias("_last"), F.map_from_entries(F.collect_list(F.struct(F.col("_b").cast("int"), "y"))).alias("_m"))
+        ahead = state.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+        first = n - 1 - F.pmod(F.col("step") - 1, F.lit(n))
+        found = F.filter(F.transform(F.sequence(F.lit(0), F.lit(self.n_offsets - 1)), lambda k: F.try_element_at("_m", (first + k * n).cast("int"))), lambda x: x.isNotNull())
+        none = F.raise_error(F.lit("no value of the history lies an offset before this time"))
+        pred = F.when(F.size(found) == 0, none).otherwise(_of_array(found, self.agg))
+        return ahead.select("series_id", (F.col("_last") + F.make_dt_interval(secs=F.col("step") * step)).alias("ts"), F.col("step").cast("long"), pred.alias("pred"))
 
     def _by_calendar(self, ahead: DataFrame, history: DataFrame) -> DataFrame:
         unit = self._interval()
@@ -132,8 +162,6 @@ class SeasonalNaive:
 
     def _rule_share(self) -> float:
         """Steps of the grid in an offset, from below, as a share."""
-        from tidewright.session import seconds_of
-
         number, unit = str(self.offset).split()
         seconds = {"month": 28 * 86400, "year": 365 * 86400}.get(unit.rstrip("s").lower()) or seconds_of(unit)
         return seconds_of(self.rule) / (int(number) * seconds)
@@ -146,13 +174,8 @@ class SeasonalNaive:
             w = Window.partitionBy("series_id").orderBy("ts")
             past = F.array(*(F.lag("y", self.offset * k).over(w) for k in range(1, self.n_offsets + 1)))
             rows = series.withColumn("_past", past)
-            k = F.col("_past")
-            agg = {"mean": F.aggregate(k, F.lit(0.0), lambda s, x: s + x) / self.n_offsets, "sum": F.aggregate(k, F.lit(0.0), lambda s, x: s + x), "max": F.array_max(k), "min": F.array_min(k)}
-            if self.agg == "median":
-                s = F.array_sort(k)
-                m = self.n_offsets
-                agg["median"] = (s[(m - 1) // 2] + s[m // 2]) / 2
-            return rows.withColumn("pred", F.when(F.forall(k, lambda x: x.isNotNull()), agg[self.agg])).drop("_past")
+            whole = F.forall("_past", lambda x: x.isNotNull())
+            return rows.withColumn("pred", F.when(whole, _of_array(F.col("_past"), self.agg))).drop("_past")
         unit = self._interval()
         at = series.select("series_id", "ts", "y", F.explode(F.sequence(F.lit(1), F.lit(self.n_offsets))).alias("k"))
         src = series.select("series_id", F.col("ts").alias("_src"), F.col("y").alias("_v"))
