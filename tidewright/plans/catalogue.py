@@ -19,6 +19,9 @@ from tidewright.plans.naive import SeasonalNaive, with_interval
 from tidewright.plans.recursive import RecursiveForecaster
 from tidewright.session import as_series, table, with_pos
 
+#: The event types.
+TYPES = ["click", "error", "purchase", "signup", "view"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -199,11 +202,11 @@ def utc_conversion(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.to_utc_timestamp(F.col("ts").cast("timestamp"), "+01:00").alias("utc"))
 
 
-@query(f"{BASE} SELECT ts, round(max(CASE WHEN series_id = 'click' THEN y END), 6) + 0.0 AS click, round(max(CASE WHEN series_id = 'view' THEN y END), 6) + 0.0 AS view FROM hourly GROUP BY ts")
+@query(f"{BASE} SELECT ts, " + ", ".join(f"{q6(f'max(CASE WHEN series_id = {chr(39)}{t}{chr(39)} THEN y END)')} AS {t}" for t in TYPES) + " FROM hourly GROUP BY ts")
 def wide_from_long(spark, sf_dir):
     from tidewright.session import to_wide
 
-    return rounded(to_wide(hourly(spark, sf_dir), ["click", "view"]), "click", "view")
+    return rounded(to_wide(hourly(spark, sf_dir), TYPES), *TYPES)
 
 
 @query("SELECT CAST(ts AS TIMESTAMP) AS ts, series_id, round(y, 6) + 0.0 AS y FROM (SELECT o_orderdate AS ts, 'price' AS series_id, o_totalprice AS y FROM orders UNION ALL SELECT o_orderdate, 'customer', CAST(o_custkey AS DOUBLE) FROM orders)")
@@ -401,11 +404,10 @@ def sun_features(spark, sf_dir):
 # ---- joins ------------------------------------------------------------------------------------------------------------
 
 
-@query(f"{BASE}, s AS (SELECT DISTINCT ts FROM filled), x AS (SELECT DISTINCT ON (ts) ts, y FROM (SELECT ts, avg(y) AS y FROM e WHERE series_id = 'error' GROUP BY ts)) SELECT s.ts, {q6('x.y')} AS value FROM s ASOF LEFT JOIN x ON s.ts >= x.ts")
+@query(f"{BASE}, s AS (SELECT DISTINCT ts FROM filled), x AS (SELECT ts, avg(y) AS y FROM e GROUP BY ts) SELECT s.ts, {q6('x.y')} AS value FROM s ASOF LEFT JOIN x ON s.ts >= x.ts")
 def asof_align(spark, sf_dir):
-    e = events(spark, sf_dir)
-    errors = e.filter("series_id = 'error'").groupBy("ts").agg(F.avg("y").alias("value"))
-    return rounded(features.asof(hourly(spark, sf_dir).select("ts").distinct(), errors, ["value"]), "value")
+    known = events(spark, sf_dir).groupBy("ts").agg(F.avg("y").alias("value"))
+    return rounded(features.asof(hourly(spark, sf_dir).select("ts").distinct(), known, ["value"]), "value")
 
 
 @query(f"{BASE} SELECT series_id, ts, {q6('avg(y) OVER f', 'y_window_1D_mean')} AS y_window_1D_mean, {q6('max(y) OVER f')} AS y_window_1D_max, {q6('min(y) OVER f')} AS y_window_1D_min FROM filled WINDOW f AS (PARTITION BY series_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 89999 PRECEDING AND 3600 PRECEDING)")
@@ -439,11 +441,11 @@ def direct_exog_leads(spark, sf_dir):
     return df.withColumns({f"y_step_{i}": F.round(f"y_step_{i}", 2) + 0.0 for i in (1, 2, 3)})
 
 
-@query(f"{BASE} SELECT ts, {q6('a.y')} AS click, {q6('c.y')} AS view FROM (SELECT * FROM filled WHERE series_id = 'click') a FULL JOIN (SELECT * FROM filled WHERE series_id = 'view') c USING (ts)")
+@query(f"{BASE} SELECT ts, " + ", ".join(f"{q6(f'max(CASE WHEN series_id = {chr(39)}{t}{chr(39)} THEN y END)')} AS {t}" for t in TYPES) + " FROM filled GROUP BY ts")
 def outer_concat(spark, sf_dir):
     f = filled(spark, sf_dir)
-    one = lambda s: f.filter(F.col("series_id") == s).select("ts", F.col("y").alias(s))
-    return rounded(features.outer_concat([one("click"), one("view")]), "click", "view")
+    parts = [f.filter(F.col("series_id") == t).select("ts", F.col("y").alias(t)) for t in TYPES]
+    return rounded(features.outer_concat(parts), *TYPES)
 
 
 # ---- seasonal-naive forecasts -----------------------------------------------------------------------------------------
@@ -629,19 +631,18 @@ def level_difference(spark, sf_dir):
     return e.filter("y > 50").select("series_id").distinct().exceptAll(e.filter("y > 1e9").select("series_id").distinct())
 
 
-@query(f"{BASE}, s AS (SELECT DISTINCT ts FROM filled), x AS (SELECT ts, series_id, avg(y) AS y FROM e WHERE series_id IN ('error', 'view') GROUP BY 1, 2), l AS (SELECT k.series_id, s.ts FROM s, (VALUES ('error'), ('view')) k(series_id)) SELECT l.series_id, l.ts, {q6('x.y')} AS value FROM l ASOF LEFT JOIN x ON l.series_id = x.series_id AND l.ts >= x.ts")
+@query(f"{BASE}, x AS (SELECT ts, series_id, avg(y) AS y FROM e GROUP BY 1, 2), l AS (SELECT series_id, ts FROM filled) SELECT l.series_id, l.ts, {q6('x.y')} AS value FROM l ASOF LEFT JOIN x ON l.series_id = x.series_id AND l.ts >= x.ts")
 def asof_by_key_in_blocks(spark, sf_dir):
-    e = events(spark, sf_dir).filter("series_id in ('error', 'view')")
-    right = e.groupBy("series_id", "ts").agg(F.avg("y").alias("value"))
-    left = hourly(spark, sf_dir).filter("series_id in ('error', 'view')").select("series_id", "ts")
+    right = events(spark, sf_dir).groupBy("series_id", "ts").agg(F.avg("y").alias("value"))
+    left = hourly(spark, sf_dir).select("series_id", "ts")
     return rounded(features.asof(left, right, ["value"], by=["series_id"], block="day"), "value")
 
 
-@query(f"{BASE}, {_BACK} SELECT series_id, {q6('avg(abs(y - pred))')} AS MAE, {q6('avg(pow(y - pred, 2))')} AS MSE FROM kept WHERE series_id = 'view' GROUP BY 1")
+@query(f"{BASE}, {_BACK} SELECT {q6('avg(abs(y - pred))')} AS MAE, {q6('avg(pow(y - pred, 2))')} AS MSE FROM kept")
 def compare_actual_predicted(spark, sf_dir):
-    rows = B.keep_last_fold(_backtest_rows(spark, sf_dir)).filter("series_id = 'view'")
+    rows = B.keep_last_fold(_backtest_rows(spark, sf_dir))
     got = M.compare(rows.select("series_id", "ts", "y"), rows.select("series_id", "ts", "pred"))
-    return got.select(F.lit("view").alias("series_id"), r6("MAE").alias("MAE"), r6("MSE").alias("MSE"))
+    return got.select(r6("MAE").alias("MAE"), r6("MSE").alias("MSE"))
 
 
 # ---- regression forecasts ---------------------------------------------------------------------------------------------
