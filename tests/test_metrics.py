@@ -64,3 +64,20 @@ def test_scaled(spark, series):
     assert got.mean_absolute_scaled_error == pytest.approx(0.5 / (5 / 3))
     assert got.root_mean_squared_scaled_error == pytest.approx(np.sqrt(0.5) / np.sqrt(3))
     assert M.compare(pred.drop("pred"), pred.drop("y")).first().MAE == 0.5
+
+
+def test_own_metric(spark, series):
+    def worst(y="y", p="pred"):
+        return F.max(F.abs(F.col(y) - F.col(p)))
+
+    df = series([1, 5]).withColumn("pred", F.lit(2.0))
+    assert M.score(df, [worst, "mean_absolute_error"], ["series_id"]).first().asDict() == {"series_id": "y", "worst": 3.0, "mean_absolute_error": 2.0}
+
+
+def test_protocols():
+    from tidewright.operators.features import RollingFeatures
+    from tidewright.plans.base import Forecaster, WindowFeatures
+    from tidewright.plans.naive import SeasonalNaive
+    from tidewright.plans.recursive import RecursiveForecaster
+
+    assert isinstance(SeasonalNaive(), Forecaster) and isinstance(RecursiveForecaster(), Forecaster) and isinstance(RollingFeatures(["mean"], 3), WindowFeatures)

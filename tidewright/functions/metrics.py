@@ -104,7 +104,10 @@ REGISTRY = {
 SCALED = ("mean_absolute_scaled_error", "root_mean_squared_scaled_error")
 
 
-def metric(name: str):
+def metric(name):
+    """A metric by name, or a function of (y, pred) column names that gives an aggregate."""
+    if callable(name):
+        return name
     if name not in REGISTRY:
         raise ValueError(f"unknown metric {name!r}; known: {sorted([*REGISTRY, *SCALED])}")
     return REGISTRY[name]
@@ -116,11 +119,12 @@ def naive_scale(train: DataFrame, by: Sequence[str] = ("series_id",)) -> DataFra
     return train.withColumn("_d", d).groupBy(*by).agg(F.avg(F.abs("_d")).alias("mae_scale"), F.sqrt(F.avg(F.pow("_d", 2))).alias("rmse_scale"))
 
 
-def score(rows: DataFrame, metrics: Sequence[str], by: Sequence[str] = (), train: DataFrame | None = None) -> DataFrame:
+def score(rows: DataFrame, metrics: Sequence, by: Sequence[str] = (), train: DataFrame | None = None) -> DataFrame:
     """One row for each group with a column for each metric. train: rows of (by, series_id, ts, y) for scaled metrics."""
     by = list(by)
+    named = [m.__name__ if callable(m) else m for m in metrics]
     plain = [m for m in metrics if m not in SCALED]
-    aggs = [metric(m)().alias(m) for m in plain]
+    aggs = [metric(m)().alias(m.__name__ if callable(m) else m) for m in plain]
     if len(plain) < len(metrics):
         if train is None:
             raise ValueError("scaled metrics need training rows")
@@ -130,7 +134,7 @@ def score(rows: DataFrame, metrics: Sequence[str], by: Sequence[str] = (), train
         scale = naive_scale(train, by or ["series_id"]) if by else naive_scale(train).agg(F.avg("mae_scale").alias("mae_scale"), F.avg("rmse_scale").alias("rmse_scale"))
         out = out.join(scale, by) if by else out.crossJoin(F.broadcast(scale))  # one row each
         out = out.withColumns({"mean_absolute_scaled_error": F.try_divide("_mae", "mae_scale"), "root_mean_squared_scaled_error": F.try_divide("_rmse", "rmse_scale")})
-    return out.select(*by, *metrics)
+    return out.select(*by, *named)
 
 
 def crps_ensemble(members: DataFrame, keys: Sequence[str], y: str = "y", value: str = "pred") -> DataFrame:

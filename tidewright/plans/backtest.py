@@ -49,9 +49,9 @@ def keep_last_fold(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def backtest(forecaster: SeasonalNaive | RecursiveForecaster, series: DataFrame, cv: TimeSeriesFold | OneStepAheadFold, metrics: str | Sequence[str] = "mean_absolute_error", exog: DataFrame | None = None, by: Sequence[str] = ("series_id",), interval=None) -> tuple[DataFrame, DataFrame]:
-    """(metrics, predictions). Overlapping folds count once in metrics, by the last of them; gap rows do not count."""
-    metrics = [metrics] if isinstance(metrics, str) else list(metrics)
+def backtest(forecaster: SeasonalNaive | RecursiveForecaster, series: DataFrame, cv: TimeSeriesFold | OneStepAheadFold, metrics="mean_absolute_error", exog: DataFrame | None = None, by: Sequence[str] = ("series_id",), interval=None) -> tuple[DataFrame, DataFrame]:
+    """(metrics, predictions). metrics: a name or function, or several, as in metrics.score(). Overlapping folds count once in metrics, by the last of them; gap rows do not count."""
+    metrics = [metrics] if isinstance(metrics, str) or callable(metrics) else list(metrics)
     spark = series.sparkSession
     placed = with_pos(series).persist()  # read for every fold, and for the metrics' scale
     n = length(placed)
