@@ -6,7 +6,8 @@ certain and once more with the fractional part as its inclusion probability. The
 moves the probabilities of three documents at a time along the null space of two constraints, the number of documents
 and the number of words, until all but two are 0 or 1. It runs in chunks of a source, by hash of the key; what the chunks
 leave over, two documents each, flies again in groups of chunks, level by level, until each source has one small
-landing problem of two documents at most. No source is gathered in one task, however large.
+landing problem of two documents at most. What their rounding misses is made good by exchanging documents that settled in the
+last flight. No source is gathered in one task, however large.
 
 Long documents fly first, so that those left to land are short. Randomness is seeded by source, chunk and level, and
 rows of one size are ordered by a hash of the key, so reruns agree.
@@ -93,6 +94,23 @@ def land(p: list[float], size: list[int]) -> list[float]:
     return list(min(best, key=lambda x: (abs(sum(a * b for a, b in zip(x, size, strict=True)) - words), abs(sum(x) - docs), x)))
 
 
+def exchange(p: list[float], size: list[int], words: float, most: int = 64) -> list[float]:
+    """Settled documents with up to `most` of them taken in or left out, each time the one that brings their words nearest to `words`.
+
+    A very long document can stay fractional to the end of a flight, and rounding it may miss by much of its length.
+    """
+    p = list(p)
+    miss = words - sum(a * b for a, b in zip(p, size, strict=True))
+    for _ in range(most):
+        change = [s if x == 0 else -s for x, s in zip(p, size, strict=True)]
+        best = min(range(len(p)), key=lambda i: (abs(miss - change[i]), i), default=None)
+        if best is None or abs(miss - change[best]) >= abs(miss):
+            break
+        p[best] = 1.0 - p[best]
+        miss -= change[best]
+    return p
+
+
 def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1), most_repeats: int = 3, seed: int = 0, row: str | None = None) -> DataFrame:
     """For each row of docs: key, row, source, size, source_size, target, copies and taken (copies times size).
 
@@ -118,11 +136,13 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
             pdf = pdf.sort_values(["size", "hash", "key"], ascending=[False, True, True], kind="stable")
             first = pdf.iloc[0]
             p, size = pdf["p"].tolist(), pdf["size"].tolist()
+            words = sum(a * b for a, b in zip(p, size, strict=True))
             p = fly(p, size, random.Random(f"{seed} {first['source']!r} {first['chunk']} {level}"))
             if last:
                 left = [i for i, x in enumerate(p) if 0 < x < 1]
                 for i, x in zip(left, land([p[i] for i in left], [size[i] for i in left]), strict=True):
                     p[i] = x
+                p = exchange(p, size, words)
             return pdf.assign(p=p)[schema.names]
 
         return run
