@@ -19,12 +19,17 @@ from tidewright.session import ship
 SPACES = " \t\n\x0b\f\r"
 
 #: Bytes of text that a Python worker hashes at once; a single longer document is taken alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+#: Rows of an Arrow batch at most, as a row is a whole document.
+BATCH_ROWS = 2000
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """mapInArrow with this package at hand on the executors."""
-    ship(df.sparkSession)
+    """mapInArrow with this package at hand on the executors, in batches that suit whole documents."""
+    spark = df.sparkSession
+    ship(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(run, schema)
 
 
@@ -40,7 +45,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             made = "file://" + tempfile.mkdtemp(prefix="tidewright-")
             spark.sparkContext.setCheckpointDir(made)
         base = made
-    return f"{base.rstrip('/')}/tidewright/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{base.rstrip('/')}/tidewright/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all scratch tables of this application; for when its results have been written elsewhere."""
+    top = scratch_path(spark, "all").rpartition("/")[0]
+    p = spark._jvm.org.apache.hadoop.fs.Path(top)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def as_table(df: DataFrame, name: str) -> DataFrame:

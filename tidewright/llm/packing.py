@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections import deque
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -45,20 +46,27 @@ class Tokenizer:
         import re
 
         import tiktoken
-        import tokenizers
 
-        self.library = tokenizers.Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.path = path
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            whole = json.load(f)
+        special, vocab = {t["content"]: t["id"] for t in whole["added_tokens"]}, whole["model"]["vocab"]
         back = _byte_of_character()
         ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if token not in special}
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self.special = set(special)
         self.long_run = re.compile(rf"\s{{{self.LONGEST_RUN}}}|\S{{{self.LONGEST_RUN}}}")
 
+    @cached_property
+    def library(self):
+        """The tokenizers library's own; few texts need it."""
+        import tokenizers
+
+        t = tokenizers.Tokenizer.from_file(self.path)
+        t.no_truncation()
+        t.no_padding()
+        return t
+
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
