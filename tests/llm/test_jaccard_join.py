@@ -77,6 +77,13 @@ def test_against_brute_force(documents, seed, small, monkeypatch):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("bits", [3, 6])
+def test_clashing_sums(documents, bits):
+    rows = corpus(4)[:150]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.join(documents(rows), bits=bits).collect()}
+    assert got == brute(rows)
+
+
 @pytest.mark.parametrize("percent", [50, 95, 100])
 def test_other_thresholds(documents, percent):
     rows = corpus(3)[:120]

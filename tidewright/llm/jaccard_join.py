@@ -111,9 +111,10 @@ def _lanes(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out[0], out[1]
 
 
-def _ids(tokens: np.ndarray, bounds: np.ndarray, clashing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A node id for each set, and its second sum. clashing: first sums that belong to several sets."""
+def _ids(tokens: np.ndarray, bounds: np.ndarray, clashing: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A node id for each set, and its second sum. clashing: first sums that belong to several sets. bits: of the first sum."""
     a, b = _lanes(tokens, bounds)
+    a = a >> np.uint64(64 - bits)
     if len(clashing):
         again = np.isin(a, clashing)
         a = np.where(again, C.mix64(a ^ (b * _K)), a)
@@ -131,7 +132,7 @@ def _read(batch, text: str):
         yield i, j, *shingle_sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
-def _pieces(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+def _pieces(docs: DataFrame, key: str, text: str, bits: int) -> tuple[DataFrame, DataFrame]:
     """(rows: row, key, n, node, lane of every document; sketch: block, part, counts)."""
     source = docs.select(F.col("_row").alias("row"), F.col(key).alias("key"), text)
     schema = T.StructType([T.StructField("row", source.schema["row"].dataType), T.StructField("key", source.schema["key"].dataType), *(T.StructField(c, T.LongType()) for c in ("n", "node", "lane")), T.StructField("block", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("counts", T.BinaryType())])
@@ -144,7 +145,7 @@ def _pieces(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]
         for b in batches:
             n, node, lane = [], [], []
             for _, _, tokens, bounds in _read(b, text):
-                x, y = _ids(tokens, bounds, np.zeros(0, np.uint64))
+                x, y = _ids(tokens, bounds, np.zeros(0, np.uint64), bits)
                 n.append(np.diff(bounds))
                 node.append(x.view(np.int64))
                 lane.append(y.view(np.int64))
@@ -188,7 +189,7 @@ def _levels(sketch: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _prefixes(docs: DataFrame, text: str, levels: np.ndarray, clashing: np.ndarray, percent: int, hot_level: int) -> DataFrame:
+def _prefixes(docs: DataFrame, text: str, levels: np.ndarray, clashing: np.ndarray, percent: int, hot_level: int, bits: int) -> DataFrame:
     """(token, salt, node, info): the probing prefix of each set; info is 2 n, plus 1 in the indexing prefix."""
     source = docs.select(text)
     shared = docs.sparkSession.sparkContext.broadcast((levels, clashing))
@@ -199,7 +200,7 @@ def _prefixes(docs: DataFrame, text: str, levels: np.ndarray, clashing: np.ndarr
         seen: set[int] = set()
         for b in batches:
             for _, _, tokens, bounds in _read(b, text):
-                node, _ = _ids(tokens, bounds, clashing)
+                node, _ = _ids(tokens, bounds, clashing, bits)
                 level = levels[tokens >> np.uint64(64 - SKETCH_BITS)]
                 order = (level.astype(np.uint64) << np.uint64(56)) | (tokens >> np.uint64(8))
                 out = [[], [], [], []]
@@ -323,10 +324,11 @@ def _maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 80, row: str | None = None) -> DataFrame:
+def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 80, row: str | None = None, bits: int = 64) -> DataFrame:
     """For each row: row (of C.with_row()), key, n_shingles, component_id, and first: whether it stands for its component.
 
-    row: the column of C.with_row(), if docs has it.
+    row: the column of C.with_row(), if docs has it. bits: of the sums that name sets; sums that clash are named anew, so
+    fewer give the same result.
     """
     spark = docs.sparkSession
     C.ship(spark)
@@ -335,7 +337,7 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: i
         docs = C.with_row(docs, row)
     docs = docs.select(F.col(row).alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"))
     own, key, text = key, "_key", "_text"
-    rows, sketch = _pieces(docs, key, text)
+    rows, sketch = _pieces(docs, key, text, bits)
     nodes = rows.filter("n > 0").groupBy("node", "lane").agg(F.min("row").alias("row"), F.max("n").alias("n"))
     clashing = np.array([r[0] for r in nodes.groupBy("node").count().filter("count > 1").limit(100_000).select("node").collect()], np.int64).view(np.uint64)
     if len(clashing):  # two sets with one 64-bit sum: both get another id, from both sums
@@ -343,7 +345,7 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: i
         rows = C.as_table(rows.withColumn("node", F.when(F.col("node").isin(clashing.view(np.int64).tolist()), udf("node", "lane")).otherwise(F.col("node"))), "sets")
         nodes = rows.filter("n > 0").groupBy("node", "lane").agg(F.min("row").alias("row"), F.max("n").alias("n"))
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    labels = _components(spark, docs, text, nodes.drop("lane"), sketch, clashing, total, percent) if total else None
+    labels = _components(spark, docs, text, nodes.drop("lane"), sketch, clashing, total, percent, bits) if total else None
     if labels is None:
         labels = spark.createDataFrame([], "node long, component long")
     # the smallest key of each component; rows with an empty set stand alone
@@ -357,11 +359,11 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: i
     return out.select("row", F.col("key").alias(own), F.col("n").alias("n_shingles"), "component_id", "first")
 
 
-def _components(spark, docs, text, nodes, sketch, clashing, total, percent) -> DataFrame:
+def _components(spark, docs, text, nodes, sketch, clashing, total, percent, bits) -> DataFrame:
     levels = _levels(sketch)
     hot_level = int(4 * np.log2(1 + max(HOT, 16 * total / (1 << SKETCH_BITS))))
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * (100 - percent) / 100) // PARTITION_ROWS + 1)
-    shared = C.as_table(_shared(_prefixes(docs, text, levels, clashing, percent, hot_level), partitions, percent), "shared")
+    shared = C.as_table(_shared(_prefixes(docs, text, levels, clashing, percent, hot_level, bits), partitions, percent), "shared")
 
     # groups: the leader with which a node shares most prefix tokens
     follows = shared.filter("leader is not null").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("times"))
@@ -380,7 +382,7 @@ def _components(spark, docs, text, nodes, sketch, clashing, total, percent) -> D
     member = chunked.filter("node != leader").join(lead, "leader").filter(F.col("times") >= least_shared(F.col("n"), F.col("n"), F.col("leader_n"), F.col("leader_n"), percent))
     member = C.as_table(member.select("node", "leader", "chunk"), "members")
     roles = member.select("node", "chunk", F.lit(False).alias("leads")).unionByName(member.select(F.col("leader").alias("node"), "chunk", F.lit(True).alias("leads")).distinct())
-    edges = C.as_table(_compare_with_leaders(_with_sets(docs, text, nodes, roles, clashing), percent), "edges")
+    edges = C.as_table(_compare_with_leaders(_with_sets(docs, text, nodes, roles), percent), "edges")
     first = C.as_table(components(edges), "components")
 
     # the matrix: (token, group) with what is needed to rule pairs out
@@ -408,7 +410,7 @@ def _components(spark, docs, text, nodes, sketch, clashing, total, percent) -> D
     # opening of what qualifies
     sides = pairs.select("g", "h", F.col("g").alias("group"), F.lit(0).alias("side")).unionByName(pairs.filter("g != h").select("g", "h", F.col("h").alias("group"), F.lit(1).alias("side")))
     opened = sides.join(grouped.select("group", "node", "component"), "group").select("node", "g", "h", "side", "component")
-    candidates = _with_sets(docs, text, nodes, opened, clashing)
+    candidates = _with_sets(docs, text, nodes, opened)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(open_groups(pdf, percent), columns=["u", "v"], dtype="int64")
@@ -428,7 +430,7 @@ def least_shared(a0: Column, a1: Column, b0: Column, b1: Column, percent: int) -
     return F.ceil(percent * (a0 + b0) / (100 + percent)) - F.ceil(percent * F.greatest(a1, b1) / 100) + 1
 
 
-def _with_sets(docs: DataFrame, text: str, nodes: DataFrame, roles: DataFrame, clashing: np.ndarray) -> DataFrame:
+def _with_sets(docs: DataFrame, text: str, nodes: DataFrame, roles: DataFrame) -> DataFrame:
     """roles (node, ...) with toks, the node's set, from the text of the document that stands for it."""
     placed = C.as_table(roles.join(nodes.select("node", F.col("row").alias("_row")), "node"), "roles")
     keep = [c for c in placed.columns if c != "_row"]
