@@ -236,7 +236,7 @@ class RecursiveForecaster:
 
     def fit(self, series: DataFrame, exog: DataFrame | None = None, weights: DataFrame | None = None, series_weights: dict[str, float] | None = None, store_residuals: bool = False, seed: int = 123) -> RecursiveForecaster:
         """weights: (ts, weight) or (series_id, ts, weight); a row without one is an error. series_weights multiply them."""
-        self.levels = sorted(r[0] for r in series.select("series_id").distinct().collect())  # names of the series to model
+        self._levels, self._trained = None, series.select("series_id").distinct()
         matrix = self.create_train_matrix(series, exog)
         weight = None
         if weights is not None or series_weights:
@@ -247,10 +247,14 @@ class RecursiveForecaster:
             weight = "weight"
         encoded, names = self._encoded(matrix)
         self.all_names = names
+        self.model_table, self.shared_model = None, None
         if self.estimator == "linear":
-            by = ["series_id"] if self.per_series else []
-            found = fit_linear(encoded, names, by, weight, **{k: v for k, v in self.estimator_params.items() if k == "ridge"}).collect()  # a row for each model
-            self.models = {(r["series_id"] if by else None): (list(r["coef"]), r["intercept"]) for r in found}
+            table = fit_linear(encoded, names, ["series_id"] if self.per_series else [], weight, **{k: v for k, v in self.estimator_params.items() if k == "ridge"})
+            if self.per_series:
+                self.model_table = table.persist()  # a row for each series; it stays a table, however many there are
+            else:
+                row = table.first()
+                self.shared_model = (list(row["coef"]), row["intercept"])
         else:
             from pyspark.ml import regression as R
             from pyspark.ml.feature import VectorAssembler
@@ -258,7 +262,7 @@ class RecursiveForecaster:
             make = {"gbt": R.GBTRegressor, "forest": R.RandomForestRegressor, "tree": R.DecisionTreeRegressor}[self.estimator]
             model = make(featuresCol="_x", labelCol="y", seed=seed, **({"weightCol": weight} if weight else {}), **({"maxIter": 20} if self.estimator == "gbt" else {}) | self.estimator_params)
             assembled = VectorAssembler(inputCols=list(names), outputCol="_x").transform(encoded)
-            self.models = {None: Trees.of(model.fit(assembled), names)}
+            self.shared_model = Trees.of(model.fit(assembled), names)
         self.history = series
         self.windows = self._last_windows(series)
         self.is_fitted = True
@@ -289,26 +293,33 @@ class RecursiveForecaster:
         if not self.is_fitted:
             raise NotFitted("fit the forecaster first")
 
-    def _linear(self, names: Sequence[str]) -> Column:
-        """The linear prediction from feature columns."""
-        def one(model) -> Column:
-            coef, intercept = model
-            total = F.lit(float(intercept))
-            for n, c in zip(names, coef, strict=True):
-                total = total + F.col(n) * F.lit(float(c))
-            return total
-
-        if None in self.models:
-            return one(self.models[None])
-        out = F.lit(None).cast("double")
-        for k, m in self.models.items():
-            out = F.when(F.col("series_id") == k, one(m)).otherwise(out)
-        return out
+    @property
+    def levels(self) -> list[str]:
+        """The series of the training, by name."""
+        if self._levels is None:
+            self._levels = sorted(r[0] for r in self._trained.collect())
+        return self._levels
+
+    @property
+    def models(self) -> dict:
+        """(coefficients, intercept) by series, or one model under None. Gathers the table of models, so for a few series."""
+        if self.model_table is None:
+            return {None: self.shared_model}
+        return {r["series_id"]: (list(r["coef"]), r["intercept"]) for r in self.model_table.collect()}
 
     def _predict_rows(self, encoded: DataFrame) -> DataFrame:
+        names = list(self.all_names)
         if self.estimator == "linear":
-            return encoded.withColumn("pred", self._linear(self.all_names))
-        trees, names = self.models[None], list(self.all_names)
+            if self.model_table is not None:
+                known = encoded.join(self.model_table, "series_id")
+            else:
+                coef, intercept = self.shared_model
+                known = encoded.withColumns({"coef": F.array(*(F.lit(float(c)) for c in coef)), "intercept": F.lit(float(intercept))})
+            total = F.col("intercept")
+            for k, n in enumerate(names):
+                total = total + F.col(n) * F.col("coef")[k]
+            return known.withColumn("pred", total).drop("coef", "intercept")
+        trees = self.shared_model
         udf = F.pandas_udf(lambda *c: pd.Series(trees.predict(np.array(c, float))), "double")
         return encoded.withColumn("pred", udf(*(F.col(n).cast("double") for n in names)))
 
@@ -380,11 +391,9 @@ class RecursiveForecaster:
     def _in_catalyst(self, windows: DataFrame, steps: int) -> DataFrame:
         """Linear models on lags and exogenous columns: the recursion is one aggregate() over the steps."""
         reach, lags, n_exog = max(self._reach, 1), self.lag_list, len(self.exog_names)
-        rows = [(k, [float(c) for c in m[0]], float(m[1])) for k, m in self.models.items()]
-        spark = windows.sparkSession
-        if None in self.models:
-            fixed = F.array(*(F.lit(c) for c in rows[0][1]))
-            known = windows.withColumn("coef", fixed).withColumn("intercept", F.lit(rows[0][2]))
+        if self.model_table is None:
+            coef, intercept = self.shared_model
+            known = windows.withColumn("coef", F.array(*(F.lit(float(c)) for c in coef))).withColumn("intercept", F.lit(float(intercept)))
             level = len(lags) + n_exog
             if self.encoding == "ordinal":
                 codes = F.element_at(F.create_map(*(x for i, s in enumerate(self.levels) for x in (F.lit(s), F.lit(float(i))))), F.col("series_id"))
@@ -393,7 +402,7 @@ class RecursiveForecaster:
                 at = F.array_position(F.array(*(F.lit(s) for s in sorted(self.levels))), F.col("series_id"))
                 known = known.withColumn("intercept", F.col("intercept") + F.when(at > 0, F.try_element_at("coef", (at + level).cast("int"))).otherwise(F.lit(0.0)))
         else:
-            known = windows.join(F.broadcast(spark.createDataFrame(rows, "series_id string, coef array<double>, intercept double")), "series_id")  # a row for each model
+            known = windows.join(self.model_table, "series_id")
 
         def step(state: Column, i: Column) -> Column:
             y = F.col("intercept")
@@ -414,9 +423,12 @@ class RecursiveForecaster:
 
     def _in_lanes(self, windows: DataFrame, steps: int, boot: dict | None) -> DataFrame:
         """All other models: NumPy over a series' lanes, one lane for each bootstrap path. State has a fixed size for each series."""
-        lags, wf, models, linear = self.lag_list, self.window_features, self.models, self.estimator == "linear"
-        level_values = {s: self._level_values(s) for s in self.levels}
-        unknown = self._level_values("\0")
+        lags, wf, shared, linear = self.lag_list, self.window_features, self.shared_model, self.estimator == "linear"
+        encoded = not self.per_series and self.encoding is not None
+        level_values = {s: self._level_values(s) for s in self.levels} if encoded else {}
+        unknown = self._level_values("\0") if encoded else []
+        if self.model_table is not None:
+            windows = windows.join(self.model_table, "series_id")
         drawn, edges = boot is not None, boot is not None and boot["edges"] is not None
         n = boot["n"] if boot else 1
         seed = boot["seed"] if boot else 0
@@ -424,7 +436,7 @@ class RecursiveForecaster:
 
         def one(row) -> np.ndarray:
             key = row["series_id"]
-            model = models.get(key, models.get(None))
+            model = shared if shared is not None else (row["coef"], row["intercept"])
             state = np.repeat(np.asarray(row["state"], float)[-reach:, None], n, axis=1)
             fixed = [np.full(n, v) for v in level_values.get(key, unknown)]
             r = np.random.default_rng([seed, *key.encode()])
@@ -543,11 +555,13 @@ class RecursiveForecaster:
         meta = {
             "params": {k: getattr(self, k) for k in self.__dataclass_fields__ if k not in ("window_features", "lags")} | {"lags": self.lag_list},
             "window_features": wf and {"stats": list(wf.stats), "window_sizes": list(wf.window_sizes), "closed": wf.closed},
-            "models": [[k, vars(m) if isinstance(m, Trees) else list(m)] for k, m in self.models.items()],
+            "model": vars(self.shared_model) if isinstance(self.shared_model, Trees) else self.shared_model,
             "levels": self.levels, "feature_names": self.feature_names, "all_names": list(self.all_names), "exog_names": self.exog_names, "residuals": self.residuals is not None,
         }
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
         self.windows.write.mode("overwrite").parquet(f"{path}/windows")
+        if self.model_table is not None:
+            self.model_table.write.mode("overwrite").parquet(f"{path}/models")
         if self.residuals is not None:
             self.residuals.write.mode("overwrite").parquet(f"{path}/residuals")
             self.binner.edges.write.mode("overwrite").parquet(f"{path}/edges")
@@ -557,8 +571,11 @@ class RecursiveForecaster:
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
         wf = meta["window_features"]
         out = cls(**meta["params"], window_features=X.RollingFeatures(**wf) if wf else None)
-        out.models = {k: Trees(**m) if isinstance(m, dict) else tuple(m) for k, m in meta["models"]}
-        for k in ("levels", "feature_names", "all_names", "exog_names"):
+        m = meta["model"]
+        out.shared_model = Trees(**m) if isinstance(m, dict) else tuple(m) if m else None
+        out.model_table = None if m else spark.read.parquet(f"{path}/models")
+        out._levels = meta["levels"]
+        for k in ("feature_names", "all_names", "exog_names"):
             setattr(out, k, meta[k])
         out.windows = spark.read.parquet(f"{path}/windows")
         if out.scaled:
