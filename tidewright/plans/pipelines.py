@@ -85,13 +85,13 @@ def forecast_with_covariates(series: DataFrame, horizon: int = 24, covariates: C
     marked = curate.mark_outliers(sampled, contamination) if contamination else sampled.withColumn("is_outlier", F.lit(False))
     marked = marked.persist()
     if weights:
-        data = curate.missing_weights(marked.drop("is_outlier"), window_size, weights)
+        data = curate.missing_weights(marked.drop("is_outlier"), window_size, weights).persist()
         sample_weights = data.select("series_id", "ts", "weight")
         data = data.drop("weight")
     else:
         data, sample_weights = grid.fill(marked.drop("is_outlier")), None
     bounds = data.agg(F.min("ts").alias("start"), (F.max("ts") + F.make_dt_interval(secs=F.lit(horizon * seconds_of(rule)))).alias("end"))
-    exog = (covariates or Covariates()).build(bounds, rule)
+    exog = (covariates or Covariates()).build(bounds, rule).persist()
     model = None
     if model_dir and not force_train and store.exists(series.sparkSession, model_dir):
         model = RecursiveForecaster.load(series.sparkSession, model_dir)
