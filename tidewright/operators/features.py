@@ -127,7 +127,7 @@ class RollingFeatures:
         following = block.select("series_id", "_block").distinct().withColumn("_next", F.lead("_block").over(Window.partitionBy("series_id").orderBy("_block")))
         tails = block.withColumn("_back", back).filter(F.col("_back") <= need).drop("_back").join(following, ["series_id", "_block"]).filter("_next is not null")
         tails = tails.withColumn("_block", F.col("_next")).withColumn("_own", F.lit(False)).drop("_next")
-        renamed = block.unionByName(tails).withColumn("_id", F.col("series_id"))
+        renamed = block.unionByName(tails)
         shift = 0 if self.closed == "right" else 1
         w = Window.partitionBy("series_id", "_block").orderBy("ts")
         cols = {}
@@ -135,7 +135,7 @@ class RollingFeatures:
             frame = w.rowsBetween(-(n - 1) - shift, -shift)
             for s in self.stats:
                 cols[f"roll_{s}_{n}"] = F.when(F.count("y").over(frame) >= n, STATISTICS[s](frame, "y"))
-        return renamed.withColumns(cols).filter("_own").drop("_block", "_own", "_id")
+        return renamed.withColumns(cols).filter("_own").drop("_block", "_own")
 
     def _custom(self, df: DataFrame) -> DataFrame:
         names = [f"roll_{s}_{n}" for n in self.window_sizes for s in self.stats if s in self.custom]
