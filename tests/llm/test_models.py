@@ -2,7 +2,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tidewright.llm import language_id as L
 from tidewright.llm import toxicity as X

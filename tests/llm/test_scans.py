@@ -5,7 +5,6 @@ import zlib
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from tidewright.llm import _common as C
 from tidewright.llm import license_scan as S
