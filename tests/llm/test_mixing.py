@@ -96,3 +96,27 @@ def test_odd_rows(documents, odd_texts, clashing):
     assert out.count() == got.agg(F.sum("copies")).first()[0]
     assert M.mix(documents([])).count() == 0 and M.apply_mix(documents([])).count() == 0
     assert M.mix(documents([(1, "", "a"), (2, None, "b")])).agg(F.sum("taken")).first()[0] == 0
+
+
+def long_texts():
+    """A source in many chunks and one in a single chunk, each with one very long document."""
+    r = random.Random(5)
+    sizes = [("a", 1501), ("b", 301), *(("a", r.randrange(0, 12)) for _ in range(400)), *(("b", r.randrange(0, 9)) for _ in range(100)), *(("c", r.randrange(0, 40)) for _ in range(40))]
+    return [(i, "w " * n, s) for i, (s, n) in enumerate(sizes)]
+
+
+@pytest.mark.parametrize("chunk, group", [(1024, 256), (128, 256), (16, 256), (16, 3)])
+def test_words_are_met_at_every_number_of_chunks(documents, chunk, group, monkeypatch):
+    monkeypatch.setattr(M, "CHUNK", chunk)
+    monkeypatch.setattr(M, "GROUP", group)
+    monkeypatch.setattr(M, "BROADCAST_SOURCES", 0 if group == 3 else 10)
+    rows = long_texts()
+    got = M.mix(documents(rows)).collect()
+    assert sorted(r.doc_id for r in got) == [r[0] for r in rows]
+    misses = {s: sum(r.taken for r in got if r.source == s) - next(r.target for r in got if r.source == s) for s in "abc"}
+    assert all(abs(x) <= 1 for x in misses.values())
+    assert all(r.taken == r.copies * r.size for r in got)
+
+
+def test_exchange_is_not_capped():
+    assert sum(M.exchange([1.0] + [0.0] * 999, [5000] + [3] * 999, 2500.0)) == 833

@@ -6,8 +6,8 @@ certain and once more with the fractional part as its inclusion probability. The
 moves the probabilities of three documents at a time along the null space of two constraints, the number of documents
 and the number of words, until all but two are 0 or 1. It runs in chunks of a source, by hash of the key; what the chunks
 leave over, two documents each, flies again in groups of chunks, level by level, until each source has one small
-landing problem of two documents at most. What their rounding misses is made good by exchanging documents that settled in the
-last flight. No source is gathered in one task, however large.
+landing problem of two documents at most. What their rounding misses is made good by exchanging documents of the
+source, whichever flight settled them. No source is gathered in one task, however large.
 
 Long documents fly first, so that those left to land are short. Randomness is seeded by source, chunk and level, and
 rows of one size are ordered by a hash of the key, so reruns agree.
@@ -18,13 +18,17 @@ order; a repeated row is a document of its own; sources of no words have target
 
 from __future__ import annotations
 
+import bisect
+import functools
 import math
+import operator
 import random
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewright.llm import _common as C
 
@@ -94,20 +98,65 @@ def land(p: list[float], size: list[int]) -> list[float]:
     return list(min(best, key=lambda x: (abs(sum(a * b for a, b in zip(x, size, strict=True)) - words), abs(sum(x) - docs), x)))
 
 
-def exchange(p: list[float], size: list[int], words: float, most: int = 64) -> list[float]:
-    """Settled documents with up to `most` of them taken in or left out, each time the one that brings their words nearest to `words`.
+def exchanges(size: Sequence[int], left_out: Sequence[int], taken: Sequence[int], words: float) -> list[int]:
+    """Of settled documents counted by size, how many to take in (above 0) or leave out (below 0) so that their words come near to `words`.
 
-    A very long document can stay fractional to the end of a flight, and rounding it may miss by much of its length.
+    Each time those are exchanged that bring the words nearest, until none does. Then one more than that is exchanged, which may miss by
+    more, if what others can make good after it ends nearer. Documents of size 0 change nothing.
     """
-    p = list(p)
-    miss = words - sum(a * b for a, b in zip(p, size, strict=True))
-    for _ in range(most):
-        change = [s if x == 0 else -s for x, s in zip(p, size, strict=True)]
-        best = min(range(len(p)), key=lambda i: (abs(miss - change[i]), i), default=None)
-        if best is None or abs(miss - change[best]) >= abs(miss):
+
+    def settle(free: list[dict[int, int]], miss: float) -> float:
+        # free: by size, the documents that can be taken in, and those that can be left out
+        order = [sorted(f) for f in free]
+        while miss:
+            way, far = int(miss < 0), abs(miss)
+            at = bisect.bisect_right(order[way], far)
+            near = order[way][max(at - 1, 0) : at + 1]
+            s = min(near, key=lambda x: (abs(far - x), x), default=0)
+            if not s or abs(far - s) >= far:
+                break
+            k = min(free[way][s], max(1, int(far // s)))
+            move(free, order, way, s, k)
+            miss -= -k * s if way else k * s
+        return miss
+
+    def move(free: list[dict[int, int]], order: list[list[int]], way: int, s: int, k: int) -> None:
+        free[way][s] -= k
+        if not free[way][s]:
+            del free[way][s]
+            del order[way][bisect.bisect_left(order[way], s)]
+        if s not in free[1 - way]:
+            bisect.insort(order[1 - way], s)
+        free[1 - way][s] = free[1 - way].get(s, 0) + k
+
+    free = [{s: n for s, n in zip(size, count, strict=True) if s > 0 and n > 0} for count in (left_out, taken)]
+    miss = settle(free, words - sum(s * n for s, n in free[1].items()))
+    while abs(miss) >= 1:
+        way = int(miss < 0)
+        s = min((x for x in free[way] if x >= abs(miss)), default=None)
+        if s is None:
+            break
+        other = [dict(f) for f in free]
+        move(other, [sorted(f) for f in other], way, s, 1)
+        back = other[1 - way].pop(s)  # this one is not to be exchanged back
+        after = settle(other, miss + s if way else miss - s)
+        other[1 - way][s] = other[1 - way].get(s, 0) + back
+        if abs(after) >= abs(miss):
             break
-        p[best] = 1.0 - p[best]
-        miss -= change[best]
+        free, miss = other, after
+    return [free[1].get(s, 0) - n if s > 0 else 0 for s, n in zip(size, taken, strict=True)]
+
+
+def exchange(p: list[float], size: list[int], words: float) -> list[float]:
+    """Settled documents with those taken in or left out that `exchanges` names, the first of each size."""
+    sizes = sorted(set(size))
+    count = [[sum(a == s and b == x for a, b in zip(size, p, strict=True)) for s in sizes] for x in (0.0, 1.0)]
+    todo = dict(zip(sizes, exchanges(sizes, *count, words), strict=True))
+    p = list(p)
+    for i, s in enumerate(size):
+        if todo[s] > 0 and p[i] == 0.0 or todo[s] < 0 and p[i] == 1.0:
+            todo[s] += 1 if p[i] else -1
+            p[i] = 1.0 - p[i]
     return p
 
 
@@ -126,44 +175,76 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     joined = rows.alias("r").join(small.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("key", "row", "r.source", "size", "source_size", "target", rate.alias("rate"), F.ceil(F.col("n_docs") / CHUNK).alias("chunks"))
     hashed = F.xxhash64(F.lit(seed), F.col("key").cast("string"))
     todo = joined.withColumn("whole", F.floor("rate")).withColumn("p", F.col("rate") - F.floor("rate")).drop("rate")
-    todo = todo.withColumn("chunk", F.pmod(hashed, F.col("chunks"))).withColumn("hash", hashed)
+    todo = todo.withColumn("chunk", F.pmod(hashed, F.col("chunks"))).withColumn("bucket", F.col("chunk")).withColumn("hash", hashed)
     schema = todo.schema
     C.ship(spark)
 
-    def flight(level: int, last: bool):
+    def flight(level: int):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             # long documents first, so that those left for the landing are short
             pdf = pdf.sort_values(["size", "hash", "key"], ascending=[False, True, True], kind="stable")
             first = pdf.iloc[0]
             p, size = pdf["p"].tolist(), pdf["size"].tolist()
-            words = sum(a * b for a, b in zip(p, size, strict=True))
             p = fly(p, size, random.Random(f"{seed} {first['source']!r} {first['chunk']} {level}"))
-            if last:
+            if first["chunks"] <= 1:  # the last flight of this source
                 left = [i for i, x in enumerate(p) if 0 < x < 1]
                 for i, x in zip(left, land([p[i] for i in left], [size[i] for i in left]), strict=True):
                     p[i] = x
-                p = exchange(p, size, words)
             return pdf.assign(p=p)[schema.names]
 
         return run
 
     done, level, most = [], 0, -(-(stats[1] or 0) // CHUNK)
     while True:
-        last = most <= 1
-        flown = C.as_table(todo.groupBy("source", "chunk").applyInPandas(flight(level, last), schema), "flight")
+        flown = C.as_table(todo.groupBy("source", "chunk").applyInPandas(flight(level), schema), "flight")
         settled = (F.col("p") <= 0) | (F.col("p") >= 1)
         done.append(flown.filter(settled))
-        if last:
+        if most <= 1:
             break
         level, most = level + 1, -(-most // GROUP)
-        todo = flown.filter(~settled).withColumn("chunk", F.floor(F.col("chunk") / GROUP))
+        todo = flown.filter(~settled).withColumn("chunk", F.floor(F.col("chunk") / GROUP)).withColumn("chunks", F.ceil(F.col("chunks") / GROUP))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
+    out = _exchanged(out)
     copies = (F.col("whole") + F.col("p")).cast("long")
     return out.select(F.col("key").alias(key), "row", F.col("source").alias(source), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+def _exchanged(landed: DataFrame) -> DataFrame:
+    """The settled documents of all flights, with those exchanged that make good what the landing missed.
+
+    A task sees a source as counts by size; sizes that differ are at most about the square root of twice its words. Which
+    documents of a size are exchanged goes by the hash of the key, ranked within first chunks and summed over them.
+    """
+    same = lambda a, b, *names: functools.reduce(operator.and_, (F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names))
+    counts = landed.filter("size > 0").groupBy("source", "size").agg(
+        F.sum(F.when(F.col("p") <= 0, 1).otherwise(0)).alias("left_out"), F.sum(F.when(F.col("p") >= 1, 1).otherwise(0)).alias("taken"), F.first(F.col("target") - F.col("whole") * F.col("source_size")).alias("words")
+    )
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("size")
+        pdf["n"] = exchanges(pdf["size"].tolist(), pdf["left_out"].tolist(), pdf["taken"].tolist(), float(pdf["words"].iloc[0]))
+        pdf = pdf[pdf["n"] != 0]
+        return pdf.assign(p=(pdf["n"] < 0).astype(float), n=pdf["n"].abs())[["source", "size", "p", "n"]]
+
+    schema = T.StructType([landed.schema["source"], *(T.StructField(n, t) for n, t in (("size", T.LongType()), ("p", T.DoubleType()), ("n", T.LongType())))])
+    moves = C.as_table(counts.groupBy("source").applyInPandas(run, schema), "moves")
+    many = moves.count()
+    if not many:
+        return landed
+    small = F.broadcast(moves) if many <= BROADCAST_SOURCES else moves
+    marked = landed.alias("a").join(small.alias("b"), same("a", "b", "source", "size", "p"), "left").select("a.*", "b.n")
+    group = ["source", "size", "p"]
+    some = marked.filter("n IS NOT NULL")
+    before = F.coalesce(F.sum("here").over(Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = some.groupBy(*group, "bucket", "n").agg(F.count(F.lit(1)).alias("here")).withColumn("left", F.col("n") - before).filter("left > 0")
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy(*group, "bucket").orderBy("hash", "key", "row")))
+    turned = ranked.alias("a").join(chosen.alias("b"), same("a", "b", *group, "bucket"), "left").select("a.*", "b.left")
+    turned = turned.withColumn("p", F.when(F.col("rank") <= F.col("left"), 1 - F.col("p")).otherwise(F.col("p")))
+    return marked.filter("n IS NULL").select(*landed.columns).unionByName(turned.select(*landed.columns))
+
+
 def apply_mix(docs: DataFrame, **how) -> DataFrame:
     """docs with each row as often as the mix takes it; rows that it takes no time go."""
     names = docs.columns
