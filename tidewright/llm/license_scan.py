@@ -69,7 +69,7 @@ RULES = [
     *((f"CC-{kind.upper()}-{v}", [f"cc-{kind}-{v}-named"]) for kind in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd") for v in ("2.0", "3.0", "4.0")),
 ]
 
-#: Sentences end at line ends, and at `.`, `!`, `?`, `;` or `:` before a blank. Known sentences wrapped over lines: see unwrap.
+#: Sentences end at line ends, and at `.`, `!`, `?`, `;` or `:` before a blank. Known sentences cut by them: see `unwrapped`.
 SENTENCE_END = r"\n+|[.!?;:]+[ \t\r]+|[.!?;:]+\n+"
 NOT_WORD = r"[^a-z0-9+]+"
 LICENCE = r"\blicen[cs]e"
@@ -77,10 +77,28 @@ LICENCE = r"\blicen[cs]e"
 CUES = r"licen|permission|copyright|warrant|redistribut|software|reserved|later|\bcc\b"
 
 
-def normalised(sentence: Column) -> Column:
-    lower = F.translate(sentence, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.trim(F.regexp_replace(lower, NOT_WORD, " "))
-    return F.regexp_replace(words, r"\blicence", "license")
+#: Marks of `unwrapped`: a line end, and another end of a sentence. Line ends and comment marks count as blanks inside a known sentence,
+#: but not inside notices of one line (`-named`), which must stand on their line.
+LINE, STOP = "|", "~"
+
+
+def _joins() -> list[tuple[str, str]]:
+    """(pattern, replacement) for each known sentence that may be cut, longer ones first."""
+    cut = [(s, s, f"[ {LINE}]") for ident, sentences in SENTENCES.items() if not ident.endswith("-named") for s in sentences]
+    cut.sort(key=lambda x: -len(x[0]))
+    return [(r"(?<![a-z0-9+ ])" + gap.join(w.replace("+", r"\+") for w in s.split(" ")) + r"(?![a-z0-9+ ])", put) for s, put, gap in cut]
+
+
+def unwrapped(text: Column) -> Column:
+    """The normalised words of a text with LINE or STOP where sentences end; known sentences that these cut are made whole."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    out = F.translate(text, upper + LINE + STOP, lower + "  ")
+    for pattern, put in ((r"\n+", LINE), (r"[.!?;:][ \t\r]", STOP), (r"[^a-z0-9+|~]+", " "), (r" ?~[ ~]*", STOP), (r"[~ ]?\|[ |~]*", LINE), (LICENCE, "license")):
+        out = F.regexp_replace(out, pattern, put)
+    out = F.trim(out)
+    for pattern, put in _joins():
+        out = F.regexp_replace(out, pattern, put)
+    return out
 
 
 def identifiers(text: str = "text") -> Column:
@@ -88,7 +106,7 @@ def identifiers(text: str = "text") -> Column:
     known = F.create_map(*(F.lit(x) for ident, sentences in SENTENCES.items() for s in sentences for x in (s, ident)))
     filled = F.coalesce(F.col(text), F.lit(""))
     cue = F.lower(filled).rlike(CUES)
-    found = F.transform(F.split(filled, SENTENCE_END), lambda s: F.try_element_at(known, normalised(s)))
+    found = F.transform(F.split(unwrapped(filled), f"[{LINE}{STOP}]"), lambda s: F.try_element_at(known, s))
     return F.when(cue, F.filter(found, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
