@@ -180,3 +180,30 @@ WRAPPED = [(MIT, "MIT"), (BSD, "BSD-2-Clause"), (BSD + BSD3, "BSD-3-Clause"), (I
 def test_wrapped_notices(documents, mark):
     got = S.scan(documents([(i, "\n".join(mark + x for x in t.split("\n"))) for i, (t, _) in enumerate(WRAPPED)])).collect()
     assert {r.doc_id: (r.licenses, r.n_unknown) for r in got} == {i: ([name], 0) for i, (_, name) in enumerate(WRAPPED)}
+
+
+GPL = """This program is free software{} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{} either version {} of the License, or
+(at your option) any later version."""
+GPL_END = """
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+CUT = [
+    *((GPL.format(";" if v < 3 else ":", ";" if v < 3 else ",", v) + end, f"GPL-{v}.0-or-later", 0) for v in (1, 2, 3) for end in ("", GPL_END)),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.", "MPL-2.0", 0),
+    ("// SPDX-License-Identifier: MIT\nint x;", "MIT", 0),
+    ("/* SPDX-License-Identifier: Apache-2.0 */", "Apache-2.0", 0),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", "", 0),
+    ("SPDX-License-Identifier:\nMIT", "", 0),
+    ("So this program is free software: you can redistribute it or not.", "", 0),
+]
+
+
+def test_sentences_that_hold_a_mark(documents):
+    for flat in (False, True):
+        got = {r.doc_id: r for r in S.scan(documents([(i, " ".join(t.split("\n")) if flat else t) for i, (t, *_) in enumerate(CUT[:-5] if flat else CUT)])).collect()}
+        assert [(",".join(got[i].licenses), got[i].n_unknown) for i in range(len(got))] == [x[1:] for x in CUT[: len(got)]]

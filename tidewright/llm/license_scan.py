@@ -84,7 +84,10 @@ LINE, STOP = "|", "~"
 
 def _joins() -> list[tuple[str, str]]:
     """(pattern, replacement) for each known sentence that may be cut, longer ones first."""
-    cut = [(s, s, f"[ {LINE}]") for ident, sentences in SENTENCES.items() if not ident.endswith("-named") for s in sentences]
+    cut = [(s, s, f"[ {LINE}{STOP}]") for ident, sentences in SENTENCES.items() if not ident.endswith("-named") for s in sentences]
+    cut += [(s, s, f"[ {STOP}]") for ident, sentences in SENTENCES.items() if ident.endswith("-named") for s in sentences if s.startswith("spdx ")]
+    # the notice of GPL 3 has both in one sentence
+    cut += [(f"{free} {later}", f"{free}{LINE}{later}", f"[ {LINE}{STOP}]") for free in SENTENCES["gpl-free"] for v in ("1", "2", "3") for later in SENTENCES[f"gpl-{v}-or-later"]]
     cut.sort(key=lambda x: -len(x[0]))
     return [(r"(?<![a-z0-9+ ])" + gap.join(w.replace("+", r"\+") for w in s.split(" ")) + r"(?![a-z0-9+ ])", put) for s, put, gap in cut]
 
