@@ -69,8 +69,8 @@ def corpus(seed):
 @pytest.mark.parametrize("seed", [1, 2])
 @pytest.mark.parametrize("small", [False, True])
 def test_against_brute_force(documents, seed, small, monkeypatch):
-    if small:  # a crowded sketch, small chunks, salted lists and no broadcasts
-        for name, value in {"SKETCH_BITS": 16, "CHUNK": 3, "HOT": 5, "SALTED": 4, "BROADCAST_ROWS": 0, "PARTITION_ROWS": 300}.items():
+    if small:  # a crowded sketch, small chunks, salted lists and tokens in blocks
+        for name, value in {"LEAST_SKETCH_BITS": 16, "CHUNK": 3, "CHUNK_TOKENS": 150, "HOT": 5, "SALTED": 4, "BLOCK_GROUPS": 2, "PARTITION_ROWS": 300}.items():
             monkeypatch.setattr(J, name, value)
     rows = corpus(seed)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.join(documents(rows)).collect()}
@@ -121,6 +121,47 @@ def test_shingles_of_chunks():
         np.testing.assert_array_equal(alone, tokens[bounds[i] : bounds[i + 1]])
 
 
+def test_words_that_repeat_a_pattern():
+    """Words of Thue-Morse letters, which defeat hashes that are polynomials modulo a power of two."""
+    a, b = b"a", b"b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    assert len(a) == 1024 and a != b
+    for k in (1, 6):
+        texts = [b" ".join([w] * k) for w in (a, b)]
+        one, two = (set(J.shingle_sets(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0].tolist()) for t in texts)
+        assert one and not one & two
+
+
+def test_sketch_counts_whatever_comes():
+    r = np.random.default_rng(1)
+    sketch, total = J.Sketch(16), np.zeros(1 << 16, np.int64)
+    parts = [r.integers(0, 1 << 64, 5000, dtype=np.uint64) for _ in range(3)] + [np.full(n, 7 << 48, np.uint64) for n in (60_000, 60_000, 200_000, 3)]
+    import zlib
+
+    for p in parts:
+        for block, data in sketch.add(p):
+            total[block << 16 : (block + 1) << 16] += np.frombuffer(zlib.decompress(data), np.uint16)
+    for block, data in sketch.blocks():
+        total[block << 16 : (block + 1) << 16] += np.frombuffer(zlib.decompress(data), np.uint16)
+    np.testing.assert_array_equal(total, np.bincount((np.concatenate(parts) >> np.uint64(48)).astype(int), minlength=1 << 16))
+
+
+def test_many_groups_of_one_token_make_few_pairs(spark, monkeypatch):
+    """A token of 300 groups pairs them only where it is indexed; the pairs that are left are those that all tokens give."""
+    r = random.Random(3)
+    rows = [(7, g, g, g, g % 50 == 0, 100, 100) for g in range(300)] + [(100 + t, g, g, g, True, 100, 100) for t in range(40) for g in r.sample(range(300), 2)]
+    matrix = spark.createDataFrame(rows, "token long, group long, c0 long, c1 long, indexed boolean, n0 long, n1 long")
+    size = matrix.groupBy("token").count()
+    found = {}
+    for most in (512, 8):
+        blocks = size.selectExpr("token", f"ceil(count / {most}) AS blocks")
+        mixed = matrix.join(blocks, "token")
+        found[most] = {tuple(x) for x in J._bounded(mixed, mixed.agg({"blocks": "max"}).first()[0], 100).collect()}
+    assert found[512] <= found[8] and len(found[8]) <= 6 * 300 + 40
+    assert {(a, b) for a, b in found[8]} >= {tuple(sorted(x)) for x in found[512]}
+
+
 def test_groups_open_only_if_they_can_link():
     row = lambda side, node, toks: {"side": side, "node": node, "component": node, "toks": np.array(toks)}
     far = pd.DataFrame([row(0, 1, range(10)), row(1, 2, range(5, 15))])
@@ -149,3 +190,5 @@ def test_components(spark, shape):
     got = {r.node: r.component for r in K.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for x in touched}
     assert K.components(spark.createDataFrame([], "u long, v long")).count() == 0
+    with pytest.raises(RuntimeError):
+        K.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long"), rounds=1)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import types
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.session import ship
@@ -36,12 +38,15 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder the cluster shares (spark.checkpoint.dir).
 
-    Where that setting is empty, as in tests on one machine, a temporary folder is used.
+    Where that setting is empty, as in tests on one machine, a temporary folder is used; on a cluster that is an error, as
+    each node would write to a disk of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         made = spark.sparkContext.getCheckpointDir()
         if made is None:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             made = "file://" + tempfile.mkdtemp(prefix="tidewright-")
             spark.sparkContext.setCheckpointDir(made)
         base = made
@@ -55,12 +60,17 @@ def release(spark: SparkSession) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def as_table(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again, which cuts its lineage and survives lost executors."""
+def as_table(df: DataFrame, name: str, **measured: Column) -> DataFrame:
+    """Writes df to the shared folder and reads it again, which cuts its lineage and survives lost executors.
+
+    measured: aggregates that the same job computes on the way; they are in the result's `measured`.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    seen = Observation() if measured else None
+    (df.observe(seen, *(c.alias(n) for n, c in measured.items())) if measured else df).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
+    out.measured = seen.get if measured else {}
     return out
 
 
@@ -95,6 +105,50 @@ def with_row(docs: DataFrame, name: str = "_row") -> DataFrame:
         return with_row(as_table(docs, "rows"), name)
 
 
+#: Bits of a row filter: at least so many for each row, and at most in all (32 MB); beyond that more rows pass by chance.
+FILTER_BITS_A_ROW, MOST_FILTER_BITS = 12, 1 << 28
+
+
+def row_filter(rows: DataFrame, row: str, count: int):
+    """A function of a row column: whether the row may be among `rows`, never false for one of them (a Bloom filter of four bits a row).
+
+    It spares texts that no join wants the shuffle. Its size is bounded, so it is sent to all executors; what passes is joined exactly.
+    """
+    bits = min(MOST_FILTER_BITS, 1 << max(16, int(FILTER_BITS_A_ROW * max(count, 1) - 1).bit_length()))
+    hashes = lambda column: [F.xxhash64(F.lit(seed), column) for seed in (11, 12)]
+    places = F.array(*(x.bitwiseAND(F.lit(bits - 1)) for h in hashes(F.col(row)) for x in (h, F.shiftrightunsigned(h, 32))))
+    at = rows.select(F.explode(places).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("set"))
+    found = words.toPandas()
+    data = np.zeros(bits // 64, np.int64)
+    data[found["word"].to_numpy(np.int64)] = found["set"].to_numpy(np.int64)
+    spark = rows.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(data.view(np.uint64))
+
+    def maybe(a: pd.Series, b: pd.Series) -> pd.Series:
+        words, out = shared.value, np.ones(len(a), bool)
+        for h in (a, b):
+            h = h.to_numpy(np.int64).view(np.uint64)
+            for x in (h, h >> np.uint64(32)):
+                x = x & np.uint64(bits - 1)
+                out &= (words[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1) == 1
+        return pd.Series(out)
+
+    test = F.pandas_udf(maybe, "boolean")
+    return lambda column: test(*hashes(column))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, row: str, count: int) -> DataFrame:
+    """docs without the rows of `gone` (count rows). Only texts that may be among those are shuffled."""
+    if not count:
+        return docs
+    flag = fresh(docs, "_maybe")
+    marked = docs.withColumn(flag, row_filter(gone, row, count)(F.col(row)))
+    unsure = marked.filter(F.col(flag)).join(gone.select(row), row, "left_anti")
+    return marked.filter(~F.col(flag)).unionByName(unsure.select(*marked.columns)).drop(flag)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -21,17 +21,24 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter(F.col("u") != F.col("v")).distinct()
 
 
-def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
-    """(node, component): the least node of each component, for every node that has an edge to another one."""
+def _unsettled(edges: DataFrame) -> int:
+    """Nodes that hang on several others, or on one that hangs on another itself. Without any, the edges are stars."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    nodes = ends.groupBy("x").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return nodes.filter(F.col("hangs") + F.col("holds") > 1).filter("hangs > 0").count()
+
+
+def components(edges: DataFrame, a: str = "u", b: str = "v", rounds: int = 100) -> DataFrame:
+    """(node, component): the least node of each component, for every node that has an edge to another one.
+
+    A number of rounds that grows with the logarithm of the longest path is enough; if they are used up, an error is raised.
+    """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col("u") != F.col("v")).distinct()
-    e = C.as_table(e, "edges")
-    seen = None
-    for _ in range(100):
-        mark = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(mark) == seen:
-            break
-        seen = tuple(mark)
-        new = C.as_table(_star(_star(e, True), False), "edges")
+    e = C.as_table(e, "edges", n=F.count(F.lit(1)))
+    for _ in range(rounds):
+        if not e.measured["n"] or not _unsettled(e):
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        new = C.as_table(_star(_star(e, True), False), "edges", n=F.count(F.lit(1)))
         C.drop_table(e)
         e = new
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    raise RuntimeError(f"components did not settle in {rounds} rounds")

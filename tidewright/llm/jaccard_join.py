@@ -1,23 +1,27 @@
 """N-gram Jaccard join by a token-group matrix: bound a query against a group's token union, open only groups that qualify.
 
-A document's set is its distinct 5-word shingles, hashed to 64 bits; with fewer words, the whole sequence as one.
+A document's set is its distinct 5-word shingles, with fewer words the whole sequence as one. Words are hashed by XXH3, shingles by
+mixing the words' hashes one after the other, to 64 bits each: for two sets of 100,000 shingles the chance that one shingle passes
+for another is about 1 in 10^9.
 
 1. Equal sets become one node, by a 128-bit sum over the set.
-2. A sketch of fixed size counts the shingles of all documents. Shingles are ordered by its counts, rare ones first; any order
-   that all share keeps prefix filtering exact, so the sketch's errors cost time, never a link.
+2. A sketch counts the shingles of all documents; its cells follow the table's size up to a bound. Shingles are ordered by its
+   counts, rare ones first; any order that all share keeps prefix filtering exact, so the sketch's errors cost time, never a link.
 3. Each node sends its prefix: two sets that link share a shingle of the larger one's probing and the smaller one's
    indexing prefix. Shingles that one node alone sends are dropped at once.
 4. Partition: a node joins the group of the node with which it shares most prefix shingles, as leader; groups are cut
-   into chunks of bounded size. Members are compared with their leader; those that link to it share its component.
+   into chunks of bounded members and shingles. Members are compared with their leader; those that link to it share its component.
 5. Token-group matrix: (shingle, group) over the unions of the members' prefixes. Pairs of groups that share entries, fit in
    size and are not known to be one component are bounded: the entries that they share, and the most that can lie beyond
-   the prefixes, against the overlap that a link of their sizes asks for.
+   the prefixes, against the overlap that a link of their sizes asks for. A shingle of very many groups is dealt out in
+   blocks of groups, and pairs two groups only where it lies in an indexing prefix; elsewhere it is counted as shared.
 6. Only qualifying pairs are opened. In them, each set is bounded once more against the union of the whole sets of the
    other group, and only sets of different components are compared, exactly.
 
 A large group of near copies meets in its leaders, so its pairs are never enumerated; chunks bound what a task holds, and
 frequent shingles are salted. Links within and between components are complete as far as components go: every two sets that
-link get the same component_id.
+link get the same component_id. Texts are read again where sets are compared; a filter of the wanted rows lets only
+those through to the shuffle.
 
 Defined results: null and empty texts, and texts without words, have the empty set, which links with nothing; a repeated row
 shares its copy's component; component_id is the smallest key, null keys last; an empty table gives no row.
@@ -38,28 +42,33 @@ from tidewright.llm import _common as C
 from tidewright.llm.components import components
 
 SHINGLE = 5
-SKETCH_BITS, BLOCK_BITS = 22, 16
-#: Members of a group's chunk; prefix rows of a partition; rows up to which a side is broadcast.
-CHUNK, PARTITION_ROWS, BROADCAST_ROWS = 64, 1_000_000, 500_000
+#: Cells of the sketch, least and most as powers of two, and bytes of the table's files for each cell; cells of a block of it.
+LEAST_SKETCH_BITS, MOST_SKETCH_BITS, BYTES_A_CELL, BLOCK_BITS = 22, 25, 64, 16
+#: Members and shingles of a group's chunk; prefix rows of a partition.
+CHUNK, CHUNK_TOKENS, PARTITION_ROWS = 64, 200_000, 1_000_000
 #: Occurrences of a shingle beyond which its list is salted, and rows of a salted list.
 HOT, SALTED = 4000, 1000
+#: Groups of a shingle that meet in one task; it is dealt out in blocks beyond.
+BLOCK_GROUPS = 512
+#: Sums that name several sets and are sent to all tasks; of 10^12 documents some 27,000 are expected.
+MOST_CLASHES = 1_000_000
 
 _K = np.uint64(0xA0761D6478BD642F | 1)
-_INVERSE = np.uint64(pow(int(_K), -1, 1 << 64))
-_BYTE = C.random_u64(256, 41)
 _LOWER = C.ascii_lower_table()
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LANE = np.uint64(0xE7037ED1A0B428DB)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    cache = C.worker_cache()
-    if len(cache.get("powers", ((),))[0]) < n:
-        up, down = np.full(n, _K), np.full(n, _INVERSE)
-        up[0] = down[0] = 1
-        cache["powers"] = np.cumprod(up), np.cumprod(down)
-    return cache["powers"]
+def _word_hashes(buf: np.ndarray, ink: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A hash of each word in lower case; each distinct word is hashed once."""
+    import xxhash
+
+    letters = _LOWER[buf[ink]]
+    at = np.concatenate([[0], np.cumsum(lengths)])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(at), pa.py_buffer(letters)]).dictionary_encode()
+    kinds = np.fromiter(map(xxhash.xxh3_64_intdigest, words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
+    return kinds[words.indices.to_numpy()]
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +76,6 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -
     n_docs, n = len(offsets) - 1, len(buf)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(n_docs + 1, np.int64)
-    up, down = _powers(n)
     ink = ~_SPACE[buf]
     first, last = ink.copy(), ink.copy()
     first[1:] &= ~ink[:-1]
@@ -76,22 +84,22 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -
     first[starts] |= ink[starts]
     last[ends] |= ink[ends]
     begin, end = np.flatnonzero(first), np.flatnonzero(last)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[_LOWER[buf]] * up[:n])])
-    word = C.mix64((total[end + 1] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * _LANE)
+    word = _word_hashes(buf, ink, end - begin + 1)
     doc = np.searchsorted(offsets, begin, "right") - 1
     words = np.bincount(doc, minlength=n_docs)
     ahead = np.cumsum(words) - words
-    h = word.copy()
+    h = C.mix64(word)
     for k in range(1, min(shingle, len(word))):
-        h[: len(h) - k] = h[: len(h) - k] * _K + word[k:]
+        h[: len(h) - k] = C.mix64(h[: len(h) - k] * _K + word[k:])
     whole = np.arange(len(word)) - ahead[doc] <= words[doc] - shingle
-    h = C.mix64(h)
-    for i in np.flatnonzero((words > 0) & (words < shingle)):  # the whole sequence as one
-        x = int(words[i])
-        for w in word[ahead[i] : ahead[i] + words[i]].tolist():
-            x = (x * int(_K) + w) & 0xFFFFFFFFFFFFFFFF
-        h[ahead[i]] = C.mix64(np.array([x], np.uint64) ^ _LANE)[0]
-        whole[ahead[i]] = True
+    few = np.flatnonzero((words > 0) & (words < shingle))  # the whole sequence as one
+    if len(few):
+        x = C.mix64(words[few].astype(np.uint64) * _LANE)
+        for k in range(shingle - 1):
+            on = words[few] > k
+            x[on] = C.mix64(x[on] * _K + word[ahead[few[on]] + k])
+        h[ahead[few]] = x
+        whole[ahead[few]] = True
     h, doc = h[whole], doc[whole]
     count = np.bincount(doc, minlength=n_docs)
     bounds = np.concatenate([[0], np.cumsum(count)])
@@ -111,13 +119,16 @@ def _lanes(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out[0], out[1]
 
 
-def _ids(tokens: np.ndarray, bounds: np.ndarray, clashing: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A node id for each set, and its second sum. clashing: first sums that belong to several sets. bits: of the first sum."""
+def _renamed(a: np.ndarray, b: np.ndarray, again: int) -> np.ndarray:
+    return C.mix64(a ^ (b * _K) ^ np.uint64(again))
+
+
+def _ids(tokens: np.ndarray, bounds: np.ndarray, clashing: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A node id for each set, and its second sum. clashing: ids that name several sets, for each time of naming anew. bits: of the first sum."""
     a, b = _lanes(tokens, bounds)
     a = a >> np.uint64(64 - bits)
-    if len(clashing):
-        again = np.isin(a, clashing)
-        a = np.where(again, C.mix64(a ^ (b * _K)), a)
+    for again, some in enumerate(clashing):
+        a = np.where(np.isin(a, some), _renamed(a, b, again), a)
     return a, b
 
 
@@ -132,76 +143,112 @@ def _read(batch, text: str):
         yield i, j, *shingle_sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
-def _pieces(docs: DataFrame, key: str, text: str, bits: int) -> tuple[DataFrame, DataFrame]:
-    """(rows: row, key, n, node, lane of every document; sketch: block, part, counts)."""
+def sketch_bits(docs: DataFrame) -> int:
+    """Cells of the sketch as a power of two, from the bytes that Spark expects to read."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(MOST_SKETCH_BITS, max(LEAST_SKETCH_BITS, (size // BYTES_A_CELL).bit_length()))
+
+
+class Sketch:
+    """Counts of a task's shingles by their first bits. It is handed on whenever a counter might run over, so no count is cut off."""
+
+    def __init__(self, bits: int):
+        self.bits, self.counts, self.most = bits, np.zeros(1 << bits, np.uint16), 0
+
+    def add(self, tokens: np.ndarray):
+        """Blocks to hand on, if there are any before these shingles can be counted."""
+        at, times = np.unique(tokens >> np.uint64(64 - self.bits), return_counts=True)
+        most = int(times.max(initial=0))
+        if self.most + most > 65_535:
+            yield from self.blocks()
+        while most > 65_535:  # as many as fit, again and again
+            self.counts[at] = np.minimum(times, 65_535)
+            times = times - self.counts[at]
+            most = int(times.max())
+            self.most = 65_535
+            yield from self.blocks()
+        self.counts[at] += times.astype(np.uint16)
+        self.most += most
+
+    def blocks(self):
+        if self.most:
+            for i, x in enumerate(self.counts.reshape(-1, 1 << BLOCK_BITS)):
+                if x.any():
+                    yield i, zlib.compress(x.tobytes(), 1)
+            self.counts[:] = 0
+            self.most = 0
+
+
+def _pieces(docs: DataFrame, key: str, text: str, bits: int, cells: int) -> tuple[DataFrame, DataFrame, dict]:
+    """(rows: row, key, n, node, lane of every document; sketch: block, part, counts; how many shingles and blocks)."""
     source = docs.select(F.col("_row").alias("row"), F.col(key).alias("key"), text)
     schema = T.StructType([T.StructField("row", source.schema["row"].dataType), T.StructField("key", source.schema["key"].dataType), *(T.StructField(c, T.LongType()) for c in ("n", "node", "lane")), T.StructField("block", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("counts", T.BinaryType())])
 
     def run(batches):
         from pyspark import TaskContext
 
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint8)
-        kinds = None
+        sketch, part, kinds = Sketch(cells), TaskContext.get().partitionId(), None
+
+        def handed_on(blocks):
+            for i, x in blocks:
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, kind) for kind in kinds), *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.array([i], pa.int32()), pa.array([part], pa.int32()), pa.array([x], pa.binary())], names=schema.names)
+
         for b in batches:
             n, node, lane = [], [], []
+            kinds = (b.column("row").type, b.column("key").type)
             for _, _, tokens, bounds in _read(b, text):
-                x, y = _ids(tokens, bounds, np.zeros(0, np.uint64), bits)
+                x, y = _ids(tokens, bounds, [], bits)
                 n.append(np.diff(bounds))
                 node.append(x.view(np.int64))
                 lane.append(y.view(np.int64))
-                at, times = np.unique(tokens >> np.uint64(64 - SKETCH_BITS), return_counts=True)
-                sketch[at] = np.minimum(sketch[at].astype(np.int64) + times, 255).astype(np.uint8)
-            kinds = (b.column("row").type, b.column("key").type)
+                yield from handed_on(sketch.add(tokens))
             k = b.num_rows
             cols = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (n, node, lane)]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("key"), *cols, pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=schema.names)
-        if kinds and sketch.any():
-            blocks = [zlib.compress(x.tobytes(), 1) for x in sketch.reshape(-1, 1 << BLOCK_BITS)]
-            k = len(blocks)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, kinds[0]), pa.nulls(k, kinds[1]), *(pa.nulls(k, pa.int64()) for _ in range(3)), pa.array(range(k), pa.int32()), pa.array([TaskContext.get().partitionId()] * k, pa.int32()), pa.array(blocks, pa.binary())], names=schema.names)
+        yield from handed_on(sketch.blocks())
 
-    table = C.as_table(C.map_arrow(source, run, schema), "sets")
-    return table.filter("block is null").drop("block", "part", "counts"), table.filter("block is not null").select("block", "part", "counts")
+    table = C.as_table(C.map_arrow(source, run, schema), "sets", total=F.coalesce(F.sum("n"), F.lit(0)), blocks=F.count("block"))
+    return table.filter("block is null").drop("block", "part", "counts"), table.filter("block is not null").select("block", "part", "counts"), table.measured
 
 
-def _levels(sketch: DataFrame) -> np.ndarray:
-    """The sketch's sums, as 4 log2(1 + count) in a byte for each of 2^SKETCH_BITS cells: 4 MB whatever the input."""
-    parts = sketch.agg(F.count_distinct("part")).first()[0]
+def _levels(sketch: DataFrame, cells: int, blocks: int) -> np.ndarray:
+    """The sketch's sums, as 4 log2(1 + count) in a byte for each cell: 32 MB at most."""
 
     def add(last: bool):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             total = np.zeros(1 << BLOCK_BITS, np.int64)
             for x in pdf["counts"]:
                 x = zlib.decompress(x)
-                total += np.frombuffer(x, np.uint8 if len(x) == 1 << BLOCK_BITS else np.int64)
+                total += np.frombuffer(x, np.uint16 if len(x) == 2 << BLOCK_BITS else np.int64)
             data = np.minimum(255, np.floor(4 * np.log2(1.0 + total))).astype(np.uint8) if last else total
             return pd.DataFrame({"block": pdf["block"].iloc[:1], "part": [int(pdf["part"].iloc[0])], "counts": [zlib.compress(data.tobytes(), 1)]})
 
         return run
 
     schema = "block int, part int, counts binary"
-    if parts > 1000:  # in two steps, so that no task gathers the blocks of all others
-        groups = int(parts**0.5)
-        sketch = sketch.withColumn("part", F.pmod("part", F.lit(groups))).groupBy("block", "part").applyInPandas(add(False), schema)
-    out = np.zeros((1 << (SKETCH_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.uint8)
+    each = blocks >> (cells - BLOCK_BITS)
+    if each > 1000:  # in two steps, so that no task gathers the blocks of all others
+        sketch = sketch.withColumn("part", F.pmod("part", F.lit(int(each**0.5)))).groupBy("block", "part").applyInPandas(add(False), schema)
+    out = np.zeros((1 << (cells - BLOCK_BITS), 1 << BLOCK_BITS), np.uint8)
     for block, _, counts in sketch.groupBy("block").applyInPandas(add(True), schema).collect():
         out[block] = np.frombuffer(zlib.decompress(counts), np.uint8)
     return out.ravel()
 
 
-def _prefixes(docs: DataFrame, text: str, levels: np.ndarray, clashing: np.ndarray, percent: int, hot_level: int, bits: int) -> DataFrame:
+def _prefixes(docs: DataFrame, text: str, levels: np.ndarray, clashing: list[np.ndarray], percent: int, hot_level: int, bits: int) -> DataFrame:
     """(token, salt, node, info): the probing prefix of each set; info is 2 n, plus 1 in the indexing prefix."""
     source = docs.select(text)
-    shared = docs.sparkSession.sparkContext.broadcast((levels, clashing))
+    shared = docs.sparkSession.sparkContext.broadcast((levels, clashing))  # bounded by MOST_SKETCH_BITS and MOST_CLASHES
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("token", "salt", "node", "info")])
 
     def run(batches):
         levels, clashing = shared.value
+        cells = np.uint64(len(levels).bit_length() - 1)
         seen: set[int] = set()
         for b in batches:
             for _, _, tokens, bounds in _read(b, text):
                 node, _ = _ids(tokens, bounds, clashing, bits)
-                level = levels[tokens >> np.uint64(64 - SKETCH_BITS)]
+                level = levels[tokens >> (np.uint64(64) - cells)]
                 order = (level.astype(np.uint64) << np.uint64(56)) | (tokens >> np.uint64(8))
                 out = [[], [], [], []]
                 for i, x in enumerate(node.tolist()):
@@ -230,11 +277,11 @@ def need_probe(n: int, percent: int) -> int:
 
 
 def _shared(prefixes: DataFrame, partitions: int, percent: int) -> DataFrame:
-    """(token, node, n, indexed, leader, hot) of the entries whose token another node sends too.
+    """(token, node, n, indexed, leader, leader_n, hot) of the entries whose token another node sends too.
 
     leader: the first node of the same token and band of sizes, null for itself. Lists of salted tokens are kept whole.
     """
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("token", "node", "n", "leader")] + [T.StructField("indexed", T.BooleanType()), T.StructField("hot", T.BooleanType())])
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("token", "node", "n", "leader", "leader_n")] + [T.StructField("indexed", T.BooleanType()), T.StructField("hot", T.BooleanType())])
     ratio = np.log(100 / percent) if percent < 100 else 1.0
 
     def run(batches):
@@ -265,7 +312,7 @@ def _shared(prefixes: DataFrame, partitions: int, percent: int) -> DataFrame:
             s = slice(i, i + 100_000)
             k = keep[s]
             if k.any():
-                yield pa.RecordBatch.from_arrays([pa.array(token[s][k]), pa.array(node[s][k]), pa.array(n[s][k]), pa.array(leader[s][k], mask=alone[s][k]), pa.array(indexed[s][k]), pa.array(multi[s][k])], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(token[s][k]), pa.array(node[s][k]), pa.array(n[s][k]), pa.array(leader[s][k], mask=alone[s][k]), pa.array(n[head[s]][k], mask=alone[s][k]), pa.array(indexed[s][k]), pa.array(multi[s][k])], names=schema.names)
 
     return C.map_arrow(prefixes.repartition(partitions, "token", "salt"), run, schema)
 
@@ -320,10 +367,6 @@ def open_groups(pdf: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 80, row: str | None = None, bits: int = 64) -> DataFrame:
     """For each row: row (of C.with_row()), key, n_shingles, component_id, and first: whether it stands for its component.
 
@@ -337,21 +380,18 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: i
         docs = C.with_row(docs, row)
     docs = docs.select(F.col(row).alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"))
     own, key, text = key, "_key", "_text"
-    rows, sketch = _pieces(docs, key, text, bits)
-    nodes = rows.filter("n > 0").groupBy("node", "lane").agg(F.min("row").alias("row"), F.max("n").alias("n"))
-    clashing = np.array([r[0] for r in nodes.groupBy("node").count().filter("count > 1").limit(100_000).select("node").collect()], np.int64).view(np.uint64)
-    if len(clashing):  # two sets with one 64-bit sum: both get another id, from both sums
-        udf = F.pandas_udf(lambda a, b: pd.Series(C.mix64(a.to_numpy().view(np.uint64) ^ (b.to_numpy().view(np.uint64) * _K)).view(np.int64)), "long")
-        rows = C.as_table(rows.withColumn("node", F.when(F.col("node").isin(clashing.view(np.int64).tolist()), udf("node", "lane")).otherwise(F.col("node"))), "sets")
-        nodes = rows.filter("n > 0").groupBy("node", "lane").agg(F.min("row").alias("row"), F.max("n").alias("n"))
-    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    labels = _components(spark, docs, text, nodes.drop("lane"), sketch, clashing, total, percent, bits) if total else None
+    cells = sketch_bits(docs)
+    rows, sketch, measured = _pieces(docs, key, text, bits, cells)
+    rows, nodes, clashing = _named(rows)
+    labels = None
+    if measured["total"]:
+        levels = _levels(sketch, cells, measured["blocks"])
+        labels = _components(spark, docs, text, nodes, levels, clashing, measured["total"], percent, bits)
     if labels is None:
         labels = spark.createDataFrame([], "node long, component long")
     # the smallest key of each component; rows with an empty set stand alone
-    best = F.struct(F.col("key").isNull().alias("none"), F.col("key"), F.col("row"))
-    lead = rows.filter("n > 0").groupBy("node").agg(F.min(best).alias("best")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lead = C.as_table(lead.select("node", "component", "best"), "leads")
+    lead = nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "best")
+    lead = C.as_table(lead, "leads")
     tops = lead.groupBy("component").agg(F.min("best").alias("top"))
     named = lead.join(tops, "component").select("node", "top")
     full = rows.filter("n > 0").join(named, "node").select("row", "key", "n", F.col("top.key").alias("component_id"), (F.col("row") == F.col("top.row")).alias("first"))
@@ -359,28 +399,51 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: i
     return out.select("row", F.col("key").alias(own), F.col("n").alias("n_shingles"), "component_id", "first")
 
 
-def _components(spark, docs, text, nodes, sketch, clashing, total, percent, bits) -> DataFrame:
-    levels = _levels(sketch)
-    hot_level = int(4 * np.log2(1 + max(HOT, 16 * total / (1 << SKETCH_BITS))))
+def _named(rows: DataFrame) -> tuple[DataFrame, DataFrame, list[np.ndarray]]:
+    """rows and nodes (node, n, best) with one id for each set; and the ids that named several, for each time of naming anew."""
+    best = F.struct(F.col("key").isNull().alias("none"), F.col("key"), F.col("row"))
+    clashing: list[np.ndarray] = []
+    for again in range(20):
+        nodes = rows.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min(best).alias("best"), F.min("lane").alias("l0"), F.max("lane").alias("l1"))
+        nodes = C.as_table(nodes, "nodes", clashes=F.count_if(F.col("l0") != F.col("l1")))
+        n = nodes.measured["clashes"]
+        if not n:
+            return rows, nodes.select("node", "n", "best"), clashing
+        if n > MOST_CLASHES:
+            raise RuntimeError(f"{n} sums name several sets")
+        # two sets with one sum: both get another id, from both sums
+        several = nodes.filter("l0 != l1").select("node", F.lit(True).alias("several"))
+        clashing.append(np.array([r[0] for r in several.select("node").collect()], np.int64).view(np.uint64))
+        udf = F.pandas_udf(lambda a, b, again=again: pd.Series(_renamed(a.to_numpy().view(np.uint64), b.to_numpy().view(np.uint64), again).view(np.int64)), "long")
+        rows = rows.join(several, "node", "left").withColumn("node", F.when(F.col("several"), udf("node", "lane")).otherwise(F.col("node"))).drop("several")
+        rows = C.as_table(rows, "sets")
+    raise RuntimeError("sums that name sets clash again and again")
+
+
+def _components(spark, docs, text, nodes, levels, clashing, total, percent, bits) -> DataFrame | None:
+    """(node, component) of the nodes that share a prefix token with another one; None if there are none."""
+    hot_level = int(4 * np.log2(1 + max(HOT, 16 * total / len(levels))))
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * (100 - percent) / 100) // PARTITION_ROWS + 1)
-    shared = C.as_table(_shared(_prefixes(docs, text, levels, clashing, percent, hot_level, bits), partitions, percent), "shared")
+    shared = C.as_table(_shared(_prefixes(docs, text, levels, clashing, percent, hot_level, bits), partitions, percent), "shared", n=F.count(F.lit(1)), hot=F.count_if("hot"))
+    if not shared.measured["n"]:
+        return None
 
     # groups: the leader with which a node shares most prefix tokens
-    follows = shared.filter("leader is not null").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("times"))
-    across = shared.filter("hot").select("token", F.coalesce("leader", "node").alias("node")).distinct()
-    top = across.groupBy("token").agg(F.min("node").alias("leader"))
-    across = across.join(top, "token").filter(F.col("node") != F.col("leader")).groupBy("node", "leader").agg(F.count(F.lit(1)).alias("times"))
-    follows = follows.unionByName(across).groupBy("node").agg(F.max(F.struct("times", "leader")).alias("best"))
-    every = shared.select("node", "n").distinct().join(follows, "node", "left")
-    every = C.as_table(every.select("node", "n", F.coalesce("best.leader", "node").alias("leader"), "best.times"), "follows")
-    sizes = every.groupBy("leader").agg(F.count(F.lit(1)).alias("size"))
-    chunked = every.join(sizes, "leader").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CHUNK)))
-    chunked = C.as_table(chunked.select("node", "n", "leader", "times", F.xxhash64("leader", "part").alias("chunk")), "chunks")
+    follows = shared.groupBy("node", "leader").agg(F.max("n").alias("n"), F.max("leader_n").alias("leader_n"), F.count(F.lit(1)).alias("times"))
+    if shared.measured["hot"]:  # salted lists of one token have a leader each; they follow the first of these
+        across = shared.filter("hot").select("token", F.coalesce("leader", "node").alias("node"), F.coalesce("leader_n", "n").alias("n")).distinct()
+        top = across.groupBy("token").agg(F.min(F.struct(F.col("node").alias("leader"), F.col("n").alias("leader_n"))).alias("top"))
+        across = across.join(top, "token").filter(F.col("node") != F.col("top.leader")).groupBy("node", "n", "top.leader", "top.leader_n").agg(F.count(F.lit(1)).alias("times"))
+        follows = follows.unionByName(across)
+    chosen = F.when(F.col("leader").isNotNull(), F.struct("times", "leader", "leader_n"))
+    every = follows.groupBy("node").agg(F.max("n").alias("n"), F.max(chosen).alias("best"))
+    every = C.as_table(every.select("node", "n", F.coalesce("best.leader", "node").alias("leader"), F.coalesce("best.leader_n", "n").alias("leader_n"), "best.times"), "follows")
+    sizes = every.groupBy("leader").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("n") / CHUNK_TOKENS)).alias("parts"))
+    chunked = every.join(sizes, "leader").withColumn("chunk", F.xxhash64("leader", F.pmod(F.xxhash64("node"), "parts"))).drop("parts")
+    chunked = C.as_table(chunked, "chunks")
 
     # members against their leaders, where the shared prefix tokens allow a link; the matrix sees to all other pairs
-    lead = chunked.select(F.col("node").alias("leader"), F.col("n").alias("leader_n"))
-    member = chunked.filter("node != leader").join(lead, "leader").filter(F.col("times") >= least_shared(F.col("n"), F.col("n"), F.col("leader_n"), F.col("leader_n"), percent))
-    member = C.as_table(member.select("node", "leader", "chunk"), "members")
+    member = chunked.filter("node != leader").filter(F.col("times") >= least_shared(F.col("n"), F.col("n"), F.col("leader_n"), F.col("leader_n"), percent))
     roles = member.select("node", "chunk", F.lit(False).alias("leads")).unionByName(member.select(F.col("leader").alias("node"), "chunk", F.lit(True).alias("leads")).distinct())
     edges = C.as_table(_compare_with_leaders(_with_sets(docs, text, nodes, roles), percent), "edges")
     first = C.as_table(components(edges), "components")
@@ -393,19 +456,11 @@ def _components(spark, docs, text, nodes, sketch, clashing, total, percent, bits
     entry = shared.select("token", "node", "indexed").join(grouped, "node")
     matrix = entry.groupBy("token", "group").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("indexed").alias("indexed"), F.min("n").alias("n0"), F.max("n").alias("n1"))
     matrix = C.as_table(matrix, "matrix")
-    several = matrix.groupBy("token").agg(F.min("c0").alias("t0"), F.max("c1").alias("t1")).filter("t0 < t1").select("token")
-    mixed = C.as_table(matrix.join(several, "token"), "mixed")
+    several = matrix.groupBy("token").agg(F.min("c0").alias("t0"), F.max("c1").alias("t1"), F.ceil(F.count(F.lit(1)) / BLOCK_GROUPS).alias("blocks")).filter("t0 < t1").select("token", "blocks")
+    mixed = C.as_table(matrix.join(several, "token"), "mixed", most=F.max("blocks"))
     C.drop_table(matrix)
 
-    # bounds: what two groups share of their prefixes, and the most that can lie beyond, against the overlap of a link
-    a, b = mixed.alias("a"), mixed.alias("b")
-    fits = (100 * F.col("a.n1") >= percent * F.col("b.n0")) & (100 * F.col("b.n1") >= percent * F.col("a.n0"))
-    apart = ~((F.col("a.c0") == F.col("a.c1")) & (F.col("b.c0") == F.col("b.c1")) & (F.col("a.c0") == F.col("b.c0")))
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.group") <= F.col("b.group")) & fits & apart)
-    bounds = [F.min("a.n0").alias("g0"), F.max("a.n1").alias("g1"), F.min("b.n0").alias("h0"), F.max("b.n1").alias("h1")]
-    pairs = met.groupBy(F.col("a.group").alias("g"), F.col("b.group").alias("h")).agg(F.count(F.lit(1)).alias("met"), F.max(F.col("a.indexed") | F.col("b.indexed")).alias("indexed"), *bounds)
-    pairs = pairs.filter(F.col("indexed") & (F.col("met") >= least_shared(F.col("g0"), F.col("g1"), F.col("h0"), F.col("h1"), percent)))
-    pairs = C.as_table(pairs.select("g", "h"), "pairs")
+    pairs = C.as_table(_bounded(mixed, mixed.measured["most"] or 0, percent), "pairs")
 
     # opening of what qualifies
     sides = pairs.select("g", "h", F.col("g").alias("group"), F.lit(0).alias("side")).unionByName(pairs.filter("g != h").select("g", "h", F.col("h").alias("group"), F.lit(1).alias("side")))
@@ -413,12 +468,42 @@ def _components(spark, docs, text, nodes, sketch, clashing, total, percent, bits
     candidates = _with_sets(docs, text, nodes, opened)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(open_groups(pdf, percent), columns=["u", "v"], dtype="int64")
+        of = dict(zip(pdf["node"], pdf["component"], strict=True))
+        return pd.DataFrame([(of[u], of[v]) for u, v in open_groups(pdf, percent)], columns=["u", "v"], dtype="int64")
 
-    more = C.as_table(candidates.groupBy("g", "h").applyInPandas(run, "u long, v long"), "more")
+    more = components(candidates.groupBy("g", "h").applyInPandas(run, "u long, v long"))
     for t in (shared, mixed):
         C.drop_table(t)
-    return components(edges.unionByName(more)) if not more.isEmpty() else first
+    merged = more.select(F.col("node").alias("component"), F.col("component").alias("least"))
+    return grouped.join(merged, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+
+
+def _bounded(mixed: DataFrame, most_blocks: int, percent: int) -> DataFrame:
+    """(g, h), g <= h: the pairs of groups that may hold a link, from what they share of their prefixes and the most that can lie beyond.
+
+    The groups of a token meet block by block, so no task holds more than two blocks of them. A token of several blocks makes a row of
+    two groups only if it lies in an indexing prefix of one; all others of such tokens are taken as shared.
+    """
+    dealt = mixed.withColumn("block", F.pmod(F.xxhash64("group"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))) if most_blocks > 1 else dealt.withColumn("other", F.lit(0).cast("long"))
+    dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    a, b = dealt.filter("block = lo").alias("a"), dealt.filter("block = hi").alias("b")
+    fits = (100 * F.col("a.n1") >= percent * F.col("b.n0")) & (100 * F.col("b.n1") >= percent * F.col("a.n0"))
+    apart = ~((F.col("a.c0") == F.col("a.c1")) & (F.col("b.c0") == F.col("b.c1")) & (F.col("a.c0") == F.col("b.c0")))
+    told = (F.col("a.blocks") == 1) | F.col("a.indexed") | F.col("b.indexed")
+    once = (F.col("a.lo") < F.col("a.hi")) | (F.col("a.group") <= F.col("b.group"))
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.lo") == F.col("b.lo")) & (F.col("a.hi") == F.col("b.hi")) & once & fits & apart & told)
+    turned = F.col("a.group") > F.col("b.group")
+    side = lambda x, y: F.when(turned, F.col(x)).otherwise(F.col(y))
+    bounds = [F.min(side("b.n0", "a.n0")).alias("g0"), F.max(side("b.n1", "a.n1")).alias("g1"), F.min(side("a.n0", "b.n0")).alias("h0"), F.max(side("a.n1", "b.n1")).alias("h1")]
+    pairs = met.groupBy(F.least("a.group", "b.group").alias("g"), F.greatest("a.group", "b.group").alias("h")).agg(F.count(F.lit(1)).alias("met"), F.max(F.col("a.indexed") | F.col("b.indexed")).alias("indexed"), *bounds)
+    pairs = pairs.filter("indexed")
+    if most_blocks > 1:
+        untold = mixed.filter("blocks > 1 AND NOT indexed").groupBy("group").agg(F.count(F.lit(1)).alias("untold"))
+        for end in ("g", "h"):
+            pairs = pairs.join(untold.select(F.col("group").alias(end), F.col("untold").alias(f"{end}_untold")), end, "left")
+        pairs = pairs.withColumn("met", F.col("met") + F.least(F.coalesce("g_untold", F.lit(0)), F.coalesce("h_untold", F.lit(0))))
+    return pairs.filter(F.col("met") >= least_shared(F.col("g0"), F.col("g1"), F.col("h0"), F.col("h1"), percent)).select("g", "h")
 
 
 def least_shared(a0: Column, a1: Column, b0: Column, b1: Column, percent: int) -> Column:
@@ -432,9 +517,10 @@ def least_shared(a0: Column, a1: Column, b0: Column, b1: Column, percent: int) -
 
 def _with_sets(docs: DataFrame, text: str, nodes: DataFrame, roles: DataFrame) -> DataFrame:
     """roles (node, ...) with toks, the node's set, from the text of the document that stands for it."""
-    placed = C.as_table(roles.join(nodes.select("node", F.col("row").alias("_row")), "node"), "roles")
+    placed = C.as_table(roles.join(nodes.select("node", F.col("best.row").alias("_row")), "node"), "roles", n=F.count(F.lit(1)))
     keep = [c for c in placed.columns if c != "_row"]
-    source = docs.select("_row", text).join(_maybe_broadcast(placed), "_row").select(*keep, text)
+    wanted = docs.select("_row", text).filter(C.row_filter(placed, "_row", placed.measured["n"])(F.col("_row")))
+    source = wanted.join(placed, "_row").select(*keep, text)
     schema = T.StructType([*(source.schema[c] for c in keep), T.StructField("toks", T.ArrayType(T.LongType()))])
 
     def run(batches):
@@ -450,5 +536,5 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percen
     """docs with one row of each component, the one of the smallest key; rows with an empty set all stay."""
     row = C.fresh(docs, "_row")
     docs = C.with_row(docs, row)
-    kept = join(docs, key=key, text=text, percent=percent, row=row).filter("first").select(F.col("row").alias(row))
-    return docs.join(kept, row, "left_semi").drop(row)
+    gone = C.as_table(join(docs, key=key, text=text, percent=percent, row=row).filter(~F.col("first")).select(F.col("row").alias(row)), "gone", n=F.count(F.lit(1)))
+    return C.without_rows(docs, gone, row, gone.measured["n"]).drop(row)
