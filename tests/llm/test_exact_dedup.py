@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewright.llm import _common as C
 from tidewright.llm import exact_dedup as D
 
 
@@ -36,7 +37,7 @@ ROWS = [(1, "a b"), (2, "ab"), (3, "a  b"), (4, "a\tb\n"), (5, None), (6, ""), (
 @pytest.mark.parametrize("split", [None, "half", "all"])
 @pytest.mark.parametrize("weak", [False, True])
 def test_against_brute_force(documents, split, weak, monkeypatch):
-    monkeypatch.setattr(D, "BROADCAST_DIGESTS", 0 if weak else 10)
+    monkeypatch.setattr(C, "MOST_FILTER_BITS", 64 if weak else 1 << 28)  # a crowded filter lets all rows pass
     rows = ROWS + [(100 + i, f"copy {i % 7}" + " " * (i % 3)) for i in range(60)]
     docs = documents(rows)
     digest = (lambda t: F.substring(F.sha2(t, 256), 1, 2)) if weak else D.sha256
@@ -71,3 +72,13 @@ def test_snapshots_screen(spark):
     known = screened.join(snap.groups.select("digest"), "digest", "left_semi")
     assert known.filter("not maybe").count() == 0
     assert screened.filter("maybe").count() < 1030
+
+
+def test_row_filters(documents):
+    docs = C.with_row(documents([(i, f"t {i}") for i in range(3000)]))
+    some = docs.filter("doc_id % 100 = 3").select("_row")
+    passed = {r[0] for r in docs.filter(C.row_filter(some, "_row", 30)(F.col("_row"))).select("doc_id").collect()}
+    assert {i for i in range(3000) if i % 100 == 3} <= passed and len(passed) < 60
+    left = C.without_rows(docs, some, "_row", 30)
+    assert left.columns == docs.columns
+    assert sorted(r[0] for r in left.select("doc_id").collect()) == [i for i in range(3000) if i % 100 != 3]

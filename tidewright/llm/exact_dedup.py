@@ -4,7 +4,8 @@ A snapshot is a table of groups of equal texts, one row for each digest, dealt i
 binary-fuse filter of 8-bit fingerprints for each bucket. Incoming rows are grouped among themselves first, which
 leaves one row for each digest however large a group is; those digests are screened bucket by bucket. A negative is
 new for certain. A positive is looked up in the snapshot's exact bucket. Rows of one group are then compared byte by
-byte with the row that stays; rows that differ under one digest are grouped by their whole text instead.
+byte with the row that stays; rows that differ under one digest are grouped by their whole text instead. Of all texts,
+a filter of the wanted rows lets only those of such groups through to the shuffle.
 
 Texts are equal when identical after deleting every character of `[\\x20\\x09-\\x0D]`. The row with the most code points
 in its original text stays, then the one with the smallest key, a null key last; of rows that repeat a key, one stays.
@@ -26,8 +27,6 @@ from tidewright.llm import _common as C
 
 #: Fewest buckets, and digests of a bucket beyond which there are more.
 BUCKETS, BUCKET_ROWS = 256, 50_000
-#: Digests of groups with several rows that are broadcast to pick out the texts to compare; beyond it they are joined.
-BROADCAST_DIGESTS = 300_000
 
 
 # ---- binary-fuse filter -------------------------------------------------------------------------------------------
@@ -168,7 +167,7 @@ def _groups(rows: DataFrame, *by: str) -> DataFrame:
 
 def _merged(new: DataFrame, snapshot: Snapshot) -> DataFrame:
     """All groups after the batch: digest, size, best."""
-    screened = screen(new, snapshot)
+    screened = C.as_table(screen(new, snapshot), "screened")
     positive = screened.filter("maybe").select("bucket", "digest", F.col("size").alias("size2"), F.col("best").alias("best2"))
     both = snapshot.groups.join(positive, ["bucket", "digest"], "full")
     both = both.select(
@@ -192,16 +191,19 @@ def dedup(docs: DataFrame, in_snapshot: Column | None = None, *, key: str = "doc
         row = C.fresh(docs, "_row")
         docs = C.with_row(docs, row)
     texts = docs.select(F.col(row).alias("rid"), F.col(key).alias("key"), F.length(F.coalesce(text, F.lit(""))).cast("long").alias("n_chars"), in_snapshot.alias("old"), normalised(text).alias("norm"))
-    rows = C.as_table(texts.select("key", "n_chars", "old", "rid", F.unhex(digest(F.col("norm"))).alias("digest")), "digests")
-    snapshot = build_snapshot(_groups(rows.filter("old"), "digest"))
+    rows = texts.select("key", "n_chars", "old", "rid", F.unhex(digest(F.col("norm"))).alias("digest"))
+    rows = C.as_table(rows, "digests", n=F.count(F.lit(1)))
+    # as many buckets as the larger of snapshot and batch may need
+    snapshot = build_snapshot(_groups(rows.filter("old"), "digest"), max(BUCKETS, -(-rows.measured["n"] // BUCKET_ROWS)))
     groups = C.as_table(_merged(_groups(rows.filter(~F.col("old")), "digest"), snapshot), "groups")
 
-    # The byte check: only texts of groups with several rows move.
-    several = groups.filter("size > 1").select("digest", F.col("best.key").alias("best_key"), (-F.col("best.less")).alias("best_chars"))
-    wanted = F.broadcast(several) if several.count() <= BROADCAST_DIGESTS else several
+    # The byte check: only texts of groups with several rows move, and only those are hashed again.
+    several = groups.filter("size > 1").select("digest", F.col("best.rid").alias("best_rid"))
+    members = C.as_table(rows.join(several, "digest").select("rid"), "members", n=F.count(F.lit(1)))
     hashed = texts.withColumn("digest", F.unhex(digest(F.col("norm"))))
-    moved = C.as_table(hashed.join(wanted, "digest").select("digest", "key", "n_chars", "norm", (F.col("key").eqNullSafe(F.col("best_key")) & (F.col("n_chars") == F.col("best_chars"))).alias("is_best")), "texts")
-    leaders = moved.filter("is_best").groupBy("digest").agg(F.min("norm").alias("leader"))
+    wanted = texts.filter(C.row_filter(members, "rid", members.measured["n"])(F.col("rid"))).withColumn("digest", F.unhex(digest(F.col("norm"))))
+    moved = C.as_table(wanted.join(several, "digest").select("digest", "norm", (F.col("rid") == F.col("best_rid")).alias("is_best")), "texts")
+    leaders = moved.filter("is_best").select("digest", F.col("norm").alias("leader"))  # one row of each digest
     # written before they are made distinct, so that Spark can split the join of a very large group
     clash = C.as_table(moved.join(C.as_table(leaders, "leaders"), "digest").filter(F.col("norm") != F.col("leader")).select("digest"), "clash")
     joined = rows.join(groups, "digest")
@@ -222,8 +224,9 @@ def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> D
     """The rows of docs that stay, with all their columns; the texts are compared as in dedup()."""
     row = C.fresh(docs, "_row")
     docs = C.with_row(docs, row)
-    kept = dedup(docs, half(key), key=key, text=text, row=row).filter("kept").select(F.col("row").alias(row))
-    return docs.join(kept, row, "left_semi").drop(row)
+    gone = dedup(docs, half(key), key=key, text=text, row=row).filter(~F.col("kept")).select(F.col("row").alias(row))
+    gone = C.as_table(gone, "gone", n=F.count(F.lit(1)))
+    return C.without_rows(docs, gone, row, gone.measured["n"]).drop(row)
 
 
 def half(key: str) -> Column:

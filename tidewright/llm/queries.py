@@ -64,7 +64,8 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalogue = C.as_table(media.store(C.read(spark, sf_dir, "documents"), folder), "catalogue")
     found = media.features(media.fill_metadata(media.objects(catalogue), folder), folder)
     found = C.as_table(found, "features").drop("shard", "offset", "length", "bits")
-    return catalogue.select("doc_id", "digest").join(found, "digest").drop("digest")
+    joined = catalogue.select("doc_id", "digest").join(found, "digest")
+    return joined.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
