@@ -37,8 +37,15 @@ def test_classifier_holds_out(spark, documents):
 
 
 def by_hand(model, text):
+    """From strings: the distinct n-grams of the text in lower case, white space as blanks, with a blank on either side."""
     known = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
-    z = model.intercept + sum(known.get(h, 0.0) for h in X._doc_hashes(text).tolist())
+    data = b" " + bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in text.encode()) + b" "
+    z = model.intercept
+    for gram in {data[i : i + n] for n in X.ORDERS for i in range(len(data) - n + 1)}:
+        h = 0
+        for b in gram:
+            h = (h * int(X._K) + int(X._BYTE[b])) % (1 << 64)
+        z += known.get(h, 0.0)
     return 1 / (1 + np.exp(-z))
 
 
@@ -71,6 +78,31 @@ def test_sample_is_labelled_and_bounded(documents, spark, clashing):
     assert X.score(documents([]), model).count() == 0
 
 
+def same(a, b):
+    return np.array_equal(a.keys, b.keys) and np.array_equal(a.weights, b.weights) and a.intercept == b.intercept
+
+
+def test_held_out_labels_teach_nothing(documents, spark):
+    import zlib
+
+    train, y = labelled(300)
+    docs = documents(list(enumerate(train)))
+    turned = [(i, 1 - int(v) if zlib.crc32(str(i).encode()) % 5 == 0 else int(v)) for i, v in enumerate(y)]
+    a, b = (X.fit(docs, spark.createDataFrame(rows, "doc_id long, toxic int")) for rows in (list(enumerate(map(int, y))), turned))
+    assert same(a, b) and turned != list(enumerate(map(int, y)))
+
+
+def test_sample_is_bounded_by_rows(documents, spark, monkeypatch):
+    """One key on many rows, null and empty texts, and a class with long texts only."""
+    seen = []
+    monkeypatch.setattr(X, "fit_local", lambda texts, y, **_: seen.append((texts, y)))
+    rows = [(1, "again")] * 500 + [(2, None), (3, ""), (8, None)] + [(i, "short one") for i in range(10, 60)] + [(70 + i, f"{i} " * 300) for i in range(40)]
+    labels = spark.createDataFrame([(1, 0), (2, 0), (3, 0), (8, 1), *((i, 0) for i in range(10, 60)), *((70 + i, 1) for i in range(40))], "doc_id long, toxic int")
+    X.fit(documents(rows), labels, rows_per_class=(30, 20), max_chars=100)
+    texts, y = seen[0]
+    assert (y == 0).sum() == 30 and (y == 1).sum() == 20 and all(0 < len(t) <= 100 for t in texts)
+
+
 # ---- language
 
 SYLLABLES = {"aa": ["ba", "ko", "li"], "bb": ["sch", "tz", "üg"], "cc": ["ñe", "oxa", "rr"]}
@@ -113,20 +145,59 @@ def test_language_holds_out(spark, documents, odd_texts):
     assert L.predict(documents([(1, "abc")]), None).first().lang_pred == "und"
 
 
+def one_direction(net, data, d):
+    """States of the gated unit, position by position, from its equations."""
+    n, w = net.hidden, net.weights
+    h, out = np.zeros(n), {}
+    for t in range(len(data)) if d == "f" else reversed(range(len(data))):
+        x, u = w["x" + d][:, data[t]].astype(float), w["u" + d].astype(float) @ h
+        r, z = (1 / (1 + np.exp(-(x[k * n : (k + 1) * n] + u[k * n : (k + 1) * n]))) for k in (0, 1))
+        c = np.tanh(x[2 * n :] + r * (u[2 * n :] + w["b" + d][:, 0]))
+        h = z * h + (1 - z) * c
+        out[t] = h
+    return np.array([out[t] for t in range(len(data))])
+
+
 def test_pooling_is_over_all_positions():
-    net = L.Network.start(["a", "b"], 4, 3)
-    data = [b"x" * 5, b"hello world " * 40, b"", b"q"]
+    """Against the equations, for texts of no byte, of less than a segment, of whole segments, and of more."""
+    net = L.Network.start(["a", "b", "c"], 4, 3)
+    data = [b"x" * 5, b"hello world " * 32, b"", b"q", "größer und weiter ".encode() * 23, b"z" * 128, b"y" * 129]
+    assert len(data[1]) == 3 * L.SEGMENT and len(data[4]) % L.SEGMENT
     offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
     got = L.label(net, np.frombuffer(b"".join(data), np.uint8), offsets)
     for d, p in zip(data, got, strict=True):
-        total = np.zeros(2)
+        total = np.zeros(3)
         for i in range(0, len(d), L.SEGMENT):
-            seg = np.frombuffer(d[i : i + L.SEGMENT], np.uint8)[:, None]
-            if len(seg) == L.SEGMENT or len(data) == 1:
-                total += net.positions(seg).sum(axis=0)[:, 0]
-        if len(d) % L.SEGMENT == 0 and d:
-            assert p == pytest.approx(total / len(d), abs=1e-5)
-        assert p.sum() == pytest.approx(1 if d else 0, abs=1e-5)
+            seg = d[i : i + L.SEGMENT]
+            z = np.concatenate([one_direction(net, seg, "f"), one_direction(net, seg, "b")], axis=1) @ net.weights["out"].T + net.weights["bias"][:, 0]
+            e = np.exp(z - z.max(axis=1, keepdims=True))
+            total += (e / e.sum(axis=1, keepdims=True)).sum(axis=0)
+        assert p == pytest.approx(total / max(len(d), 1), abs=2e-3)
+
+
+def test_held_out_languages_teach_nothing(spark, documents):
+    import zlib
+
+    rows = language_rows(200, 2)
+    turned = [(i, t, "zz" if zlib.crc32(str(i).encode()) % 5 == 0 else k) for i, t, k in rows]
+    a, b = (L.fit(spark.createDataFrame(r, "doc_id long, text string, lang string"), rows_per_language=40, steps=3) for r in (rows, turned))
+    assert a.languages == b.languages == ["aa", "bb", "cc"] and all(np.array_equal(a.weights[k], b.weights[k]) for k in a.weights)
+
+
+def test_language_of_long_texts_only_and_of_one_key(spark, monkeypatch):
+    """A language that only long texts carry is learned; a key with many rows gives no more than its share."""
+    seen = []
+    monkeypatch.setattr(L, "train", lambda segments, y, languages, **_: seen.append((segments, y, languages)))
+    rows = [(1, "ba ko li " * 5000, "aa")] * 3 + [(7, "sch tz", "bb")] * 400 + [(11, "", "dd"), (12, None, "dd"), (13, "x", None)]
+    L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows_per_language=50)
+    segments, y, languages = seen[0]
+    assert languages == ["aa", "bb"] and (y == 1).sum() == 50 and (y == 0).sum() >= 3 and max(map(len, segments)) <= L.SEGMENT
+
+
+def test_language_of_odd_columns(documents, clashing):
+    docs = documents([(1, "abc"), (1, "abc"), (None, "abc"), (2, None)], clashing)
+    got = L.predict(docs, L.Network.start(["a", "b"], 2, 0))
+    assert got.columns == ["doc_id", "lang_pred", "score"] and got.count() == 4
 
 
 # ---- URLs

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,8 +49,9 @@ class Network:
 
     # columns are segments, rows are units, so that each gate is one contiguous block
 
-    def direction(self, seg: np.ndarray, d: str, keep: bool = False):
-        """States (time x hidden x lanes) for bytes seg (time x lanes); with keep, the gates too."""
+    def direction(self, seg: np.ndarray, d: str, keep: bool = False, lengths: np.ndarray | None = None):
+        """States (time x hidden x lanes) for bytes seg (time x lanes); with keep, the gates too. lengths: where segments end, if
+        some are shorter; the way back starts there, so what fills them up has no part in it."""
         n, w = self.hidden, self.weights
         x, u, b = w["x" + d], w["u" + d], w["b" + d]
         steps, lanes = seg.shape
@@ -80,14 +81,16 @@ class Network:
             np.subtract(h, cand, out=new)
             new *= rz[n:]
             new += cand
+            if lengths is not None and d == "b":
+                new *= t < lengths
             h = new
         return (states, gates) if keep else states
 
-    def positions(self, seg: np.ndarray) -> np.ndarray:
-        """Probabilities (time x languages x lanes)."""
+    def positions(self, seg: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+        """Probabilities (time x languages x lanes); those beyond a segment's length mean nothing."""
         n, w = self.hidden, self.weights
         z = w["out"][:, :n] @ self.direction(seg, "f")
-        z += w["out"][:, n:] @ self.direction(seg, "b")
+        z += w["out"][:, n:] @ self.direction(seg, "b", lengths=lengths)
         z += w["bias"]
         z -= z.max(axis=1, keepdims=True)
         np.exp(z, out=z)
@@ -98,7 +101,7 @@ class Network:
         """Loss and gradients over the positions before each segment's length."""
         n, w = self.hidden, self.weights
         steps, lanes = seg.shape
-        runs = {d: self.direction(seg, d, keep=True) for d in "fb"}
+        runs = {d: self.direction(seg, d, keep=True, lengths=lengths) for d in "fb"}
         z = w["out"][:, :n] @ runs["f"][0] + w["out"][:, n:] @ runs["b"][0] + w["bias"]
         z -= z.max(axis=1, keepdims=True)
         p = np.exp(z)
@@ -122,7 +125,7 @@ class Network:
                 before = t - 1 if d == "f" else t + 1
                 h = states[before] if 0 <= before < steps else zero
                 r, up, cand, rec = (gates[t, i * n : (i + 1) * n] for i in range(4))
-                dh = back[t] + carry
+                dh = (back[t] + carry) * (t < lengths)
                 dcand = dh * (1 - up) * (1 - cand * cand)
                 dup = dh * (h - cand) * up * (1 - up)
                 dr = dcand * rec * r * (1 - r)
@@ -164,28 +167,28 @@ def train(segments: list[bytes], y: np.ndarray, languages: list[str], *, hidden:
     return net
 
 
-def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_language: int = 700, segments_per_row: int = 4, max_chars: int = 20_000, hidden: int = 8, steps: int = 300, seed: int = 7) -> Network | None:
+def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_language: int = 700, segments_per_row: int = 4, hidden: int = 8, steps: int = 300, seed: int = 7) -> Network | None:
     """Trains on a bounded sample of the rows that have a language and are not held out.
 
-    About rows_per_language rows of each language, by hash of the key, of at most max_chars characters; of each,
-    segments_per_row segments at random places. None if no row has a language.
+    At most rows_per_language rows of each language, those with the smallest hashes of their key; of each, however long,
+    segments_per_row segments at places that follow from the key, and only these leave Spark. None if no row has a language.
     """
-    known = docs.filter(~C.held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0) & (F.length(text) <= max_chars))
-    counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
-    if not counts:
+    row = C.fresh(docs, "_row")
+    docs = C.with_row(docs.select(key, text, lang), row)
+    known = docs.filter(~C.held_out(key) & F.col(lang).isNotNull() & (F.length(text) > 0))
+    # Spark keeps no more than this number of each language before the shuffle
+    place = F.row_number().over(Window.partitionBy(lang).orderBy(F.xxhash64(F.lit(seed), F.col(key).cast("string")), key, row))
+    sample = C.as_table(known.select(row, key, lang, place.alias("_place")).filter(F.col("_place") <= rows_per_language).select(row), "sample")
+    room = F.greatest(F.length(text) - SEGMENT + 1, F.lit(1))
+    cuts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(segments_per_row)), lambda i: F.pmod(F.xxhash64(F.lit(seed), i, F.col(key).cast("string")), room)))
+    parts = F.transform(cuts, lambda at: F.col(text).substr((at + 1).cast("int"), F.lit(SEGMENT)))
+    found = sorted((r["lang"], r["h"], list(r["parts"])) for r in docs.join(F.broadcast(sample), row).select(F.col(lang).alias("lang"), F.xxhash64(F.col(key).cast("string")).alias("h"), parts.alias("parts")).collect())
+    if not found:
         return None
-    languages = sorted(counts)
-    share = F.element_at(F.create_map(*(x for k in languages for x in (F.lit(k), F.lit(min(1.0, 1.2 * rows_per_language / counts[k]))))), F.col(lang))
-    some = known.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(1_000_003)) < share * 1_000_003)
-    r, segments, y, taken = np.random.default_rng(seed), [], [], dict.fromkeys(languages, 0)
-    for row in sorted(some.select(F.col(key).cast("string").alias("key"), lang, text).collect(), key=lambda x: (str(x[0]), x[2])):
-        if taken[row[1]] < rows_per_language:
-            taken[row[1]] += 1
-            data = row[2].encode("utf-8", "replace")
-            for at in {0} if len(data) <= SEGMENT else set(r.integers(0, len(data) - SEGMENT + 1, segments_per_row).tolist()):
-                segments.append(data[at : at + SEGMENT])
-                y.append(languages.index(row[1]))
-    return train(segments, np.array(y), languages, hidden=hidden, steps=steps, seed=seed)
+    languages = sorted({r[0] for r in found})
+    of = {k: i for i, k in enumerate(languages)}
+    pairs = [(part.encode("utf-8", "replace")[:SEGMENT], of[k]) for k, _, parts in found for part in parts]
+    return train([p for p, _ in pairs], np.array([y for _, y in pairs]), languages, hidden=hidden, steps=steps, seed=seed)
 
 
 _ASCII_LETTER = np.zeros(256, bool)
@@ -216,8 +219,9 @@ def label(net: Network, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         steps = np.arange(size[some[-1]])[:, None]
         inside = steps < size[some]
         seg = np.where(inside, padded[np.minimum(at[some] + steps, len(padded) - 1)], 0).astype(np.uint8)
-        p = net.positions(seg)
-        sums = p.sum(axis=0) if inside.all() else (p * inside[:, None]).sum(axis=0)
+        full = inside.all()
+        p = net.positions(seg, None if full else size[some])
+        sums = p.sum(axis=0) if full else (p * inside[:, None]).sum(axis=0)
         np.add.at(total, doc[some], sums.T)
     return total / np.maximum(lens, 1)[:, None]
 

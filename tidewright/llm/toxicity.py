@@ -74,21 +74,25 @@ def _doc_hashes(text: str) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", rows_per_class: tuple[int, int] = (4000, 2000), max_chars: int = 20_000, n_features: int = 4096, l2: float = 0.03) -> ToxicityModel:
-    """Fits on the driver, on a bounded sample of the labels (key, label) whose rows are not held out.
+    """Fits on the driver, on a bounded sample of the labelled rows (key, label) that are not held out.
 
-    rows_per_class: the most rows of label 0 and of label 1; the keys with the smallest hashes are taken, and only
-    their texts are gathered, so no text is shuffled. max_chars: sampled rows with longer texts are left out, which
-    bounds the sample's bytes. Scoring has no such bound. A key with both labels counts as 1.
+    rows_per_class: the most rows of label 0 and of label 1. Those with the smallest hashes of their key are taken among the texts of
+    max_chars at most; only if a class has too few of them, longer ones follow, and of these a stretch of max_chars is read. Null and
+    empty texts teach nothing. Rows are chosen by key and length alone, and only the sample's texts are gathered. Scoring has no
+    such bounds. A key with both labels counts as 1.
     """
     classes = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & ~C.held_out(key)).groupBy(key).agg(F.max(label).alias("_label"))
-    rows, y = [], []
-    for value, most in enumerate(rows_per_class):
-        sample = classes.filter(F.col("_label") == value).orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(most).select(key)
-        texts = docs.select(key, text).join(F.broadcast(sample), key).filter(F.col(text).isNotNull() & (F.length(text) <= max_chars))
-        found = sorted((str(r[0]), r[1]) for r in texts.collect())
-        rows += [t for _, t in found]
-        y += [value] * len(found)
-    return fit_local(rows, np.array(y, np.int8), n_features=n_features, l2=l2)
+    row = C.fresh(docs, "_row")
+    docs = C.with_row(docs.select(key, text), row)
+    length = F.length(F.col(text))
+    usable = docs.filter(length > 0).select(key, row, (length > max_chars).alias("_long")).join(classes, key)
+    rank = ["_long", F.xxhash64(F.col(key).cast("string")), key, row]
+    parts = [usable.filter(F.col("_label") == value).orderBy(*rank).limit(most) for value, most in enumerate(rows_per_class)]
+    sample = C.as_table(parts[0].unionByName(parts[1]).select(row, "_label"), "sample")
+    at = 1 + F.pmod(F.xxhash64(F.col(key).cast("string")), F.greatest(length - max_chars + 1, F.lit(1)))
+    texts = docs.join(F.broadcast(sample), row).select(F.xxhash64(F.col(key).cast("string")).alias("h"), "_label", F.substring(text, at, F.lit(max_chars)).alias("t"))  # sum(rows_per_class) rows
+    found = sorted((r["h"], int(r["_label"]), r["t"]) for r in texts.collect())
+    return fit_local([t for *_, t in found], np.array([y for _, y, _ in found], np.int8), n_features=n_features, l2=l2)
 
 
 def fit_local(texts: list[str], y: np.ndarray, *, n_features: int = 4096, l2: float = 0.03, least: int = 3) -> ToxicityModel:
@@ -97,15 +101,19 @@ def fit_local(texts: list[str], y: np.ndarray, *, n_features: int = 4096, l2: fl
         share = float(y.mean()) if len(texts) else 0.0
         return ToxicityModel(none.astype(np.uint64), none.astype(np.float32), float(np.clip(np.log((share + 1e-9) / (1 - share + 1e-9)), -20, 20)))
     n1, n0 = int(y.sum()), int((y == 0).sum())
-    # First pass: document counts by bucket; only buckets that tell the classes apart are looked at again.
-    counts = np.zeros((2, 1 << BUCKET_BITS), np.int32)
+    # First pass: document counts by bucket; only buckets that tell the classes apart are looked at again. In blocks, as the driver is small.
+    counts = np.zeros((2, 1 << BUCKET_BITS), np.uint16 if len(texts) < 1 << 16 else np.uint32)
     for t, label in zip(texts, y, strict=True):
         counts[label, np.unique(_bucket(_doc_hashes(t)))] += 1
-    strength = _ratio(counts[1], counts[0], n1, n0) ** 2 * (counts[0] + counts[1])
-    strength[counts[0] + counts[1] < least] = 0
-    wanted = np.zeros(1 << BUCKET_BITS, bool)
-    wanted[np.argsort(strength, kind="stable")[-8 * n_features :]] = True
-    wanted &= strength > 0
+    strength = np.zeros(1 << BUCKET_BITS, np.float32)
+    for i in range(0, len(strength), 1 << 17):
+        p, q = (counts[c, i : i + (1 << 17)].astype(np.float32) for c in (1, 0))
+        strength[i : i + (1 << 17)] = np.where(p + q >= least, _ratio(p, q, n1, n0) ** 2 * (p + q), 0)
+    del counts
+    good = strength[strength > 0]
+    cut = np.partition(good, -8 * n_features)[-8 * n_features] if len(good) > 8 * n_features else np.float32(0)
+    wanted = (strength >= cut) & (strength > 0)
+    del strength, good
     docs = [h[wanted[_bucket(h)]] for h in map(_doc_hashes, texts)]
     keys, at = np.unique(np.concatenate(docs), return_inverse=True)
     row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
@@ -176,7 +184,7 @@ def score_bytes(model: ToxicityModel, bits: np.ndarray, buf: np.ndarray, offsets
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1 for each whole text. One pass, no shuffle; other columns pass through as Arrow."""
+    """docs with a score from 0 to 1 for each whole text; a column that is named so already is replaced. One pass, no shuffle."""
     from pyspark.sql import types as T
 
     spark = docs.sparkSession
