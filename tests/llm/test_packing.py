@@ -96,10 +96,30 @@ def test_levels_minimise_squares():
             assert p.level(s) == -best[1]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 70), max_size=60), st.sampled_from([8, 16, 32]))
-def test_packer_places_every_token_once(sizes, window):
-    p = P.Packer(window)
+@pytest.mark.parametrize("sizes", [[600] * 100_000, [520 + i % 480 for i in range(30_000)]])
+def test_open_windows_are_bounded(sizes):
+    """Documents of more than half a window find no partners; windows are emitted all the same, and none is padded."""
+    p, most, tokens, emitted = P.Packer(), 0, 0, 0
+    ids = np.arange(1100, dtype=np.uint32)
+    for i, s in enumerate(sizes):
+        p.add(i, ids[:s])
+        most = max(most, p.n_open)
+        tokens += s
+        emitted += sum(len(x[2]) for x in p.out)
+        p.out = []
+    assert most <= P.MOST_OPEN and p.n_open == p.counts.sum() == sum(map(len, p.open))
+    p.finish()
+    fill = defaultdict(int)
+    for x in p.out:
+        fill[x[3]] += len(x[2])
+    assert emitted + sum(fill.values()) == tokens and not p.n_open
+    assert all(n == p.window or n & (n - 1) == 0 for n in fill.values())
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 70), max_size=60), st.sampled_from([8, 16, 32]), st.sampled_from([1, 2, 5, 4096]))
+def test_packer_places_every_token_once(sizes, window, most_open):
+    p = P.Packer(window, most_open)
     for i, s in enumerate(sizes):
         p.add(i, np.arange(s, dtype=np.uint32))
     p.finish()

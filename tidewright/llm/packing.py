@@ -2,9 +2,10 @@
 
 A document is its ids and an end id. Whole windows of it are cut off at once; the piece that is left goes to the fill
 level h (0 is a new window) for which the sum over levels of squared counts of partially filled windows becomes
-least, and a level array holds these counts. A task packs its own documents in reading order, and holds only the
-windows that are open; nothing is shuffled. When its documents end, the emptiest open windows are cut up to fill the
-fullest, and the one window that stays partly filled is cut at powers of two, where no padding is needed.
+least, and a level array holds these counts. A task packs its own documents in reading order, and holds a bounded number of
+open windows; nothing is shuffled. When more would be open (documents of half a window and more find no partners), and when the
+documents end, the emptiest open windows are cut up to fill the fullest. The one window that stays partly filled at the end is
+cut at powers of two, where no padding is needed.
 
 Defined results: null and empty texts are the end id alone; each repeated row is a document of its own; an empty
 table gives no piece. sequence_id is the number of the task and a number in it, so it is the same whenever the table
@@ -25,6 +26,8 @@ from pyspark.sql import types as T
 from tidewright.llm import _common as C
 
 WINDOW = 1024
+#: Windows that a task holds open at most.
+MOST_OPEN = 4096
 #: Rows of an output batch.
 _ROWS = 8192
 
@@ -85,8 +88,8 @@ def _byte_of_character() -> dict[str, int]:
 class Packer:
     """Piece = (row, start, ids); emits (row, start, ids, sequence, offset) as windows close."""
 
-    def __init__(self, window: int = WINDOW):
-        self.window = window
+    def __init__(self, window: int = WINDOW, most_open: int = MOST_OPEN):
+        self.window, self.most_open, self.n_open = window, most_open, 0
         self.counts = np.zeros(window, np.int64)  # of open windows by level
         self.open: list[list[list]] = [[] for _ in range(window)]
         self.sequences = 0
@@ -114,40 +117,48 @@ class Packer:
     def place(self, piece: tuple) -> None:
         size = len(piece[2])
         h = self.level(size)
-        window = self.open[h].pop() if h else []
-        if h:
-            self.counts[h] -= 1
+        window = self._take(h) if h else []
         window.append(piece)
-        if h + size == self.window:
+        self._put(window, h + size)
+        if self.n_open > self.most_open:
+            while self.n_open > max(1, self.most_open // 2):
+                self._merge()
+
+    def _take(self, level: int) -> list:
+        self.counts[level] -= 1
+        self.n_open -= 1
+        return self.open[level].pop()
+
+    def _put(self, window: list, level: int) -> None:
+        if level == self.window:
             self._emit(window)
-        else:
-            self.counts[h + size] += 1
-            self.open[h + size].append(window)
+        elif level:
+            self.counts[level] += 1
+            self.n_open += 1
+            self.open[level].append(window)
+
+    def _merge(self) -> None:
+        """Fills the fullest open window from the emptiest one, whose last piece is cut where it doesn't fit; one window fewer is open."""
+        used = np.flatnonzero(self.counts)
+        full, low = int(used[-1]), int(used[0])
+        window, donors = self._take(full), self._take(low)
+        gap = self.window - full
+        kept = deque(donors)
+        while gap and kept:
+            row, start, ids = kept.popleft()
+            window.append((row, start, ids[:gap]))
+            if len(ids) > gap:
+                kept.appendleft((row, start + gap, ids[gap:]))
+            gap -= min(gap, len(ids))
+        self._put(window, self.window - gap)
+        self._put(list(kept), max(0, low + full - self.window))
 
     def finish(self) -> None:
         """Closes all open windows; one at most was not full, and is cut at powers of two."""
-        windows = deque(w for level in reversed(self.open) for w in level)
-        donors: deque[tuple] = deque()
-        rest: list[tuple] = []
-        while windows:
-            window = windows.popleft()
-            gap = self.window - sum(len(p[2]) for p in window)
-            while gap:
-                if not donors:
-                    if not windows:
-                        break
-                    donors.extend(windows.pop())
-                row, start, ids = donors.popleft()
-                window.append((row, start, ids[:gap]))
-                if len(ids) > gap:
-                    donors.appendleft((row, start + gap, ids[gap:]))
-                gap -= min(gap, len(ids))
-            if gap:
-                rest = window
-            else:
-                self._emit(window)
-        pieces = deque(rest or donors)
-        left = sum(len(p[2]) for p in pieces)
+        while self.n_open > 1:
+            self._merge()
+        left = int(np.flatnonzero(self.counts)[0]) if self.n_open else 0
+        pieces = deque(self._take(left) if left else ())
         while left:
             size = 1 << (left.bit_length() - 1)
             left -= size
@@ -159,8 +170,6 @@ class Packer:
                     pieces.appendleft((row, start + size, ids[size:]))
                 size -= min(size, len(ids))
             self._emit(part)
-        self.counts[:] = 0
-        self.open = [[] for _ in range(self.window)]
 
     def _emit(self, pieces: list[tuple]) -> None:
         offset = 0
@@ -190,11 +199,12 @@ def pack(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text",
         end = np.array([end_id], np.uint32)
         kind = None
 
-        def batch():
-            rows, packer.out = packer.out, []
-            parts = [ids.astype("<u4").tobytes() for _, _, ids, _, _ in rows]
-            cols = [[start for _, start, *_ in rows], [len(p) // 4 for p in parts], [zlib.crc32(p) for p in parts], [row[1] for row, *_ in rows], [first + s for *_, s, _ in rows], [o for *_, o in rows]]
-            return pa.RecordBatch.from_arrays([pa.array([row[0] for row, *_ in rows], kind), *(pa.array(c, pa.int64()) for c in cols), pa.array(parts, pa.binary())], names=schema.names)
+        def batches_of(found):
+            for i in range(0, len(found), _ROWS):
+                rows = found[i : i + _ROWS]
+                parts = [ids.astype("<u4").tobytes() for _, _, ids, _, _ in rows]
+                cols = [[start for _, start, *_ in rows], [len(p) // 4 for p in parts], [zlib.crc32(p) for p in parts], [row[1] for row, *_ in rows], [first + s for *_, s, _ in rows], [o for *_, o in rows]]
+                yield pa.RecordBatch.from_arrays([pa.array([row[0] for row, *_ in rows], kind), *(pa.array(c, pa.int64()) for c in cols), pa.array(parts, pa.binary())], names=schema.names)
 
         for b in batches:
             kind = b.column(key).type
@@ -202,9 +212,9 @@ def pack(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text",
                 ids = np.concatenate([tokenizer.ids(t.as_py()), end])
                 packer.add((k, len(ids)), ids)
                 if len(packer.out) >= _ROWS:
-                    yield batch()
+                    found, packer.out = packer.out, []
+                    yield from batches_of(found)
         packer.finish()
-        if packer.out:
-            yield batch()
+        yield from batches_of(packer.out)
 
     return C.map_arrow(source, run, schema)
