@@ -34,6 +34,39 @@ def test_counts_are_the_librarys(text):
     assert _counter[0].count(text) == len(_counter[0].tokenizer.encode(text, add_special_tokens=False).ids)
 
 
+TYPOGRAPHIC = ["“It’s” — a – dash… 5 €, naïve café", "Ωμέγα ΣΊΣΥΦΟΣ ς", "Привет, мир! Ёлка", "日本語のテキスト 한국어 中文", "e\u0301a \u0301x a\u0323\u0307", "non\u00a0breaking\u2003space\u200bzero", "a<|endoftext|>b <|startoftext|>", "ǅ İI ﬁ ß ſ K", "x\u0085y\u001cz\x00", "🙂👍🏽 ok", "don’t can't"]
+
+
+def test_words_of_other_characters(counter):
+    """Word by word as the library counts the whole text, however words are joined."""
+    for text in [*TYPOGRAPHIC, " ".join(TYPOGRAPHIC), "\t".join(TYPOGRAPHIC), "\n plain words \r\n".join(TYPOGRAPHIC), ("plain and “quoted” words " * 3000)]:
+        assert counter.count(text) == len(counter.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aZé’“–€ΣςйЁ日\u0301\u0323\u00a0'.9\x0b", max_size=5), max_size=12), st.sampled_from([" ", "\n", " \t"]))
+def test_joined_words(parts, blank):
+    if not _counter:
+        _counter.append(T.Counter(PATH))
+    text = blank.join(parts)
+    assert _counter[0].count(text) == len(_counter[0].tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def test_most_words_of_typographic_text_need_no_library():
+    calls = []
+    small = T.Counter(PATH)
+    inner = small.lengths.tokenizer
+
+    class Counting:
+        def encode(self, *a, **k):
+            calls.append(a[0])
+            return inner.encode(*a, **k)
+
+    small.lengths.tokenizer = Counting()
+    small.count("some plain words and “one” more word — " * 500)
+    assert len(calls) == 8  # each distinct pre-token or doubtful word once
+
+
 def test_count_tokens(documents, counter, odd_texts, clashing, monkeypatch):
     rows = list(enumerate(odd_texts)) + [(50, "It's 12 o'clock; they're late!")]
     docs = documents(rows, clashing)
