@@ -118,5 +118,31 @@ def test_words_are_met_at_every_number_of_chunks(documents, chunk, group, monkey
     assert all(r.taken == r.copies * r.size for r in got)
 
 
+@pytest.mark.parametrize("key", [7, None])
+def test_one_key_on_most_rows(documents, key, monkeypatch):
+    """Rows of a repeated key are dealt out by their place, so that no chunk gathers them."""
+    monkeypatch.setattr(M, "CHUNK", 16)
+    seen = []
+    dealt = M._dealt
+    monkeypatch.setattr(M, "_dealt", lambda todo: seen.append(out := dealt(todo)) or out)
+    docs = documents([(key, "w " * (i % 9), "a") for i in range(400)] + [(1000 + i, "w w w", "b") for i in range(50)])
+    got = M.mix(docs).collect()
+    assert len(got) == 450 and max(r["count"] for r in seen[0].groupBy("source", "chunk").count().collect()) <= 4 * 16
+    for s in "ab":
+        mine = [r for r in got if r.source == s]
+        assert sum(r.taken for r in mine) == pytest.approx(mine[0].target, abs=1)
+    again = sorted((r.doc_id or 0, r.size, r.taken) for r in M.mix(docs).collect())
+    assert again == sorted((r.doc_id or 0, r.size, r.taken) for r in got)
+
+
+def test_targets_in_ranges(spark, monkeypatch):
+    """The same targets when sources are put in order range by range."""
+    r = random.Random(4)
+    sizes = {f"s{r.randrange(10**6)}": r.choice([0, 1, 7, 100, 5000]) for _ in range(200)} | {None: 300}
+    rows = spark.createDataFrame(list(sizes.items()), "source string, size long")
+    monkeypatch.setattr(M, "RANGE_ROWS", 30)
+    assert {x.source: x.target for x in M.targets(rows).collect()} == {k: pytest.approx(v) for k, v in water(sizes).items()}
+
+
 def test_exchange_is_not_capped():
     assert sum(M.exchange([1.0] + [0.0] * 999, [5000] + [3] * 999, 2500.0)) == 833

@@ -65,8 +65,80 @@ def test_oracle(spark, name):
     assert order(a).astype(str).equals(order(b).astype(str))
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
-def test_rows(spark, name):
-    table = "pages" if "url" in name else "documents"
-    got = QUERIES[name](spark, DATA)
-    assert got.count() >= C.read(spark, DATA, table).count()
+#: The first columns of each query, in the order of its contract, and their types. More may follow.
+CONTRACTS = {
+    "op1_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op2_jaccard_join": "doc_id bigint, n_shingles bigint, component_id bigint",
+    "op3_source_mix": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    "op4_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+    "op5_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op6_media_columns": "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string",
+    "op7_license_scan": "doc_id bigint, sentences string, licenses string, n_unknown bigint",
+    "op8_url_filter": "page_id bigint, host string, path string, rule string, verdict string",
+    "op9_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
+    "op10_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
+}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_contracts(spark, name):
+    got = C.as_table(QUERIES[name](spark, DATA), "result")
+    want = [tuple(c.split(" ")) for c in CONTRACTS[name].split(", ")]
+    assert got.dtypes[: len(want)] == want
+    key, table = ("page_id", "pages") if "url" in name else ("doc_id", "documents")
+    keys = sorted(r[0] for r in C.read(spark, DATA, table).select(key).collect())
+    found = [r[0] for r in got.select(key).collect()]
+    assert sorted(set(found) if name == "op4_packing" else found) == keys
+    assert got.filter(" OR ".join(f"{c} IS NULL" for c, _ in want if c not in ("rule",))).count() == 0
+
+
+TOXIC = ["gnarfle", "blorbix"]
+
+
+def odd_corpus(odd_texts):
+    """Labelled texts with toxic words, odd texts, copies, near copies, null keys and sources, and repeated rows."""
+    words = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore".split()
+    texts = [" ".join(words[(i * j + j) % 17] + str(i % 7) for j in range(40)) for i in range(80)]
+    rows = [(i, t + (" " + TOXIC[i % 2]) * 3 if i % 4 == 0 else t, "ab"[i % 2]) for i, t in enumerate(texts)]
+    rows += [(200 + i, t, None if i % 3 else "c") for i, t in enumerate(odd_texts)]
+    rows += [(300, texts[1] + "  ", "a"), (301, texts[2] + " more", "b"), (302, texts[3], None), (302, texts[3], None), (None, texts[5], "a"), (None, None, None)]
+    return rows, [(i, int(i % 4 == 0)) for i in range(80)]
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    def make(labels):
+        d = tmp_path_factory.mktemp("sf")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        return str(d)
+
+    return make
+
+
+def test_stages_bear_odd_rows(spark, documents, odd_texts, clashing, tables):
+    rows, labels = odd_corpus(odd_texts)
+    docs = documents(rows, {k: v for k, v in clashing.items() if k != "_metadata"})
+    d = tables([(k, 0, y) for k, y in labels])
+    at = [docs]
+    for _, f in P.STAGES[:-1]:
+        at.append(C.as_table(f(spark, at[-1], d), "stage"))
+        assert at[-1].columns == docs.columns
+    text_of = {k: t for k, t, _ in rows}
+    clean = {r.doc_id for r in at[1].collect()}
+    assert not any(text_of[k] and any(w in text_of[k] for w in TOXIC) for k in clean if k is not None and k < 80 and k % 5)
+    assert {k for k, t, _ in rows if k is not None and 200 <= k < 300} <= clean  # odd texts aren't toxic
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    assert at[2].count() == len({norm(r.text) for r in at[1].collect()})
+    pieces = P.STAGES[-1][1](spark, at[4], d).collect()
+    check_sequences(pieces)
+    assert {p.doc_id for p in pieces} == {r.doc_id for r in at[4].collect()}
+
+
+def test_stages_bear_empty_tables(spark, documents, tables):
+    d = tables([])
+    for docs in (documents([]), documents([(None, None, None)]), documents([(1, "", "a"), (2, None, "a")])):
+        at = docs
+        for _, f in P.STAGES:
+            out = f(spark, at, d)
+            at = C.as_table(out, "stage")
+        assert at.count() >= 0

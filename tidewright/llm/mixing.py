@@ -10,7 +10,7 @@ landing problem of two documents at most. What their rounding misses is made goo
 source, whichever flight settled them. No source is gathered in one task, however large.
 
 Long documents fly first, so that those left to land are short. Randomness is seeded by source, chunk and level, and
-rows of one size are ordered by a hash of the key, so reruns agree.
+rows of one size are ordered by a hash of the key, then by their place in the table, so reruns agree.
 
 Defined results: null and empty texts have size 0 and take no word; a null source is a source of its own, last in
 order; a repeated row is a document of its own; sources of no words have target 0; an empty table gives no row.
@@ -35,8 +35,26 @@ from tidewright.llm import _common as C
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of a chunk on the first level, and chunks of a group on the next ones.
 CHUNK, GROUP = 1024, 256
-#: Sources up to which their totals are broadcast.
-BROADCAST_SOURCES = 50_000
+#: Sources up to which their totals are broadcast, and sources of a range when they are put in order.
+BROADCAST_SOURCES, RANGE_ROWS = 50_000, 1_000_000
+
+
+def _running(rows: DataFrame, n: int, order: list, before: dict, name: str) -> DataFrame:
+    """The n rows with, for each name in before, the sum of that column over all rows that stand before it in the order.
+
+    More than RANGE_ROWS rows are dealt out by ranges of the order, so many in each: a window within a range, and one over the ranges' totals.
+    """
+    if n <= RANGE_ROWS:
+        whole = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumns({k: F.coalesce(F.sum(c).over(whole), F.lit(0)) for k, c in before.items()})
+    dealt = rows.repartitionByRange(-(-n // RANGE_ROWS), *order).withColumn("_part", F.spark_partition_id())
+    dealt = C.as_table(dealt, name)
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("_part").agg(*(F.sum(c).alias(f"_{k}") for k, c in before.items()))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for RANGE_ROWS sources
+    parts = parts.select("_part", *(F.coalesce(F.sum(f"_{k}").over(ahead), F.lit(0)).alias(f"_{k}") for k in before))
+    inner = dealt.withColumns({k: F.coalesce(F.sum(c).over(within), F.lit(0)) for k, c in before.items()})
+    return inner.join(F.broadcast(parts), "_part").select(*rows.columns, *((F.col(k) + F.col(f"_{k}")).alias(k) for k in before))
 
 
 def targets(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), most_repeats: int = 3) -> DataFrame:
@@ -45,19 +63,19 @@ def targets(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), most_repeats:
     Water filling in closed form: by rising ratio of cap to weight, the first source that the water left over by the
     capped ones before it doesn't fill sets the level for itself and all after it.
     """
-    by_source = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").cast("long").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (rank % len(weights) + 1).cast("int"))
-    cap = (most_repeats * F.col("source_size")).cast("double")
-    ordered = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(ordered.rowsBetween(0, Window.unboundedFollowing))
-    filled = by_source.withColumn("weight", weight).withColumn("cap", cap).withColumn("level", level)
+    by_source = C.as_table(rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").cast("long").alias("source_size")), "sources", words=F.sum("source_size"), n=F.count(F.lit(1)))
+    words, n = by_source.measured["words"] or 0, by_source.measured["n"]
+    ranked = _running(by_source, n, [F.col("source").asc_nulls_last()], {"rank": F.lit(1).cast("long")}, "ranked")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    filled = ranked.withColumn("weight", weight).withColumn("cap", (most_repeats * F.col("source_size")).cast("double")).withColumn("ratio", F.col("cap") / F.col("weight"))
+    filled = C.as_table(_running(filled, n, [F.col("ratio"), F.col("rank")], {"caps": F.col("cap"), "weights": F.col("weight")}, "filled"), "filled", weights=F.sum("weight"))
+    all_weights = filled.measured["weights"] or 0.0
+    level = (F.lit(float(words)) - F.col("caps")) / (F.lit(all_weights) - F.col("weights"))
     # from the first source that isn't capped on, its level holds
-    free = F.when(F.col("level") * F.col("weight") < F.col("cap"), F.struct(F.row_number().over(ordered), "level"))
-    filled = filled.withColumn("free", free)
-    final = F.min("free").over(Window.partitionBy())["level"]
-    return filled.withColumn("final", final).select("source", "n_docs", "source_size", F.least(F.col("cap"), F.coalesce(F.col("final") * F.col("weight"), F.col("cap"))).alias("target"))
+    free = filled.withColumn("level", level).filter(F.col("level") * F.col("weight") < F.col("cap"))
+    final = free.agg(F.min(F.struct("ratio", "rank", "level"))["level"]).first()[0]
+    target = F.col("cap") if final is None else F.least(F.col("cap"), F.lit(final) * F.col("weight"))
+    return filled.select("source", "n_docs", "source_size", target.alias("target"))
 
 
 def fly(p: list[float], size: list[int], draw: random.Random) -> list[float]:
@@ -166,8 +184,10 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     row: the column of C.with_row(), if docs has it.
     """
     spark = docs.sparkSession
-    at = F.col(row) if row else F.lit(None).cast("string")
-    rows = C.as_table(docs.select(F.col(key).alias("key"), at.alias("row"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
+    if row is None:
+        row = C.fresh(docs, "_row")
+        docs = C.with_row(docs, row)
+    rows = C.as_table(docs.select(F.col(key).alias("key"), F.col(row).alias("row"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
     aims = C.as_table(targets(rows, weights, most_repeats), "targets")
     stats = aims.agg(F.count(F.lit(1)), F.max("n_docs")).first()
     small = F.broadcast(aims) if stats[0] <= BROADCAST_SOURCES else aims
@@ -175,14 +195,15 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     joined = rows.alias("r").join(small.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("key", "row", "r.source", "size", "source_size", "target", rate.alias("rate"), F.ceil(F.col("n_docs") / CHUNK).alias("chunks"))
     hashed = F.xxhash64(F.lit(seed), F.col("key").cast("string"))
     todo = joined.withColumn("whole", F.floor("rate")).withColumn("p", F.col("rate") - F.floor("rate")).drop("rate")
-    todo = todo.withColumn("chunk", F.pmod(hashed, F.col("chunks"))).withColumn("bucket", F.col("chunk")).withColumn("hash", hashed)
+    todo = _dealt(todo.withColumn("chunk", F.pmod(hashed, F.col("chunks"))).withColumn("hash", hashed).withColumn("tie", F.xxhash64("row")))
+    todo = todo.withColumn("bucket", F.col("chunk"))
     schema = todo.schema
     C.ship(spark)
 
     def flight(level: int):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             # long documents first, so that those left for the landing are short
-            pdf = pdf.sort_values(["size", "hash", "key"], ascending=[False, True, True], kind="stable")
+            pdf = pdf.sort_values(["size", "hash", "tie"], ascending=[False, True, True], kind="stable")
             first = pdf.iloc[0]
             p, size = pdf["p"].tolist(), pdf["size"].tolist()
             p = fly(p, size, random.Random(f"{seed} {first['source']!r} {first['chunk']} {level}"))
@@ -211,6 +232,16 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     return out.select(F.col("key").alias(key), "row", F.col("source").alias(source), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+def _dealt(todo: DataFrame) -> DataFrame:
+    """todo with chunks of about CHUNK rows: rows of a key that repeats too often, or is null, are dealt out by their own place."""
+    sizes = C.as_table(todo.groupBy("source", "chunk").agg(F.count(F.lit(1)).alias("here")).filter(F.col("here") > 4 * CHUNK), "crowded", n=F.count(F.lit(1)))
+    if not sizes.measured["n"]:
+        return todo
+    joined = todo.alias("a").join(sizes.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.chunk") == F.col("b.chunk")), "left")
+    chunk = F.when(F.col("b.here").isNotNull(), F.pmod("a.tie", "a.chunks")).otherwise(F.col("a.chunk"))
+    return joined.select(*(chunk.alias(c) if c == "chunk" else f"a.{c}" for c in todo.columns))
+
+
 def _exchanged(landed: DataFrame) -> DataFrame:
     """The settled documents of all flights, with those exchanged that make good what the landing missed.
 
@@ -239,7 +270,7 @@ def _exchanged(landed: DataFrame) -> DataFrame:
     some = marked.filter("n IS NOT NULL")
     before = F.coalesce(F.sum("here").over(Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     chosen = some.groupBy(*group, "bucket", "n").agg(F.count(F.lit(1)).alias("here")).withColumn("left", F.col("n") - before).filter("left > 0")
-    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy(*group, "bucket").orderBy("hash", "key", "row")))
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy(*group, "bucket").orderBy("hash", "tie", "row")))
     turned = ranked.alias("a").join(chosen.alias("b"), same("a", "b", *group, "bucket"), "left").select("a.*", "b.left")
     turned = turned.withColumn("p", F.when(F.col("rank") <= F.col("left"), 1 - F.col("p")).otherwise(F.col("p")))
     return marked.filter("n IS NULL").select(*landed.columns).unionByName(turned.select(*landed.columns))
