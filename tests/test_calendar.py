@@ -21,6 +21,26 @@ def test_holidays(spark):
         K.holidays([2024], "XX")
 
 
+@pytest.mark.parametrize(("country", "state"), [(c, s) for c in K.HOLIDAYS for s in (None, *K.STATES.get(c, ()))])
+def test_expression_agrees_with_dates(spark, country, state):
+    """Every day of 1988 to 2040, and a far year."""
+    df = spark.sql("SELECT explode(sequence(timestamp'1988-01-01', timestamp'2040-12-31', interval 1 day)) AS ts UNION ALL SELECT timestamp'2199-12-25'")
+    got = {r[0].date() for r in K.with_holidays(df, country, state).filter("is_holiday = 1").select("ts").collect()}
+    assert got == {*K.holidays(range(1988, 2041), country, state), dt.date(2199, 12, 25)}
+
+
+def test_rules_of_years_and_states():
+    on = lambda y, m, d, state: dt.date(y, m, d) in K.holidays([y], "DE", state)
+    assert on(2019, 3, 8, "BE") and not on(2018, 3, 8, "BE") and on(2023, 3, 8, "MV") and not on(2022, 3, 8, "MV")
+    assert on(2018, 10, 31, "HH") and on(2017, 10, 31, "HH") and on(2017, 10, 31, "BY") and not on(2016, 10, 31, "HH") and not on(2018, 10, 31, "BY")
+    assert on(2010, 10, 31, "TH") and on(2019, 9, 20, "TH") and on(2024, 1, 6, "ST") and on(2018, 10, 31, "NI") and on(2018, 10, 31, "SH") and on(2018, 10, 31, "HB")
+    assert on(1994, 11, 16, "HE") and not on(1995, 11, 22, "HE") and on(1995, 11, 22, "SN")
+    assert on(2024, 3, 31, "BB") and not on(2024, 3, 31, "BE") and on(1990, 6, 17, None) and on(1990, 10, 3, None) and not on(1991, 6, 17, None)
+    for bad in ("XX", "ni", ""):
+        with pytest.raises(ValueError):
+            K.holidays([2024], "DE", bad)
+
+
 def test_local_dates_decide(spark):
     df = spark.sql("SELECT timestamp'2023-12-31 23:30:00' AS ts")
     assert K.with_holidays(df, zone="UTC").first().is_holiday == 0

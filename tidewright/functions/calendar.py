@@ -91,51 +91,117 @@ def easter(year: int) -> dt.date:
     return dt.date(year, f // 31, f % 31 + 1)
 
 
-# Fixed dates (month, day), days from Easter, and the same for states.
-FIXED = {
-    "DE": [(1, 1), (5, 1), (10, 3), (12, 25), (12, 26)],
-    "FR": [(1, 1), (5, 1), (5, 8), (7, 14), (8, 15), (11, 1), (11, 11), (12, 25)],
-    "ES": [(1, 1), (1, 6), (5, 1), (8, 15), (10, 12), (11, 1), (12, 6), (12, 8), (12, 25)],
-    "AT": [(1, 1), (1, 6), (5, 1), (8, 15), (10, 26), (11, 1), (12, 8), (12, 25), (12, 26)],
-}
-FROM_EASTER = {"DE": [-2, 1, 39, 50], "FR": [1, 39, 50], "ES": [-2], "AT": [1, 39, 50, 60]}
+@dataclass(frozen=True)
+class Day:
+    """A holiday: a date of the year, days from Easter Sunday, or the last given weekday (Monday is 0) before a date. With the years
+    in which it holds, both included, and the states; none for all of the country."""
+
+    date: tuple[int, int] | None = None
+    easter: int | None = None
+    before: tuple[int, int, int] | None = None
+    first: int = 1
+    last: int = 9999
+    states: tuple[str, ...] = ()
+
+
+def _days(dates: Sequence[tuple[int, int]], easter: Sequence[int]) -> list[Day]:
+    return [Day(date=d) for d in dates] + [Day(easter=n) for n in easter]
+
+
+# States, and public holidays by law, with the years in which rules changed.
 STATES = {
-    ("DE", "NW"): ([(11, 1)], [60]),
-    ("DE", "BY"): ([(1, 6), (8, 15), (11, 1)], [60]),
-    ("DE", "BW"): ([(1, 6), (11, 1)], [60]),
-    ("DE", "HE"): ([], [60]),
-    ("DE", "RP"): ([(11, 1)], [60]),
-    ("DE", "SL"): ([(8, 15), (11, 1)], [60]),
-    ("DE", "SN"): ([(10, 31)], []),
-    ("DE", "BE"): ([(3, 8)], []),
-    ("DE", "HH"): ([(10, 31)], []),
+    "DE": ("BB", "BE", "BW", "BY", "HB", "HE", "HH", "MV", "NI", "NW", "RP", "SH", "SL", "SN", "ST", "TH"),
+}
+HOLIDAYS: dict[str, list[Day]] = {
+    "DE": [
+        *_days([(1, 1), (5, 1), (12, 25), (12, 26)], [-2, 1, 39, 50]),
+        Day((6, 17), first=1954, last=1990),
+        Day((10, 3), first=1990),
+        Day((10, 31), first=2017, last=2017),
+        Day(before=(11, 23, 2), first=1990, last=1994),
+        Day(before=(11, 23, 2), first=1995, states=("SN",)),
+        Day((1, 6), states=("BW", "BY", "ST")),
+        Day((3, 8), first=2019, states=("BE",)),
+        Day((3, 8), first=2023, states=("MV",)),
+        Day((5, 8), first=2020, last=2020, states=("BE",)),
+        Day((5, 8), first=2025, last=2025, states=("BE",)),
+        Day(easter=0, states=("BB",)),
+        Day(easter=49, states=("BB",)),
+        Day(easter=60, states=("BW", "BY", "HE", "NW", "RP", "SL")),
+        Day((8, 15), states=("SL",)),
+        Day((9, 20), first=2019, states=("TH",)),
+        Day((10, 31), first=1990, states=("BB", "MV", "SN", "ST", "TH")),
+        Day((10, 31), first=2018, states=("HB", "HH", "NI", "SH")),
+        Day((11, 1), states=("BW", "BY", "NW", "RP", "SL")),
+    ],
+    "AT": [*_days([(1, 1), (1, 6), (5, 1), (8, 15), (11, 1), (12, 8), (12, 25), (12, 26)], [1, 39, 50, 60]), Day((10, 26), first=1967)],
+    "BE": _days([(1, 1), (5, 1), (7, 21), (8, 15), (11, 1), (11, 11), (12, 25)], [0, 1, 39, 49, 50]),
+    "CH": [*_days([(1, 1), (12, 25)], [39]), Day((8, 1), first=1994)],
+    "CZ": [*_days([(1, 1), (5, 1), (5, 8), (7, 5), (7, 6), (9, 28), (10, 28), (11, 17), (12, 24), (12, 25), (12, 26)], [1]), Day(easter=-2, first=2016)],
+    "DK": [*_days([(1, 1), (12, 25), (12, 26)], [-3, -2, 0, 1, 39, 49, 50]), Day(easter=26, last=2023)],
+    "ES": _days([(1, 1), (1, 6), (5, 1), (8, 15), (10, 12), (11, 1), (12, 6), (12, 8), (12, 25)], [-2]),
+    "FR": _days([(1, 1), (5, 1), (5, 8), (7, 14), (8, 15), (11, 1), (11, 11), (12, 25)], [1, 39, 50]),
+    "IT": [*_days([(1, 1), (1, 6), (4, 25), (5, 1), (6, 2), (8, 15), (11, 1), (12, 8), (12, 25), (12, 26)], [0, 1]), Day((10, 4), first=2026)],
+    "LU": [*_days([(1, 1), (5, 1), (6, 23), (8, 15), (11, 1), (12, 25), (12, 26)], [1, 39, 50]), Day((5, 9), first=2019)],
+    "NO": _days([(1, 1), (5, 1), (5, 17), (12, 25), (12, 26)], [-3, -2, 0, 1, 39, 49, 50]),
+    "PL": [*_days([(1, 1), (5, 1), (5, 3), (8, 15), (11, 1), (11, 11), (12, 25), (12, 26)], [0, 1, 49, 60]), Day((1, 6), first=2011), Day((12, 24), first=2025)],
 }
 
 
+def rules_of(country: str = "DE", state: str | None = None) -> list[Day]:
+    """The holidays of a country and state; unknown ones are errors."""
+    if country not in HOLIDAYS:
+        raise ValueError(f"no holidays are known for {country!r}; known: {sorted(HOLIDAYS)}")
+    if state is not None and state not in STATES.get(country, ()):
+        raise ValueError(f"{country} has no state {state!r} here; known: {sorted(STATES.get(country, ()))}")
+    return [d for d in HOLIDAYS[country] if not d.states or state in d.states]
+
+
 def holidays(years: Iterable[int], country: str = "DE", state: str | None = None) -> list[dt.date]:
-    if country not in FIXED:
-        raise ValueError(f"no holidays are known for {country!r}; known: {sorted(FIXED)}")
-    more = STATES.get((country, state), ([], []))
     found = set()
     for y in years:
-        found |= {dt.date(y, m, d) for m, d in FIXED[country] + more[0]}
-        found |= {easter(y) + dt.timedelta(days=n) for n in FROM_EASTER[country] + more[1]}
-        if country == "DE" and state == "SN":  # the Wednesday before 23 November
-            d = dt.date(y, 11, 22)
-            found.add(d - dt.timedelta(days=(d.weekday() - 2) % 7))
+        for d in rules_of(country, state):
+            if d.first <= y <= d.last:
+                if d.before:
+                    end = dt.date(y, *d.before[:2]) - dt.timedelta(days=1)
+                    found.add(end - dt.timedelta(days=(end.weekday() - d.before[2]) % 7))
+                else:
+                    found.add(dt.date(y, *d.date) if d.date else easter(y) + dt.timedelta(days=d.easter))
     return sorted(found)
 
 
-def holiday_dates(spark: SparkSession, first: int, last: int, country: str = "DE", state: str | None = None) -> DataFrame:
-    """A table of dates, a few a year, to be joined by broadcast."""
-    return spark.createDataFrame([(d,) for d in holidays(range(first, last + 1), country, state)], "holiday date")
+def easter_of(year: Column) -> Column:
+    """easter() as an expression over a year."""
+    whole = lambda x, n: F.floor(x / n).cast("int")
+    a, b, c = year % 19, whole(year, 100), year % 100
+    d = (19 * a + b - whole(b, 4) - whole(b - whole(b + 8, 25) + 1, 3) + 15) % 30
+    e = (32 + 2 * (b % 4) + 2 * whole(c, 4) - d - c % 4) % 7
+    f = d + e - 7 * whole(a + 11 * d + 22 * e, 451) + 114
+    return F.make_date(year, whole(f, 31), f % 31 + 1)
+
+
+def is_holiday(date: Column, country: str = "DE", state: str | None = None) -> Column:
+    """Whether a date is a holiday, for any year: an expression, so there is no table to join and no range of years."""
+    year = F.year(date)
+    days_from = F.datediff(date, easter_of(year))
+    out = F.lit(False)
+    for d in rules_of(country, state):
+        if d.before:
+            m, day, weekday = d.before
+            away = F.datediff(F.make_date(year, F.lit(m), F.lit(day)), date)
+            hit = (F.weekday(date) == weekday) & away.between(1, 7)
+        else:
+            hit = (F.month(date) == d.date[0]) & (F.dayofmonth(date) == d.date[1]) if d.date else days_from == d.easter
+        if d.first > 1 or d.last < 9999:
+            hit = hit & year.between(d.first, d.last)
+        out = out | hit
+    return out
 
 
-def with_holidays(df: DataFrame, country: str = "DE", state: str | None = None, zone: str = "UTC", ts: str = "ts", years: tuple[int, int] = (1990, 2060)) -> DataFrame:
+def with_holidays(df: DataFrame, country: str = "DE", state: str | None = None, zone: str = "UTC", ts: str = "ts") -> DataFrame:
     """is_holiday 0/1 by the local date of ts."""
-    dates = F.broadcast(holiday_dates(df.sparkSession, *years, country, state))
     local = F.to_date(F.from_utc_timestamp(ts, zone))
-    return df.withColumn("_date", local).join(dates, F.col("_date") == F.col("holiday"), "left").withColumn("is_holiday", F.col("holiday").isNotNull().cast("int")).drop("_date", "holiday")
+    return df.withColumn("is_holiday", F.coalesce(is_holiday(local, country, state), F.lit(False)).cast("int"))
 
 
 def holiday_frame(spark: SparkSession, start: str, end: str, rule: str = "h", country: str = "DE", state: str | None = None, zone: str = "UTC") -> DataFrame:
