@@ -74,3 +74,31 @@ def test_binner_merges_equal_edges(series):
     assert {r.bin for r in one.transform(series([1, 3, 9]), "y").collect()} == {0}
     with pytest.raises(ValueError):
         QuantileBinner(1)
+
+
+@pytest.mark.parametrize("method", curate.METHODS)
+def test_quantile_methods(spark, method):
+    r = np.random.default_rng(3)
+    groups = {f"g{n}": r.normal(size=n).round(1) for n in (1, 2, 3, 7, 40, 41)}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "series_id string, v double")
+    marks = [i / 8 for i in range(9)]
+    got = {r["series_id"]: r["edges"] for r in curate.quantile_edges(df, "v", marks, ["series_id"], method).collect()}
+    for g, vs in groups.items():
+        assert got[g] == pytest.approx(np.quantile(vs, marks, method=method)), g
+    pooled = curate.quantile_edges(df, "v", marks, [], method).first()["edges"]
+    assert pooled == pytest.approx(np.quantile(np.concatenate(list(groups.values())), marks, method=method))
+
+
+def test_binner_options(spark, series):
+    s = series([float(i) for i in range(100)])
+    small = curate.QuantileBinner(4, subsample=20).fit(s, "y")
+    assert 0 <= min(small.edges.first()["edges"]) and small.transform(s, "y").count() == 100
+    for bad in ({"n_bins": 1}, {"method": "mode"}, {"subsample": 0}):
+        with pytest.raises(ValueError):
+            curate.QuantileBinner(**bad)
+
+
+def test_outliers_with_their_original_values(series):
+    s = series([1.0, 1.1, 0.9, 1.0, 50.0] * 4)
+    found = curate.get_outliers(s, 0.2, original=s.withColumn("y", F.col("y") * 2)).select("y").distinct().collect()
+    assert [r.y for r in found] == [100.0]

@@ -93,3 +93,39 @@ def test_command_line(spark, tmp_path, capsys):
     got = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert got["naive"]["MAE"] < 0.01 and got["linear"]["MAE"] < 0.2 and got["trees"]["MAE"] < 1
     assert tasks.main(["combine", "--data", str(tmp_path / "none.csv")]) == 1
+
+
+def test_warnings(spark, series):
+    s = series([float(i) for i in range(40)])
+    exog = s.select("ts", (F.col("y") % 3).alias("x"))
+    ranges = V.exog_ranges(exog)
+    assert ranges == {"x": (0.0, 2.0)} and V.check_exog_range(exog, ranges) == [] and V.check_exog_range(exog, {}) == []
+    with pytest.warns(V.FeatureOutOfRangeWarning):
+        assert V.check_exog_range(exog.withColumn("x", F.col("x") + 1), ranges) == ["x"]
+    with pytest.warns(V.ExogInterpretationWarning):
+        f = RecursiveForecaster(lags=2, differencing=1).fit(s, exog)
+    with pytest.warns(V.TransformedSpaceWarning):
+        f.create_predict_matrix(1, exog.select((F.col("ts") + F.expr("INTERVAL 40 HOURS")).alias("ts"), "x"))
+    with pytest.warns(V.InputTypeWarning):
+        V.collect_series({f"s{i}": s.select("ts", "y") for i in range(V.MANY_FRAMES + 1)})
+    assert issubclass(V.MissingExogWarning, V.MissingValuesWarning) and issubclass(NotFitted, ValueError)
+
+    @V.deprecated("new", "9")
+    def old(x):
+        return x + 1
+
+    with pytest.warns(DeprecationWarning, match="use new"):
+        assert old(1) == 2 and old.__name__ == "old"
+
+
+def test_saved_versions(spark, series, tmp_path, monkeypatch):
+    import tidewright
+
+    f = RecursiveForecaster(lags=1).fit(series([1.0, 2.0, 4.0, 7.0, 3.0, 5.0]), store_residuals=True)
+    f.save(str(tmp_path / "m"))
+    monkeypatch.setattr(tidewright, "__version__", "0.0.0")
+    with pytest.warns(V.VersionWarning):
+        RecursiveForecaster.load(spark, str(tmp_path / "m"))
+    f.out_residuals = f.residuals
+    with pytest.warns(V.SavedModelWarning):
+        f.save(str(tmp_path / "n"))

@@ -89,7 +89,7 @@ def flag_outliers(series: DataFrame, contamination: float = 0.1, seed: int = 123
         raise ValueError("contamination must lie in (0, 0.5]")
     known = series.filter("y is not null")
     n = known.groupBy("series_id").agg(F.count(F.lit(1)).alias("_n"))
-    some = known.join(F.broadcast(n), "series_id").filter(F.pmod(F.xxhash64(F.lit(seed), "ts", "y"), F.lit(1_000_003)) < F.lit(1_000_003.0) * sample / F.col("_n"))
+    some = known.join(n, "series_id").filter(F.pmod(F.xxhash64(F.lit(seed), "ts", "y"), F.lit(1_000_003)) < F.lit(1_000_003.0) * sample / F.col("_n"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.sort(pdf["y"].to_numpy(float))
@@ -114,11 +114,14 @@ def mark_outliers(series: DataFrame, contamination: float = 0.1, seed: int = 123
     return out.withColumn("y", F.when(~F.col("is_outlier"), F.col("y")))
 
 
-def get_outliers(series: DataFrame, contamination: float = 0.01, seed: int = 1234) -> DataFrame:
-    """The outliers themselves: (series_id, ts, y)."""
+def get_outliers(series: DataFrame, contamination: float = 0.01, seed: int = 1234, original: DataFrame | None = None) -> DataFrame:
+    """The outliers themselves: (series_id, ts, y). original: (series_id, ts, y) with the values to report, such as those before a fill."""
     if series.isEmpty():
         raise ValueError("the table is empty")
-    return flag_outliers(series, contamination, seed).filter("is_outlier").drop("is_outlier")
+    found = flag_outliers(series, contamination, seed).filter("is_outlier").drop("is_outlier")
+    if original is None:
+        return found
+    return found.drop("y").join(original.select("series_id", "ts", "y"), ["series_id", "ts"])
 
 
 # ---- weights ----------------------------------------------------------------------------------------------------------
@@ -214,7 +217,7 @@ def slice_pos(df: DataFrame, start: int, end: int) -> DataFrame:
 
 def weighted_sum(predictions: DataFrame, weights: DataFrame, value: str = "pred") -> DataFrame:
     """(ts, combined): the sum over series of value times weight; a missing value makes the time's sum missing. Series without a weight do not count."""
-    joined = predictions.join(F.broadcast(weights.select("series_id", "w")), "series_id")  # a row for each named series
+    joined = predictions.join(weights.select("series_id", "w"), "series_id")
     total = F.sum(F.col(value) * F.col("w"))
     return joined.groupBy("ts").agg(F.when(F.count(F.lit(1)) == F.count(value), total).alias("combined"))
 
@@ -240,9 +243,46 @@ def combine(wide: DataFrame, weights: dict[str, float] | Sequence[float] | None
 # ---- quantile bins ----------------------------------------------------------------------------------------------------
 
 
+#: alpha and beta of the quantile definitions that interpolate between order statistics; the others are steps.
+_PLACES = {"interpolated_inverted_cdf": (0, 1), "hazen": (1 / 2, 1 / 2), "weibull": (0, 0), "linear": (1, 1), "median_unbiased": (1 / 3, 1 / 3), "normal_unbiased": (3 / 8, 3 / 8)}
+METHODS = (*_PLACES, "inverted_cdf", "averaged_inverted_cdf", "closest_observation")
+
+
+def quantile_edges(df: DataFrame, value: str, marks: Sequence[float], by: Sequence[str], method: str = "linear") -> DataFrame:
+    """(by, edges): the quantiles at marks by one of nine definitions, from the order statistics that each needs."""
+    if method == "linear":
+        return df.groupBy(*by).agg(F.percentile(value, F.array(*(F.lit(float(q)) for q in marks))).alias("edges"))
+    w = Window.partitionBy(*(by or [F.lit(0)]))
+    ranked = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), F.row_number().over(w.orderBy(value)).alias("_r"), F.count(F.lit(1)).over(w).alias("_n"))
+    n, edges = F.max("_n"), []
+    for q in marks:
+        if method in _PLACES:
+            a, b = _PLACES[method]
+            h = n * q + a + q * (1 - a - b)  # from 1
+            low, part = F.floor(h), h - F.floor(h)
+        else:
+            h = n * q - (0.5 if method == "closest_observation" else 0)
+            low, part = F.floor(h), h - F.floor(h)
+            whole = part == 0
+            if method == "averaged_inverted_cdf":
+                part = F.when(whole, F.lit(0.5)).otherwise(F.lit(1.0))
+            elif method == "closest_observation":
+                part = F.when(whole & (low % 2 == 0), F.lit(0.0)).otherwise(F.lit(1.0))
+            else:
+                part = F.when(whole, F.lit(0.0)).otherwise(F.lit(1.0))
+        edges.append((low, part))
+    at = ranked.groupBy(*by).agg(n.alias("_n"), *(x.cast("double").alias(f"_{k}{i}") for i, e in enumerate(edges) for k, x in zip(("low", "part"), e, strict=True)))
+    joined = ranked.drop("_n").join(at, list(by)) if by else ranked.drop("_n").crossJoin(F.broadcast(at))  # one row
+    clip = lambda x: F.greatest(F.lit(1), F.least(F.col("_n"), x))
+    pick = lambda x: F.max(F.when(F.col("_r") == clip(x), F.col("_v")))
+    parts = [(pick(F.col(f"_low{i}")), pick(F.col(f"_low{i}") + 1), F.max(f"_part{i}")) for i in range(len(edges))]
+    return joined.groupBy(*by).agg(F.array(*(lo + (hi - lo) * p for lo, hi, p in parts)).alias("edges"))
+
+
 @dataclass
 class QuantileBinner:
-    """Bins between exact quantiles (linear interpolation), for each series and pooled.
+    """Bins between quantiles, for each series and pooled. method: one of METHODS; subsample: rows of a group, by hash, from which the
+    quantiles come (all by default).
 
     Edges that coincide are merged, with a warning; values beyond the outer edges go to the outer bins. `edges` is a table
     with a short array for each series, joined by broadcast when values are binned.
@@ -250,14 +290,25 @@ class QuantileBinner:
 
     n_bins: int = 10
     by: Sequence[str] = ("series_id",)
+    method: str = "linear"
+    subsample: int | None = None
+    seed: int = 123
 
     def __post_init__(self):
         if self.n_bins < 2:
             raise ValueError("n_bins must be at least 2")
+        if self.method not in METHODS:
+            raise ValueError(f"method must be one of {sorted(METHODS)}")
+        if self.subsample is not None and self.subsample < 1:
+            raise ValueError("subsample must be positive")
 
     def fit(self, df: DataFrame, value: str) -> QuantileBinner:
-        marks = F.array(*(F.lit(i / self.n_bins) for i in range(self.n_bins + 1)))
-        self.edges = df.groupBy(*self.by).agg(F.array_distinct(F.percentile(value, marks)).alias("edges"))
+        if self.subsample is not None:
+            order = F.row_number().over(Window.partitionBy(*(self.by or [F.lit(0)])).orderBy(F.xxhash64(F.lit(self.seed), *df.columns)))
+            df = df.withColumn("_place", order).filter(F.col("_place") <= self.subsample).drop("_place")
+        marks = [i / self.n_bins for i in range(self.n_bins + 1)]
+        edges = quantile_edges(df, value, marks, list(self.by), self.method)
+        self.edges = edges.withColumn("edges", F.array_distinct("edges"))
         return self
 
     def check(self) -> QuantileBinner:

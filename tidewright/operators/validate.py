@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import warnings
 from collections.abc import Iterable, Sequence
 
@@ -12,6 +13,10 @@ from pyspark.sql import types as T
 from tidewright.session import as_series, from_wide
 
 
+#: Frames of a collection beyond which it warns.
+MANY_FRAMES = 20
+
+
 class MissingValuesWarning(UserWarning):
     """Rows with missing values were left out."""
 
@@ -36,6 +41,70 @@ class ResidualsUsageWarning(UserWarning):
     """Fewer residuals than asked for, or pooled ones in their place."""
 
 
+class MissingExogWarning(MissingValuesWarning):
+    """Exogenous columns have missing values."""
+
+
+class FeatureOutOfRangeWarning(UserWarning):
+    """A value lies beyond those of the training."""
+
+
+class TransformedSpaceWarning(UserWarning):
+    """Values are in the scale that is regressed, not the original one."""
+
+
+class InputTypeWarning(UserWarning):
+    """The input has a form that is slower than another."""
+
+
+class OneStepAheadWarning(UserWarning):
+    """Every step is forecast from true past values, so errors are smaller than those of a recursion."""
+
+
+class ExogInterpretationWarning(UserWarning):
+    """Coefficients of exogenous columns mean something else than they seem to."""
+
+
+class SavedModelWarning(UserWarning):
+    """A model was saved or read with a loss."""
+
+
+class VersionWarning(SavedModelWarning):
+    """A model was saved by another version."""
+
+
+def deprecated(use: str, removed_in: str):
+    """Marks a function: calling it warns what to use instead."""
+
+    def mark(f):
+        @functools.wraps(f)
+        def call(*args, **kwargs):
+            warnings.warn(f"{f.__name__} goes with version {removed_in}; use {use}", DeprecationWarning, stacklevel=2)
+            return f(*args, **kwargs)
+
+        return call
+
+    return mark
+
+
+def check_exog_range(exog: DataFrame, ranges: dict[str, tuple[float, float]]) -> list[str]:
+    """Columns with values beyond the given ranges; warns if there are any. One aggregation."""
+    if not ranges:
+        return []
+    found = exog.agg(*(F.count_if((F.col(c).cast("double") < lo) | (F.col(c).cast("double") > hi)).alias(c) for c, (lo, hi) in ranges.items())).first()
+    beyond = [c for c in ranges if found[c]]
+    if beyond:
+        warnings.warn(f"columns beyond the range of the training: {beyond}", FeatureOutOfRangeWarning, stacklevel=2)
+    return beyond
+
+
+def exog_ranges(exog: DataFrame) -> dict[str, tuple[float, float]]:
+    """Least and greatest value of each exogenous column. One aggregation."""
+    names = [c for c in exog.columns if c not in ("series_id", "ts")]
+    found = exog.agg(*(f(F.col(c).cast("double")).alias(f"{k}_{c}") for c in names for k, f in (("a", F.min), ("b", F.max)))).first()
+    return {c: (found[f"a_{c}"], found[f"b_{c}"]) for c in names if found[f"a_{c}"] is not None}
+
+
 def check_y(series: DataFrame) -> None:
     """(series_id, ts, y) with a number in every row."""
     missing = {"series_id", "ts", "y"} - set(series.columns)
@@ -59,7 +128,7 @@ def check_exog(exog: DataFrame, allow_missing: bool = True) -> None:
     if exog.filter(missing).limit(1).count():
         if not allow_missing:
             raise ValueError("exog has missing values")
-        warnings.warn("exog has missing values", MissingValuesWarning, stacklevel=2)
+        warnings.warn("exog has missing values", MissingExogWarning, stacklevel=2)
 
 
 def check_exog_types(exog: DataFrame) -> dict[str, str]:
@@ -125,6 +194,8 @@ def collect_series(data, step_s: int | None = None) -> DataFrame:
     if isinstance(data, dict):
         if not data:
             raise ValueError("there is no series")
+        if len(data) > MANY_FRAMES:
+            warnings.warn(f"{len(data)} frames make a plan with as many branches; one long frame is faster", InputTypeWarning, stacklevel=2)
         out = None
         for name, df in data.items():
             values = [c for c in df.columns if c != "ts"]
