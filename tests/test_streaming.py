@@ -1,5 +1,7 @@
 import datetime as dt
+import os
 
+from pyspark.sql import functions as F
 
 from tidewright.streaming import resample as R
 
@@ -37,3 +39,38 @@ def test_merge_late(spark, tmp_path):
     write(df(2), 1)  # a repeated batch
     rows = R.current(spark, str(tmp_path / "t"), ["k"]).collect()
     assert len(rows) == 1 and rows[0].v == 2
+
+
+def test_merged_batches_are_compacted(spark, series, tmp_path):
+    target = str(tmp_path / "m")
+    write = R.merge_late(spark, target, ["series_id", "ts"])
+    write(series([1.0, 2.0]), 0)
+    write(series([5.0]), 1)
+    values = lambda: sorted(r.y for r in R.current(spark, target, ["series_id", "ts"]).collect())
+    assert values() == [2.0, 5.0]
+    R.compact(spark, target, ["series_id", "ts"])
+    assert values() == [2.0, 5.0] and [n for n in os.listdir(target) if n[0] == "b"] == ["base=000000000001"]
+    write(series([9.0]), 1)  # a batch that is part of the base comes again
+    assert values() == [2.0, 5.0]
+    write(series([7.0, 8.0, 9.0]), 2)
+    R.compact(spark, target, ["series_id", "ts"])
+    R.compact(spark, target, ["series_id", "ts"])
+    assert values() == [7.0, 8.0, 9.0]
+
+
+def test_rows_out_of_order_wait_for_the_watermark(spark, series, tmp_path):
+    """Three batches in the wrong order give what one in order gives, as far as the watermark has come."""
+    h = series([float(i) for i in range(60)])
+    for k, (a, b) in enumerate([(10, 20), (0, 10), (20, 60)]):
+        part = h.filter((F.col("y") >= a) & (F.col("y") < b)).coalesce(1)
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+        for f in sorted((tmp_path / "in").glob("part-*.parquet")):
+            if "seen" not in f.name:
+                f.rename(f.with_name(f"seen-{k}.parquet"))
+                os.utime(tmp_path / "in" / f"seen-{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema(h.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = R.naive_stream(stream, 3, late="20 hours").writeStream.format("memory").queryName("ordered").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {int(r.y): r.pred for r in spark.table("ordered").collect()}
+    assert len(got) >= 35 and set(got) == set(range(len(got)))
+    assert all((p is None or p != p) if y < 3 else p == y - 3 for y, p in got.items())

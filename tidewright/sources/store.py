@@ -22,6 +22,11 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def iteration_path(home: str, name: str, iteration: int) -> str:
     return f"{home.rstrip('/')}/{name}_forecaster_{iteration}"
 
