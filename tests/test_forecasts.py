@@ -1,11 +1,15 @@
+import sys
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tidewright.operators import features as X
 from tidewright.operators.folds import COLUMNS, OneStepAheadFold, TimeSeriesFold
 from tidewright.plans import backtest as B
+from tidewright.plans import estimators as E
 from tidewright.plans.naive import SeasonalNaive, check_interval
 from tidewright.plans.recursive import NotFitted, RecursiveForecaster, Trees, predict_multivariate
 from tidewright.sources import store
@@ -170,7 +174,7 @@ def test_ragged_series_are_left_out(series):
 @pytest.mark.parametrize("kind", ["gbt", "forest", "tree"])
 def test_trees_match_spark(spark, series, kind):
     s = series(wave(150))
-    f = RecursiveForecaster(lags=[1, 24], estimator=kind, encoding=None, estimator_params={"maxDepth": 3} | ({"maxIter": 4} if kind == "gbt" else {})).fit(s)
+    f = RecursiveForecaster(lags=[1, 24], estimator=kind, encoding=None, per_series=False, estimator_params={"maxDepth": 3} | ({"maxIter": 4} if kind == "gbt" else {})).fit(s)
     assert isinstance(f.models[None], Trees) and f.predict(6).count() == 6
     assert f.feature_importances().importance.sum() == pytest.approx(1)
     mae = f.predict_one_step(s).agg(F.avg(F.abs(F.col("y") - F.col("pred")))).first()[0]
@@ -262,3 +266,174 @@ def test_naive_backtest_by_hand(series):
     y = list(range(20))
     rows = B.backtest(SeasonalNaive(4), series(y), TimeSeriesFold(6, 8))[1].orderBy("pos").collect()
     assert [int(r.pred) for r in rows] == [4, 5, 6, 7, 4, 5, 10, 11, 12, 13, 10, 11]
+
+
+# ---- a model of each series
+
+
+@pytest.mark.parametrize("kind", ["gbt", "forest", "tree"])
+def test_trees_of_each_series(spark, series, kind, tmp_path):
+    """Every series gets trees of its own: another series in the table changes nothing."""
+    s = series(wave(150), b=[10 * x for x in wave(150, 2)])
+    make = lambda: RecursiveForecaster(lags=[1, 24], estimator=kind, estimator_params={"maxDepth": 3})
+    both, alone = make().fit(s, store_residuals=True), make().fit(s.filter("series_id = 'b'"))
+    assert set(both.models) == {"y", "b"}
+    assert preds(both.predict(5).filter("series_id = 'b'")) == pytest.approx(preds(alone.predict(5)))
+    mae = both.predict_one_step(s).groupBy("series_id").agg(F.avg(F.abs(F.col("y") - F.col("pred"))).alias("e"), F.stddev("y").alias("s"))
+    assert mae.filter("e < 0.6 * s").count() == 2
+    assert both.feature_importances().groupby("series_id").importance.sum().tolist() == pytest.approx([1, 1])
+    assert both.predict_interval(3, 0.8).filter("lower_bound <= pred AND pred <= upper_bound").count() == 6
+    both.save(str(tmp_path / "m"))
+    assert preds(RecursiveForecaster.load(spark, str(tmp_path / "m")).predict(5)) == pytest.approx(preds(both.predict(5)))
+
+
+def test_tree_splits_minimise_squares():
+    r = np.random.default_rng(2)
+    x, y, w = r.normal(size=(60, 2)), r.normal(size=60), r.random(60) + 0.1
+    model = E.NamedTrees("tree", maxDepth=1, exact=True).fit(x, y, w)
+
+    def cost(j, cut):
+        return sum((w[m] * (y[m] - np.average(y[m], weights=w[m])) ** 2).sum() for m in (x[:, j] <= cut, x[:, j] > cut) if m.any())
+
+    best = min(cost(j, c) for j in (0, 1) for c in x[:, j])
+    t = model.trees[0]
+    assert cost(t["feature"][0], t["cut"][0]) == pytest.approx(best)
+    inside = x[:, t["feature"][0]] <= t["cut"][0]
+    assert model.predict(x)[inside] == pytest.approx(np.average(y[inside], weights=w[inside]))
+    assert E.NamedTrees("gbt", maxIter=0).fit(x, y).predict(x) == pytest.approx(y.mean())
+    assert E.NamedTrees("tree").fit(np.zeros((3, 1)), np.array([1.0, 2, 3])).predict(np.zeros((1, 1))) == pytest.approx([2])
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the executors don't know the tests' classes
+
+
+class Means:
+    """An estimator object: the mean of all features, plus a bias it learns."""
+
+    def __init__(self, factor=1.0):
+        self.factor = factor
+
+    def fit(self, x, y, sample_weight=None, shift=0.0):
+        self.bias = np.average(y - self.factor * x.mean(axis=1), weights=sample_weight) + shift
+        self.coef_ = np.full(x.shape[1], self.factor / x.shape[1])
+        return self
+
+    def predict(self, x):
+        return self.factor * np.asarray(x).mean(axis=1) + self.bias
+
+
+class Bare:
+    def fit(self, x, y):
+        return self
+
+    def predict(self, x):
+        return np.zeros(len(x))
+
+
+def test_estimator_objects(series):
+    s = series([float(i) for i in range(40)], b=[5.0] * 40)
+    f = RecursiveForecaster(lags=2, estimator=Means()).fit(s)
+    got = {(r.series_id, r.step): r.pred for r in f.predict(3).collect()}
+    assert got["y", 1] == pytest.approx(40) and got["b", 3] == pytest.approx(5)
+    assert got["y", 2] == pytest.approx((40 + 39) / 2 + 1.5)
+    shifted = RecursiveForecaster(lags=2, estimator=Means(), fit_kwargs={"shift": 1.0}, estimator_params={"factor": 0.5}).fit(s)
+    assert shifted.models["b"].factor == 0.5 and shifted.models["b"].bias == pytest.approx(3.5)
+    assert f.feature_importances().importance.tolist() == [0.5] * 4
+    weights = s.select("ts").distinct().withColumn("weight", F.lit(1.0))
+    assert RecursiveForecaster(lags=2, estimator=Means()).fit(s, weights=weights).predict(1).count() == 2
+    with pytest.raises(Exception, match="sample_weight"):
+        RecursiveForecaster(lags=2, estimator=Bare()).fit(s, weights=weights).predict(1).count()
+    for bad in ({"estimator": object()}, {"estimator": Means(), "per_series": False}, {"scaled": "wild"}):
+        with pytest.raises(ValueError):
+            RecursiveForecaster(lags=1, **bad)
+    with pytest.raises(ValueError):
+        f.save("/nowhere")
+    with pytest.raises(ValueError):
+        RecursiveForecaster(lags=2, estimator=Bare()).fit(s).feature_importances()
+
+
+@pytest.mark.parametrize("how", [True, "standard", "minmax", "maxabs", "robust", X.Affine(F.min, F.stddev_pop)])
+def test_scalings_are_undone(series, how):
+    """A linear model forecasts the same in every scale; a last window is scaled as the training was."""
+    s = series(wave(120), b=[100 + 7 * x for x in wave(120, 1)])
+    plain, scaled = (RecursiveForecaster(lags=[1, 2, 24], scaled=x).fit(s) for x in (False, how))
+    assert preds(scaled.predict(6)) == pytest.approx(preds(plain.predict(6)), rel=1e-4)
+    window = s.filter("ts < '2024-01-04'")
+    assert preds(scaled.predict(6, last_window=window)) == pytest.approx(preds(plain.predict(6, last_window=window)), rel=1e-4)
+    exog = s.filter("series_id = 'y'").select("ts", (F.hour("ts") * 3.0).alias("x"))
+    more = exog.unionByName(exog.select((F.col("ts") + F.expr("INTERVAL 5 DAYS")).alias("ts"), "x"))
+    a, b = (preds(RecursiveForecaster(lags=[1], scaled_exog=x).fit(s, exog).predict(4, more)) for x in (False, how))
+    assert a == pytest.approx(b, rel=1e-4)
+
+
+def test_codes_of_levels(series):
+    """Ordinal codes are those of the names in order; an unknown series has none."""
+    s = series(wave(60), b=wave(60, 1), c=wave(60, 2))
+    f = RecursiveForecaster(lags=[1], per_series=False).fit(s)
+    assert f._coded(s.select("series_id").distinct()).orderBy("series_id").select("_level").toPandas()["_level"].tolist() == [0, 1, 2]
+    assert f.levels == ["b", "c", "y"]
+
+
+def test_distributions(series):
+    f = RecursiveForecaster(lags=[1, 24]).fit(series(wave(200)), store_residuals=True)
+    paths = f.predict_bootstrapping(2, n_boot=60).toPandas()
+    x = paths[paths.step == 1].pred.to_numpy()
+    got = {name: f.predict_dist(2, name, n_boot=60).filter("step = 1").first().asDict() for name in ("norm", "laplace", "uniform", "expon", "logistic", "gumbel_r")}
+    assert (got["norm"]["loc"], got["norm"]["scale"]) == pytest.approx((x.mean(), x.std()))
+    assert (got["laplace"]["loc"], got["laplace"]["scale"]) == pytest.approx((np.median(x), np.abs(x - np.median(x)).mean()))
+    assert (got["uniform"]["loc"], got["uniform"]["scale"]) == pytest.approx((x.min(), np.ptp(x)))
+    assert (got["expon"]["loc"], got["expon"]["scale"]) == pytest.approx((x.min(), x.mean() - x.min()))
+    own = f.predict_dist(2, {"top": F.max}, n_boot=60).filter("step = 1").first()
+    assert own.top == pytest.approx(x.max())
+    with pytest.raises(ValueError):
+        f.predict_dist(2, "cauchy-ish")
+
+
+# ---- functions as aggregates
+
+
+def test_naive_with_a_function(series):
+    s = series([float(i % 7) for i in range(40)])
+    weighted = lambda a: F.aggregate(F.transform(a, lambda x, i: x * F.pow(F.lit(0.5), i)), F.lit(0.0), lambda t, x: t + x)
+    steps = preds(SeasonalNaive(7, 2, weighted).fit(s).predict(3))
+    assert steps == pytest.approx([1.5 * (40 % 7), 1.5 * (41 % 7), 1.5 * (42 % 7)])
+    assert preds(SeasonalNaive("7 hours", 2, weighted).fit(s).predict(3)) == pytest.approx(steps)
+    assert SeasonalNaive(7, 2, weighted).fit(s, store_residuals=True).predict_interval(2, 0.8).count() == 2
+    month = SeasonalNaive("1 month", 2, lambda a: F.array_max(a), rule="D").fit(series([float(i) for i in range(80)], "D"))
+    assert preds(month.predict(1)) == [80 - 31 + 2]  # 20 March looks to 20 February, the 50th day
+    rows = B.backtest(SeasonalNaive(7, 2, lambda a: F.array_min(a)), s, TimeSeriesFold(5, 20))[1]
+    assert rows.filter("pred <> y").count() == 0
+    assert SeasonalNaive(7).tags()["prediction_types"] == ["point", "interval"]
+    assert SeasonalNaive(7).fit(s).summary()["n_series"] == 1 and not SeasonalNaive(7).summary()["fitted"]
+
+
+# ---- folds at once
+
+
+@pytest.mark.parametrize(("refit", "fixed", "how"), [(True, True, {}), (True, False, {"differencing": 1}), (2, False, {"scaled": True}), (False, True, {"window_features": X.RollingFeatures(["mean"], 5), "scaled": "minmax"}), (2, True, {"estimator": "tree"})])
+def test_folds_at_once_are_those_one_by_one(series, refit, fixed, how):
+    s = series(wave(90), b=wave(90, 3))
+    cv = TimeSeriesFold(8, 50, refit=refit, fixed_train_size=fixed, gap=1, window_size=30)
+    f = RecursiveForecaster(lags=[1, 3], **how)
+    placed, n = B.placed_on_axis(s)
+    cv = cv.set_params(window_size=f.window_size)
+    folds = cv.split(s.sparkSession, n)
+    a, b = ({(r.series_id, r.fold, r.pos): (r.y, r.pred) for r in g(f, placed, folds, cv, None, None).collect()} for g in (B._recursive, B._recursive_at_once))
+    assert a.keys() == b.keys() and len(a) > 50
+    for k in a:
+        assert a[k] == pytest.approx(b[k], rel=1e-6)
+
+
+def test_folds_of_ragged_series(series, spark):
+    """A shorter series takes part in the folds that it has rows for; the others' forecasts are as without it."""
+    s = series(wave(100))
+    late = series(wave(40, 2), start="2024-01-03 12:00").withColumn("series_id", F.lit("late"))
+    for f in (RecursiveForecaster(lags=[1, 2]), SeasonalNaive(12)):
+        alone = {(r.fold, r.pos): r.pred for r in B.backtest(f, s, TimeSeriesFold(10, 40, refit=isinstance(f, RecursiveForecaster)))[1].collect()}
+        rows = B.backtest(f, s.unionByName(late), TimeSeriesFold(10, 40, refit=isinstance(f, RecursiveForecaster)))[1].collect()
+        both = {(r.fold, r.pos): r.pred for r in rows if r.series_id == "y"}
+        assert both == pytest.approx(alone)
+        mine = [r for r in rows if r.series_id == "late"]
+        assert mine and min(r.pos for r in mine) >= 60
+    with pytest.raises(ValueError):
+        B.backtest(SeasonalNaive(1), s.filter("false"), TimeSeriesFold(1, 1))

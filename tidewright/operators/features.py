@@ -344,10 +344,43 @@ def onehot_encode(df: DataFrame, values: Sequence[str], column: str = "series_id
     return df.withColumns({f"{column}_{v}": F.when(F.col(column) == v, 1.0).otherwise(0.0) for v in sorted(values)})
 
 
-def scale(series: DataFrame, y: str = "y", out: str = "z") -> tuple[DataFrame, DataFrame]:
-    """(series with standardised values, parameters of each series: mean and sd of the population)."""
-    p = series.groupBy("series_id").agg(F.avg(y).alias("mean"), F.coalesce(F.nullif(F.stddev_pop(y), F.lit(0.0)), F.lit(1.0)).alias("sd"))
-    return series.join(p, "series_id").withColumn(out, (F.col(y) - F.col("mean")) / F.col("sd")).drop("mean", "sd"), p
+@dataclass(frozen=True)
+class Affine:
+    """A scaling of each series by two aggregates: (y - shift) / spread; a spread of 0 counts as 1."""
+
+    shift: Callable[[Column], Column]
+    spread: Callable[[Column], Column]
+
+
+#: Scalings by name. Any other pair of aggregates is an Affine of its own.
+SCALINGS = {
+    "standard": Affine(F.avg, F.stddev_pop),
+    "minmax": Affine(F.min, lambda c: F.max(c) - F.min(c)),
+    "maxabs": Affine(lambda c: F.max(c) * 0, lambda c: F.max(F.abs(c))),
+    "robust": Affine(lambda c: F.percentile(c, F.lit(0.5)), lambda c: F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))),
+}
+
+
+def scaling(how: str | bool | Affine) -> Affine:
+    if isinstance(how, Affine):
+        return how
+    name = "standard" if how is True else how
+    if name not in SCALINGS:
+        raise ValueError(f"scaling must be one of {sorted(SCALINGS)} or an Affine")
+    return SCALINGS[name]
+
+
+def scale(series: DataFrame, y: str = "y", out: str = "z", how: str | bool | Affine = "standard") -> tuple[DataFrame, DataFrame]:
+    """(series with scaled values, parameters of each series: mean and sd, or what stands for them)."""
+    kind = scaling(how)
+    c = F.col(y)
+    p = series.groupBy("series_id").agg(kind.shift(c).alias("mean"), F.coalesce(F.nullif(kind.spread(c), F.lit(0.0)), F.lit(1.0)).alias("sd"))
+    return rescale(series, p, y, out), p
+
+
+def rescale(series: DataFrame, parameters: DataFrame, y: str = "y", out: str = "z") -> DataFrame:
+    """series scaled by parameters that are known."""
+    return series.join(parameters, "series_id").withColumn(out, (F.col(y) - F.col("mean")) / F.col("sd")).drop("mean", "sd")
 
 
 def unscale(df: DataFrame, parameters: DataFrame, z: str = "z", out: str = "y") -> DataFrame:

@@ -6,6 +6,8 @@ one task, forward_fill() works in blocks of time and carries values from block t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,13 +54,15 @@ def bin_start(ts: str | Column, rule: str, closed: str = "left", origin: Column
     return F.timestamp_micros(F.floor(at / step).cast("long") * step + base)
 
 
-def resample(series: DataFrame, rule: str = "h", closed: str = "left", label: str = "left", by: str = "mean", shared: bool = True) -> DataFrame:
+def resample(series: DataFrame, rule: str = "h", closed: str = "left", label: str = "left", by: str | Callable[[Column], Column] = "mean", shared: bool = True) -> DataFrame:
     """Aggregates to a regular grid; empty bins are kept, with 0 for sums and counts and NULL for the rest.
 
+    by: a name, or a function from a column to an aggregate of it.
+
     Bins count from the midnight of the table's first day, as is usual for rules of several hours.
     """
-    if by not in AGGREGATES:
-        raise ValueError(f"by must be one of {sorted(AGGREGATES)}")
+    if not callable(by) and by not in AGGREGATES:
+        raise ValueError(f"by must be one of {sorted(AGGREGATES)}, or a function")
     if closed not in ("left", "right") or label not in ("left", "right"):
         raise ValueError("closed and label must be 'left' or 'right'")
     step = seconds_of(rule)
@@ -69,7 +73,7 @@ def resample(series: DataFrame, rule: str = "h", closed: str = "left", label: st
     else:
         origin, binned = None, series
     binned = binned.withColumn("_bin", bin_start("ts", rule, closed, origin))
-    agg, empty = AGGREGATES[by]
+    agg, empty = (lambda y: by(F.col(y)), None) if callable(by) else AGGREGATES[by]
     value = F.min_by("y", F.when(F.col("y").isNotNull(), F.col("ts"))) if by == "first" else F.max_by("y", F.when(F.col("y").isNotNull(), F.col("ts"))) if by == "last" else agg("y")
     bins = binned.groupBy("series_id", F.col("_bin").alias("ts")).agg(value.alias("y"))
     ends = None

@@ -17,7 +17,7 @@ from tidewright.operators import curate, features, folds, grid
 from tidewright.plans import backtest as B
 from tidewright.plans.naive import SeasonalNaive
 from tidewright.plans.recursive import RecursiveForecaster
-from tidewright.session import as_series, table, with_pos
+from tidewright.session import as_series, scratch, table, with_pos
 
 #: The event types.
 TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -383,7 +383,8 @@ def interactions(spark, sf_dir):
 _EASTER = """x AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM (SELECT DISTINCT year(ts) AS y FROM daily)),
 z AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS d FROM x), v AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - d - c % 4) % 7 AS e FROM z),
 u AS (SELECT y, d + e - 7 * ((a + 11 * d + 22 * e) // 451) + 114 AS f FROM v), s AS (SELECT y, make_date(y, f // 31, f % 31 + 1) AS easter FROM u),
-h AS (SELECT easter + n AS holiday FROM s, (VALUES (-2), (1), (39), (50), (60)) k(n) UNION SELECT make_date(y, m, dd) FROM s, (VALUES (1, 1), (5, 1), (10, 3), (11, 1), (12, 25), (12, 26)) k(m, dd))"""
+h AS (SELECT easter + n AS holiday FROM s, (VALUES (-2), (1), (39), (50), (60)) k(n) UNION SELECT make_date(y, m, dd) FROM s, (VALUES (1, 1), (5, 1), (10, 3), (11, 1), (12, 25), (12, 26)) k(m, dd)
+UNION SELECT make_date(y, 11, 22) - CAST((isodow(make_date(y, 11, 22)) + 4) % 7 AS INTEGER) FROM s WHERE y BETWEEN 1990 AND 1994)"""
 
 
 @query(f"{DAILY}, {_EASTER} SELECT ts, CAST(CASE WHEN CAST(ts AS DATE) IN (SELECT CAST(holiday AS DATE) FROM h) THEN 1 ELSE 0 END AS INTEGER) AS is_holiday FROM daily")
@@ -728,13 +729,20 @@ def naive_pipeline(spark, sf_dir):
 @query("""WITH b AS (SELECT event_type AS series_id, date_trunc('hour', CAST(ts AS TIMESTAMP)) AS ts, avg(value) AS y FROM events GROUP BY 1, 2), m AS (SELECT max(CAST(ts AS TIMESTAMP)) - INTERVAL 10 MINUTE AS w FROM events) SELECT series_id, ts, round(y, 6) + 0.0 AS y FROM b, m WHERE ts + INTERVAL 1 HOUR <= w""")
 def streaming_resample(spark, sf_dir):
     """The events as a stream of files; hours that the watermark has passed are final."""
-    import uuid
-
     from tidewright.streaming.resample import resample_stream
 
+    return rounded(streamed(spark, sf_dir, resample_stream), "y")
+
+
+def streamed(spark: SparkSession, sf_dir: str, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream of the events' files leaves in a table of Parquet files when all of them have been read."""
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
-    name = f"stream_{uuid.uuid4().hex[:12]}"
-    q = resample_stream(as_series(stream, "event_type", "ts", "value")).writeStream.format("memory").outputMode("append").queryName(name).trigger(availableNow=True).start()
+    out = operator(as_series(stream, "event_type", "ts", "value"))
+    path = scratch(spark, "stream")
+    q = out.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return rounded(spark.table(name), "y")
+    return spark.read.schema(out.schema).parquet(f"{path}/rows")
+
+
+from tidewright.plans import catalogue_more  # noqa: E402, F401  registers its queries

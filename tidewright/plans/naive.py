@@ -27,8 +27,10 @@ AGGREGATES: dict[str, Callable[[Column], Column]] = {
 RESIDUALS = 10_000
 
 
-def _of_array(a: Column, agg: str) -> Column:
+def _of_array(a: Column, agg: str | Callable[[Column], Column]) -> Column:
     """An aggregate of an array without NULLs."""
+    if callable(agg):
+        return agg(a)
     total = F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     n = F.size(a)
     if agg == "median":
@@ -37,6 +39,14 @@ def _of_array(a: Column, agg: str) -> Column:
     return {"mean": total / F.nullif(n, F.lit(0)), "sum": total, "max": F.array_max(a), "min": F.array_min(a)}[agg]
 
 
+def _of_rows(agg: str | Callable[[Column], Column], value: str, k: str = "k") -> Column:
+    """The same of a group's rows, ordered by k."""
+    if not callable(agg):
+        return AGGREGATES[agg](value)
+    known = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col(k).alias("k"), F.col(value).alias("v")))))
+    return agg(F.transform(known, lambda x: x["v"]))
+
+
 def capped(residuals: DataFrame, n_bins: int, seed: int = 123, total: int = RESIDUALS) -> DataFrame:
     """At most total // n_bins residuals of each bin and `total` of each series, picked by a seeded hash.
 
@@ -82,17 +92,20 @@ def check_interval(interval) -> float:
 
 @dataclass
 class SeasonalNaive:
+    """offset: steps of the grid, or an interval such as '1 day' or '1 month'. agg: of the values n_offsets offsets ago: a name, or a
+    function from an array column (of the known ones, latest first) to a column."""
+
     offset: int | str = "1 day"
     n_offsets: int = 1
-    agg: str = "mean"
+    agg: str | Callable[[Column], Column] = "mean"
     rule: str = "h"
     n_bins: int = 10
 
     def __post_init__(self):
         if isinstance(self.offset, int) and self.offset < 1 or self.n_offsets < 1:
             raise ValueError("offset and n_offsets must be positive")
-        if self.agg not in AGGREGATES:
-            raise ValueError(f"agg must be one of {sorted(AGGREGATES)}")
+        if not callable(self.agg) and self.agg not in AGGREGATES:
+            raise ValueError(f"agg must be one of {sorted(AGGREGATES)}, or a function of an array column")
 
     def fit(self, series: DataFrame, store_residuals: bool = False, seed: int = 123) -> SeasonalNaive:
         """Keeps the history; residuals and bins are computed only on demand."""
@@ -105,6 +118,16 @@ class SeasonalNaive:
     def release(self) -> None:
         self.history.unpersist()
 
+    def tags(self) -> dict:
+        """What this kind of forecaster can do."""
+        return {"name": "SeasonalNaive", "multiple_series": True, "exog": False, "recursive": False, "prediction_types": ["point", "interval"], "handles_missing_values": True, "needs_fit_data": True, "interval_methods": ["conformal"]}
+
+    def summary(self) -> dict:
+        last = getattr(self, "history", None)
+        ends = last.agg(F.min("ts"), F.max("ts"), F.count_distinct("series_id")).first() if last is not None else (None, None, 0)
+        name = self.agg if isinstance(self.agg, str) else getattr(self.agg, "__name__", "function")
+        return {"offset": self.offset, "n_offsets": self.n_offsets, "agg": name, "rule": self.rule, "n_bins": self.n_bins, "fitted": last is not None, "training_range": (ends[0], ends[1]), "n_series": ends[2], "residuals": getattr(self, "residuals", None) is not None}
+
     # ---- forecasts
 
     def predict(self, steps: int, history: DataFrame | None = None) -> DataFrame:
@@ -148,7 +171,7 @@ class SeasonalNaive:
         at = at.withColumn("_m", first).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(self.n_offsets - 1))))
         at = at.withColumn("_src", F.col("ts") - (F.col("_m") + F.col("k")).cast("int") * unit)
         joined = at.join(history.select("series_id", F.col("ts").alias("_src"), "y"), ["series_id", "_src"], "left")
-        out = joined.groupBy("series_id", "ts", "step").agg(AGGREGATES[self.agg]("y").alias("pred"), F.count("y").alias("_n"))
+        out = joined.groupBy("series_id", "ts", "step").agg(_of_rows(self.agg, "y").alias("pred"), F.count("y").alias("_n"))
         none = F.raise_error(F.lit("no value of the history lies an offset before this time"))
         return out.withColumn("pred", F.when(F.col("_n") == 0, none).otherwise(F.col("pred"))).drop("_n")
 
@@ -180,7 +203,7 @@ class SeasonalNaive:
         at = series.select("series_id", "ts", "y", F.explode(F.sequence(F.lit(1), F.lit(self.n_offsets))).alias("k"))
         src = series.select("series_id", F.col("ts").alias("_src"), F.col("y").alias("_v"))
         joined = at.withColumn("_src", F.col("ts") - F.col("k").cast("int") * unit).join(src, ["series_id", "_src"], "left")
-        return joined.groupBy("series_id", "ts").agg(F.first("y").alias("y"), F.when(F.count("_v") == self.n_offsets, AGGREGATES[self.agg]("_v")).alias("pred"))
+        return joined.groupBy("series_id", "ts").agg(F.first("y").alias("y"), F.when(F.count("_v") == self.n_offsets, _of_rows(self.agg, "_v")).alias("pred"))
 
     def _in_sample(self, series: DataFrame, seed: int) -> tuple[DataFrame, QuantileBinner]:
         rows = self.fitted(series).filter("y is not null and pred is not null").withColumn("residual", F.col("y") - F.col("pred"))

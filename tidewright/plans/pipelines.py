@@ -14,7 +14,7 @@ from tidewright.operators import curate, features, grid
 from tidewright.operators.folds import TimeSeriesFold
 from tidewright.plans.naive import SeasonalNaive
 from tidewright.plans.recursive import RecursiveForecaster
-from tidewright.session import seconds_of
+from tidewright.session import seconds_of, stored
 from tidewright.sources import store
 
 # Signed weights of eleven combined series, in order.
@@ -81,17 +81,18 @@ def forecast_with_covariates(series: DataFrame, horizon: int = 24, covariates: C
     """
     if horizon < 1:
         raise ValueError("horizon must be positive")
-    sampled = grid.resample(series, rule).persist()  # read several times below; spills to disk if need be
+    sampled = stored(grid.resample(series, rule), "sampled")  # these are read several times below
     marked = curate.mark_outliers(sampled, contamination) if contamination else sampled.withColumn("is_outlier", F.lit(False))
-    marked = marked.persist()
+    marked = stored(marked, "marked")
     if weights:
-        data = curate.missing_weights(marked.drop("is_outlier"), window_size, weights).persist()
+        data = stored(curate.missing_weights(marked.drop("is_outlier"), window_size, weights), "weighted")
         sample_weights = data.select("series_id", "ts", "weight")
         data = data.drop("weight")
     else:
         data, sample_weights = grid.fill(marked.drop("is_outlier")), None
     bounds = data.agg(F.min("ts").alias("start"), (F.max("ts") + F.make_dt_interval(secs=F.lit(horizon * seconds_of(rule)))).alias("end"))
-    exog = (covariates or Covariates()).build(bounds, rule).persist()
+    exog = (covariates or Covariates()).build(bounds, rule)
+    exog = stored(exog, "covariates")
     model = None
     if model_dir and not force_train and store.exists(series.sparkSession, model_dir):
         model = RecursiveForecaster.load(series.sparkSession, model_dir)

@@ -1,7 +1,8 @@
 """Recursive forecasters: a regression on lags, window features and exogenous columns, fed with its own forecasts.
 
 Fitting: features are window expressions; a linear model needs only sums of products, which are ordinary aggregates, so rows
-are never gathered. Forecasting: a linear model on lags runs inside aggregate(), within Catalyst; trees, window features and
+are never gathered. Trees and estimator objects of each series are fitted in grouped pandas, a series in a task; a global model
+of trees by pyspark.ml. Forecasting: a linear model on lags runs inside aggregate(), within Catalyst; trees, window features and
 bootstraps run over NumPy lanes in grouped pandas, on state of a fixed size for each series.
 
 One class serves a model of each series (`per_series`) and one global model of all of them, with the series as ordinal or
@@ -11,7 +12,9 @@ one-hot feature.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import pickle
+import warnings
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,15 +23,32 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import tidewright
 from tidewright.operators import features as X
+from tidewright.operators import validate as V
 from tidewright.operators.curate import QuantileBinner, check_weights, look_up_weights
 from tidewright.operators.grid import future
+from tidewright.plans import estimators as E
 from tidewright.plans.naive import capped, check_interval, with_interval
 from tidewright.session import over_series
 
 
-class NotFitted(RuntimeError):
-    pass
+#: Series up to which they can have a column each.
+MOST_COLUMNS = 1000
+#: Maximum-likelihood parameters of distributions, as aggregates; logistic and gumbel_r by their moments.
+DISTRIBUTIONS: dict[str, dict[str, Callable[[Column], Column]]] = {
+    "norm": {"loc": F.avg, "scale": F.stddev_pop},
+    "laplace": {"loc": lambda c: F.percentile(c, F.lit(0.5)), "scale": lambda c: F.avg(F.abs(c - F.col("_median")))},
+    "uniform": {"loc": F.min, "scale": lambda c: F.max(c) - F.min(c)},
+    "expon": {"loc": F.min, "scale": lambda c: F.avg(c) - F.min(c)},
+    "lognorm": {"s": lambda c: F.stddev_pop(F.log(c)), "scale": lambda c: F.exp(F.avg(F.log(c)))},
+    "logistic": {"loc": F.avg, "scale": lambda c: F.stddev_pop(c) * (3**0.5 / np.pi)},
+    "gumbel_r": {"loc": lambda c: F.avg(c) - np.euler_gamma * 6**0.5 / np.pi * F.stddev_pop(c), "scale": lambda c: F.stddev_pop(c) * (6**0.5 / np.pi)},
+}
+
+
+class NotFitted(ValueError, AttributeError):
+    """A forecast was asked for before the fit."""
 
 
 # ---- estimators -------------------------------------------------------------------------------------------------------
@@ -105,18 +125,7 @@ class Trees:
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         """x: features x lanes."""
-        total = np.zeros(x.shape[1])
-        for t, w in zip(self.trees, self.weights, strict=True):
-            f, cut, left, right, value = (np.asarray(t[k]) for k in ("feature", "cut", "left", "right", "value"))
-            at = np.zeros(x.shape[1], int)
-            while True:
-                inner = f[at] >= 0
-                if not inner.any():
-                    break
-                go = x[np.maximum(f[at], 0), np.arange(x.shape[1])] <= cut[at]
-                at = np.where(inner, np.where(go, left[at], right[at]), at)
-            total += w * value[at]
-        return total
+        return sum((w * E.walk(t, x) for t, w in zip(self.trees, self.weights, strict=True)), np.zeros(x.shape[1]))
 
 
 # ---- the forecaster ---------------------------------------------------------------------------------------------------
@@ -124,20 +133,24 @@ class Trees:
 
 @dataclass
 class RecursiveForecaster:
-    """estimator: 'linear', 'gbt', 'forest' or 'tree'. per_series: a model for each series; otherwise one for all.
+    """estimator: 'linear', 'gbt', 'forest', 'tree', or (for a model of each series) any object with fit(x, y) and predict(x).
+    per_series: a model for each series; otherwise one for all.
 
     encoding (global models): 'ordinal', 'onehot' or None. differencing: order of differences taken before, undone after.
-    scaled: standardise each series before, undo after.
+    scaled: scale each series before, undo after: True or 'standard', 'minmax', 'maxabs', 'robust', or a features.Affine.
+    scaled_exog: the same for each exogenous column over the training rows. fit_kwargs: further arguments of an object's fit.
     """
 
     lags: int | Sequence[int] | None = 24
     window_features: X.RollingFeatures | None = None
-    estimator: str = "linear"
+    estimator: object = "linear"
     estimator_params: dict = field(default_factory=dict)
     per_series: bool = True
     encoding: str | None = "ordinal"
     differencing: int = 0
-    scaled: bool = False
+    scaled: bool | str | X.Affine = False
+    scaled_exog: bool | str | X.Affine = False
+    fit_kwargs: dict = field(default_factory=dict)
     rule: str = "h"
     n_bins: int = 10
     forecaster_id: str | None = None
@@ -146,12 +159,14 @@ class RecursiveForecaster:
         self.lag_list = X.normalise_lags(self.lags)
         if not self.lag_list and self.window_features is None:
             raise ValueError("lags or window features are needed")
-        if self.estimator not in ("linear", "gbt", "forest", "tree"):
-            raise ValueError("estimator must be 'linear', 'gbt', 'forest' or 'tree'")
+        E.check(self.estimator)
+        if not self.per_series and not isinstance(self.estimator, str):
+            raise ValueError("an estimator object fits one series; a global model takes a name")
+        for how in (self.scaled, self.scaled_exog):
+            if how:
+                X.scaling(how)
         if self.encoding not in ("ordinal", "onehot", None):
             raise ValueError("encoding must be 'ordinal', 'onehot' or None")
-        if self.per_series and self.estimator != "linear":
-            self.per_series = False  # trees are fitted on all series at once
         self.is_fitted = False
 
     @property
@@ -193,16 +208,18 @@ class RecursiveForecaster:
     # ---- training matrix
 
     def _transformed(self, series: DataFrame) -> DataFrame:
-        """series with the value that is regressed, as y, and the original as _y."""
+        """series with the value that is regressed, as y, and the original as _y. The scale is that of the training."""
         out = series.withColumn("_y", F.col("y"))
         if self.scaled:
-            out, self._scale = X.scale(out, "y", "y")
+            out = X.rescale(out, self._scale, "y", "y")
         if self.differencing:
             out = X.difference(out, self.differencing, "y", "_d").withColumn("y", F.col("_d")).drop("_d")
         return out
 
     def create_train_matrix(self, series: DataFrame, exog: DataFrame | None = None) -> DataFrame:
         """(series_id, ts, y, features, exog): one row for each time with a full window and all values."""
+        if not hasattr(self, "_exog_scale"):  # not fitted yet
+            self._learn_scales(series, exog)
         out = self._transformed(series).withColumns(X.lag_columns(self.lag_list))
         names = [f"lag_{i}" for i in self.lag_list]
         if self.window_features:
@@ -211,32 +228,50 @@ class RecursiveForecaster:
         self.exog_names = []
         if exog is not None:
             self.exog_names = [c for c in exog.columns if c not in ("series_id", "ts")]
-            out = out.join(exog.withColumns({c: F.col(c).cast("double") for c in self.exog_names}), [c for c in ("series_id", "ts") if c in exog.columns])
+            out = out.join(self._exog_values(exog), [c for c in ("series_id", "ts") if c in exog.columns])
         self.feature_names = names + self.exog_names
         return out.dropna(subset=["y", *self.feature_names]).select("series_id", "ts", "y", *self.feature_names)
 
+    def _exog_values(self, exog: DataFrame) -> DataFrame:
+        """exog with its columns as numbers, scaled if asked."""
+        scale = self._exog_scale if self.scaled_exog else {}
+        number = lambda c: F.col(c).cast("double")
+        return exog.withColumns({c: (number(c) - F.lit(scale[c][0])) / F.lit(scale[c][1]) if c in scale else number(c) for c in self.exog_names})
+
+    def _learn_scales(self, series: DataFrame, exog: DataFrame | None) -> None:
+        """The scale of each series, as a table, and of each exogenous column, two numbers each."""
+        self._scale = X.scale(series, "y", "y", self.scaled)[1].persist() if self.scaled else None
+        self._exog_scale = {}
+        if self.scaled_exog and exog is not None:
+            kind, names = X.scaling(self.scaled_exog), [c for c in exog.columns if c not in ("series_id", "ts")]
+            rows = exog.join(series.select(*(c for c in ("series_id", "ts") if c in exog.columns)).distinct(), [c for c in ("series_id", "ts") if c in exog.columns], "left_semi")
+            found = rows.agg(*(f(F.col(c).cast("double")).alias(f"{k}_{c}") for c in names for k, f in (("a", kind.shift), ("b", kind.spread)))).first()
+            self._exog_scale = {c: (found[f"a_{c}"] or 0.0, found[f"b_{c}"] or 1.0) for c in names}
+
+    def _coded(self, df: DataFrame) -> DataFrame:
+        """df with _level, the place of its series among those of the training, by name; null for others."""
+        return df.join(self._codes, "series_id", "left")
+
     def _encoded(self, matrix: DataFrame) -> tuple[DataFrame, list[str]]:
         if self.per_series or self.encoding is None:
             return matrix, self.feature_names
         if self.encoding == "ordinal":
-            codes = F.element_at(F.create_map(*(x for i, s in enumerate(self.levels) for x in (F.lit(s), F.lit(float(i))))), F.col("series_id"))
-            return matrix.withColumn("_level", codes), [*self.feature_names, "_level"]
+            return self._coded(matrix), [*self.feature_names, "_level"]
+        if len(self.levels) > MOST_COLUMNS:
+            raise ValueError(f"one-hot codes need a column for each of {len(self.levels)} series; use 'ordinal'")
         out = X.onehot_encode(matrix, self.levels)
-        return out, [*self.feature_names, *(f"series_id_{s}" for s in sorted(self.levels))]
-
-    def _level_values(self, level: str) -> list[float]:
-        if self.per_series or self.encoding is None:
-            return []
-        known = level in self.levels
-        if self.encoding == "ordinal":
-            return [float(self.levels.index(level)) if known else float("nan")]
-        return [1.0 if s == level else 0.0 for s in sorted(self.levels)]
+        return out, [*self.feature_names, *(f"series_id_{s}" for s in self.levels)]
 
     # ---- fit
 
     def fit(self, series: DataFrame, exog: DataFrame | None = None, weights: DataFrame | None = None, series_weights: dict[str, float] | None = None, store_residuals: bool = False, seed: int = 123) -> RecursiveForecaster:
         """weights: (ts, weight) or (series_id, ts, weight); a row without one is an error. series_weights multiply them."""
         self._levels, self._trained = None, series.select("series_id").distinct()
+        # a row for each series; one task ranks their names
+        self._codes = self._trained.select("series_id", (F.row_number().over(Window.orderBy("series_id")) - 1).cast("double").alias("_level"))
+        if exog is not None and self.differencing:
+            warnings.warn("exogenous columns explain differences of the series, not the series", V.ExogInterpretationWarning, stacklevel=2)
+        self._learn_scales(series, exog)
         matrix = self.create_train_matrix(series, exog)
         weight = None
         if weights is not None or series_weights:
@@ -255,6 +290,8 @@ class RecursiveForecaster:
             else:
                 row = table.first()
                 self.shared_model = (list(row["coef"]), row["intercept"])
+        elif self.per_series:
+            self.model_table = self._fit_each(encoded, list(names), weight, seed).persist()
         else:
             from pyspark.ml import regression as R
             from pyspark.ml.feature import VectorAssembler
@@ -271,6 +308,17 @@ class RecursiveForecaster:
             self._store_residuals(encoded, seed)
         return self
 
+    def _fit_each(self, encoded: DataFrame, names: list[str], weight: str | None, seed: int) -> DataFrame:
+        """(series_id, model): the estimator fitted on each series' rows, in time order, and pickled. A series' rows are one task."""
+        estimator, params, more = self.estimator, dict(self.estimator_params), dict(self.fit_kwargs)
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("ts")
+            model = E.fitted(estimator, params, seed, pdf[names].to_numpy(float), pdf["y"].to_numpy(float), pdf[weight].to_numpy(float) if weight else None, **more)
+            return pd.DataFrame({"series_id": pdf["series_id"].iloc[:1], "model": [model]})
+
+        return encoded.select("series_id", "ts", "y", *names, *([weight] if weight else [])).groupBy("series_id").applyInPandas(run, "series_id string, model binary")
+
     def _store_residuals(self, encoded: DataFrame, seed: int) -> None:
         """In-sample residuals in the scale that is regressed, with bins of the predictions, for each series."""
         rows = self._predict_rows(encoded).withColumn("residual", F.col("y") - F.col("pred"))
@@ -305,7 +353,7 @@ class RecursiveForecaster:
         """(coefficients, intercept) by series, or one model under None. Gathers the table of models, so for a few series."""
         if self.model_table is None:
             return {None: self.shared_model}
-        return {r["series_id"]: (list(r["coef"]), r["intercept"]) for r in self.model_table.collect()}
+        return {r["series_id"]: (list(r["coef"]), r["intercept"]) if self.estimator == "linear" else pickle.loads(r["model"]) for r in self.model_table.collect()}
 
     def _predict_rows(self, encoded: DataFrame) -> DataFrame:
         names = list(self.all_names)
@@ -319,6 +367,16 @@ class RecursiveForecaster:
             for k, n in enumerate(names):
                 total = total + F.col(n) * F.col("coef")[k]
             return known.withColumn("pred", total).drop("coef", "intercept")
+        if self.model_table is not None:
+            schema = T.StructType([*encoded.schema.fields, T.StructField("pred", T.DoubleType())])
+
+            def run(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+                if not len(model) or not len(rows):  # rows of a series without a model have no prediction
+                    return pd.DataFrame({f.name: [] for f in schema})
+                values = np.ravel(pickle.loads(model["model"].iloc[0]).predict(rows[names].to_numpy(float)))
+                return rows.assign(pred=values.astype(float))
+
+            return encoded.groupBy("series_id").cogroup(self.model_table.groupBy("series_id")).applyInPandas(run, schema)
         trees = self.shared_model
         udf = F.pandas_udf(lambda *c: pd.Series(trees.predict(np.array(c, float))), "double")
         return encoded.withColumn("pred", udf(*(F.col(n).cast("double") for n in names)))
@@ -337,7 +395,7 @@ class RecursiveForecaster:
         back = F.row_number().over(over_series().orderBy(F.col("ts").desc()))
         state = t.withColumn("_b", back).filter(F.col("_b") <= n).groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "y"))), lambda x: x["y"]).alias("state"), F.max("ts").alias("last"))
         if self.differencing:
-            source = X.scale(series, "y", "y")[0] if self.scaled else series
+            source = X.rescale(series, self._scale, "y", "y") if self.scaled else series
             state = state.join(X.difference_tails(source, self.differencing), "series_id")
         else:
             state = state.withColumn("tails", F.array().cast("array<double>"))
@@ -355,7 +413,7 @@ class RecursiveForecaster:
         if missing:
             raise ValueError(f"missing exogenous columns: {sorted(missing)}")
         ahead = future(windows.withColumnRenamed("last", "ts"), steps, self.rule)
-        joined = ahead.join(exog, [c for c in ("series_id", "ts") if c in exog.columns], "left")
+        joined = ahead.join(self._exog_values(exog), [c for c in ("series_id", "ts") if c in exog.columns], "left")
         row = F.array(*(F.col(c).cast("double") for c in self.exog_names))
         blocks = joined.groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", row.alias("x")))), lambda s: s["x"]).alias("exog"))
         return windows.join(blocks, "series_id")
@@ -396,11 +454,10 @@ class RecursiveForecaster:
             known = windows.withColumn("coef", F.array(*(F.lit(float(c)) for c in coef))).withColumn("intercept", F.lit(float(intercept)))
             level = len(lags) + n_exog
             if self.encoding == "ordinal":
-                codes = F.element_at(F.create_map(*(x for i, s in enumerate(self.levels) for x in (F.lit(s), F.lit(float(i))))), F.col("series_id"))
-                known = known.withColumn("intercept", F.col("intercept") + F.col("coef")[level] * codes)
+                known = self._coded(known).withColumn("intercept", F.col("intercept") + F.col("coef")[level] * F.col("_level"))
             elif self.encoding == "onehot":
-                at = F.array_position(F.array(*(F.lit(s) for s in sorted(self.levels))), F.col("series_id"))
-                known = known.withColumn("intercept", F.col("intercept") + F.when(at > 0, F.try_element_at("coef", (at + level).cast("int"))).otherwise(F.lit(0.0)))
+                share = F.try_element_at("coef", (F.col("_level") + level + 1).cast("int"))
+                known = self._coded(known).withColumn("intercept", F.col("intercept") + F.coalesce(share, F.lit(0.0)))
         else:
             known = windows.join(self.model_table, "series_id")
 
@@ -424,9 +481,10 @@ class RecursiveForecaster:
     def _in_lanes(self, windows: DataFrame, steps: int, boot: dict | None) -> DataFrame:
         """All other models: NumPy over a series' lanes, one lane for each bootstrap path. State has a fixed size for each series."""
         lags, wf, shared, linear = self.lag_list, self.window_features, self.shared_model, self.estimator == "linear"
-        encoded = not self.per_series and self.encoding is not None
-        level_values = {s: self._level_values(s) for s in self.levels} if encoded else {}
-        unknown = self._level_values("\0") if encoded else []
+        coded = None if self.per_series else self.encoding
+        n_levels = len(self.levels) if coded == "onehot" else 0
+        if coded:
+            windows = self._coded(windows)
         if self.model_table is not None:
             windows = windows.join(self.model_table, "series_id")
         drawn, edges = boot is not None, boot is not None and boot["edges"] is not None
@@ -436,9 +494,11 @@ class RecursiveForecaster:
 
         def one(row) -> np.ndarray:
             key = row["series_id"]
-            model = shared if shared is not None else (row["coef"], row["intercept"])
+            model = shared if shared is not None else (row["coef"], row["intercept"]) if linear else pickle.loads(row["model"])
+            own = shared is None and not linear
             state = np.repeat(np.asarray(row["state"], float)[-reach:, None], n, axis=1)
-            fixed = [np.full(n, v) for v in level_values.get(key, unknown)]
+            place = row["_level"] if coded and row["_level"] is not None else np.nan
+            fixed = [np.full(n, v) for v in ([place] if coded == "ordinal" else [float(place == i) for i in range(n_levels)])]
             r = np.random.default_rng([seed, *key.encode()])
             pools = {int(k): np.asarray(v, float) for k, v in zip(row["bins"], row["pools"], strict=True)} if drawn else {}
             whole = np.concatenate(list(pools.values())) if pools else None
@@ -447,7 +507,7 @@ class RecursiveForecaster:
             for t in range(steps):
                 x = [state[-i] for i in lags] + (wf.kernel(state) if wf else []) + ([np.full(n, v if v is not None else np.nan) for v in row["exog"][t]] if len(row["exog"]) else []) + fixed
                 x = np.array(x)
-                y = model[1] + np.asarray(model[0]) @ x if linear else model.predict(x)
+                y = model[1] + np.asarray(model[0]) @ x if linear else np.ravel(model.predict(x.T)).astype(float) if own else model.predict(x)
                 if drawn:
                     u = r.random(n)
                     if edges:
@@ -479,6 +539,8 @@ class RecursiveForecaster:
 
     def create_predict_matrix(self, steps: int, exog: DataFrame | None = None) -> DataFrame:
         """(series_id, ts, step, features): what each step of a forecast is computed from, in the scale that is regressed."""
+        if self.scaled or self.differencing:
+            warnings.warn("the features are in the scale that is regressed", V.TransformedSpaceWarning, stacklevel=2)
         path = self._paths(steps, exog, None, None)
         past = self.windows.select("series_id", "last", F.posexplode("state").alias("_i", "y"), F.size("state").alias("_n"))
         past = self._timed(past, F.col("_i") - F.col("_n") + 1).select("series_id", "ts", "step", "y")
@@ -487,7 +549,7 @@ class RecursiveForecaster:
             rows = self.window_features.transform(rows)
         rows = rows.filter("step > 0")
         if self.exog_names:
-            rows = rows.join(exog.withColumns({c: F.col(c).cast("double") for c in self.exog_names}), [c for c in ("series_id", "ts") if c in exog.columns])
+            rows = rows.join(self._exog_values(exog), [c for c in ("series_id", "ts") if c in exog.columns])
         return rows.select("series_id", "ts", "step", *self.feature_names)
 
     # ---- distributions
@@ -507,13 +569,18 @@ class RecursiveForecaster:
     def predict_quantiles(self, steps: int, quantiles: Sequence[float] = (0.05, 0.5, 0.95), **how) -> DataFrame:
         if any(not 0 <= q <= 1 for q in quantiles):
             raise ValueError("quantiles must lie in [0, 1]")
-        paths = self.predict_bootstrapping(steps, **how)
-        q = F.percentile("pred", F.array(*(F.lit(float(x)) for x in quantiles)))
-        return paths.groupBy("series_id", "ts", "step").agg(q.alias("_q")).select("series_id", "ts", "step", *(F.col("_q")[i].alias(f"q_{x}") for i, x in enumerate(quantiles)))
-
-    def predict_dist(self, steps: int, **how) -> DataFrame:
-        """loc and scale of a normal distribution at each step."""
-        return self.predict_bootstrapping(steps, **how).groupBy("series_id", "ts", "step").agg(F.avg("pred").alias("loc"), F.stddev_pop("pred").alias("scale"))
+        return path_quantiles(self.predict_bootstrapping(steps, **how), quantiles, ["series_id", "ts", "step"])
+
+    def predict_dist(self, steps: int, distribution: str | dict[str, Callable[[Column], Column]] = "norm", **how) -> DataFrame:
+        """The parameters of a distribution at each step, fitted to the bootstrap paths: a name of DISTRIBUTIONS, or aggregates by
+        parameter."""
+        if isinstance(distribution, str) and distribution not in DISTRIBUTIONS:
+            raise ValueError(f"distribution must be one of {sorted(DISTRIBUTIONS)} or aggregates by parameter")
+        parts = DISTRIBUTIONS[distribution] if isinstance(distribution, str) else distribution
+        paths, keys = self.predict_bootstrapping(steps, **how), ["series_id", "ts", "step"]
+        middle = paths.groupBy(*keys).agg(F.percentile("pred", F.lit(0.5)).alias("_median"))
+        paths = paths.join(middle, keys) if distribution == "laplace" else paths
+        return paths.groupBy(*keys).agg(*(f(F.col("pred")).alias(name) for name, f in parts.items()))
 
     def predict_interval(self, steps: int, interval=(5, 95), method: str = "conformal", exog: DataFrame | None = None, in_sample: bool = True, binned: bool = True, n_boot: int = 250, seed: int = 123, levels=None) -> DataFrame:
         """(series_id, ts, step, pred, lower_bound, upper_bound)."""
@@ -538,7 +605,9 @@ class RecursiveForecaster:
         self._check()
         rows = []
         for k, m in self.models.items():
-            values = m.importances if isinstance(m, Trees) else m[0]
+            values = m.importances if isinstance(m, Trees) else m[0] if isinstance(m, tuple) else E.importances(m)
+            if values is None:
+                raise ValueError("the estimator has neither feature_importances_ nor coef_")
             rows += [(k, n, float(v)) for n, v in zip(self.all_names, values, strict=True)]
         out = pd.DataFrame(rows, columns=["series_id", "feature", "importance"])
         return out.sort_values("importance", ascending=False, ignore_index=True) if sort else out
@@ -552,14 +621,20 @@ class RecursiveForecaster:
         wf = self.window_features
         if wf and wf.custom:
             raise ValueError("custom window statistics cannot be saved")
+        if not isinstance(self.estimator, str) or any(isinstance(x, X.Affine) for x in (self.scaled, self.scaled_exog)):
+            raise ValueError("estimator objects and scalings of one's own cannot be saved")
+        if self.out_residuals is not None:
+            warnings.warn("out-of-sample residuals are not saved", V.SavedModelWarning, stacklevel=2)
         meta = {
+            "version": tidewright.__version__,
             "params": {k: getattr(self, k) for k in self.__dataclass_fields__ if k not in ("window_features", "lags")} | {"lags": self.lag_list},
             "window_features": wf and {"stats": list(wf.stats), "window_sizes": list(wf.window_sizes), "closed": wf.closed},
             "model": vars(self.shared_model) if isinstance(self.shared_model, Trees) else self.shared_model,
-            "levels": self.levels, "feature_names": self.feature_names, "all_names": list(self.all_names), "exog_names": self.exog_names, "residuals": self.residuals is not None,
+            "exog_scale": self._exog_scale, "feature_names": self.feature_names, "all_names": list(self.all_names), "exog_names": self.exog_names, "residuals": self.residuals is not None,
         }
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
         self.windows.write.mode("overwrite").parquet(f"{path}/windows")
+        self._codes.write.mode("overwrite").parquet(f"{path}/levels")
         if self.model_table is not None:
             self.model_table.write.mode("overwrite").parquet(f"{path}/models")
         if self.residuals is not None:
@@ -569,12 +644,15 @@ class RecursiveForecaster:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> RecursiveForecaster:
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+        if meta.get("version") != tidewright.__version__:
+            warnings.warn(f"the model was saved by version {meta.get('version')}, this is {tidewright.__version__}", V.VersionWarning, stacklevel=2)
         wf = meta["window_features"]
         out = cls(**meta["params"], window_features=X.RollingFeatures(**wf) if wf else None)
         m = meta["model"]
         out.shared_model = Trees(**m) if isinstance(m, dict) else tuple(m) if m else None
         out.model_table = None if m else spark.read.parquet(f"{path}/models")
-        out._levels = meta["levels"]
+        out._levels, out._codes, out._exog_scale = None, spark.read.parquet(f"{path}/levels"), {k: tuple(v) for k, v in meta["exog_scale"].items()}
+        out._trained, out._scale = out._codes.select("series_id"), None
         for k in ("feature_names", "all_names", "exog_names"):
             setattr(out, k, meta[k])
         out.windows = spark.read.parquet(f"{path}/windows")
@@ -597,6 +675,12 @@ def _with_weights(matrix: DataFrame, weights: DataFrame) -> DataFrame:
     return out.withColumn("weight", F.when(total == 0, 1.0).otherwise(F.col("weight")))
 
 
+def path_quantiles(paths: DataFrame, quantiles: Sequence[float], keys: Sequence[str], value: str = "pred") -> DataFrame:
+    """keys and q_{quantile} over the paths of each, with linear interpolation."""
+    q = F.percentile(value, F.array(*(F.lit(float(x)) for x in quantiles)))
+    return paths.groupBy(*keys).agg(q.alias("_q")).select(*keys, *(F.col("_q")[i].alias(f"q_{x}") for i, x in enumerate(quantiles)))
+
+
 def predict_multivariate(forecasters: dict, steps: int, exog: DataFrame | None = None) -> DataFrame | None:
     """(ts, one column for each name): independent forecasts side by side; None for no forecaster."""
     out = None

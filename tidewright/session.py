@@ -7,6 +7,7 @@ rules use an explicit pos BIGINT.
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -29,6 +30,23 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(app)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder the cluster shares (spark.checkpoint.dir), or on one machine, where that is unset, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tidewright-")
+    return f"{base.rstrip('/')}/tidewright/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: it takes no executor's memory, and a lost executor loses none of it."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """All time arithmetic is in UTC."""
     ship(spark)
