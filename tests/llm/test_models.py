@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewright.llm import language_id as L
 from tidewright.llm import toxicity as X
@@ -260,5 +261,31 @@ def test_models_tell_urls_apart(spark):
     held = [f"https://news{i}.other.org/article/{i}" for i in range(50)] + [f"http://win-cash-{i}.other.org/es/{i}?promo" for i in range(50)]
     got = {x.page_id: x.verdict for x in U.judge_urls(pages(spark, list(enumerate(held))), RULES, model).collect()}
     assert np.mean([got[i] == ("allow" if i < 50 else "block") for i in range(100)]) > 0.95
-    assert U.calibrate(np.array([1.0, 2.0, 5.0, 6.0]), np.array([False, False, True, True])) == pytest.approx(3.5)
-    assert U.calibrate(np.zeros(0), np.zeros(0, bool)) == 0
+    edges = np.arange(8.0)
+    assert U.calibrate(edges, np.array([0, 1, 1, 0, 0, 0, 0]), np.array([0, 0, 0, 0, 0, 1, 1])) == pytest.approx(4)
+    assert U.calibrate(edges, np.zeros(7), np.ones(7)) == 0
+
+
+def test_models_count_all_urls(spark):
+    """Counts gathered in tasks are those of all distinct URLs that rules decide, but for the held-back ones."""
+    urls = [f"http://a{i % 40}.com/{i % 90}/x" for i in range(400)] + [f"http://b{i % 30}.net/es/{i}" for i in range(300)]
+    df = pages(spark, list(enumerate(urls))).repartition(5)
+    judge = U.fit(df, RULES)
+    held = {r.u for r in df.selectExpr("url AS u", "pmod(xxhash64('held back', url), 5) = 0 AS held").filter("held").collect()}
+    for model, end in ((judge.accepted, ".com/"), (judge.rejected, ".net/es/")):
+        want = U.Markov(5).train(sorted(u.encode() for u in set(urls) - held if end in u))
+        for got, exact in zip(model.pairs + model.contexts, want.pairs + want.contexts, strict=True):
+            for x, y in zip(got, exact, strict=True):
+                np.testing.assert_array_equal(x, y)
+    small = U.fit(df, RULES, entries=50)
+    assert all(sum(len(k) for k, _ in m.pairs[1:]) <= 50 for m in (small.accepted, small.rejected))
+    assert small.accepted.pairs[0][1].sum() == judge.accepted.pairs[0][1].sum()
+
+
+def test_odd_urls(spark, clashing):
+    rows = [(1, "http://x.org/a"), (1, "http://x.org/a"), (None, "http://x.org/a"), (2, "http://x.org/" + "a" * 300_000), (3, "http://y.com/" + "b" * 50_000), (4, "http://y.net/es/"), (5, "://")]
+    df = pages(spark, rows).select("*", *(c.alias(n) for n, c in ({"host": F.lit("h"), "path": F.lit("p"), "rule": F.lit("r"), "verdict": F.lit("v"), "_url": F.lit("u"), "ratio": F.lit("x")} | {n: c for n, c in clashing.items() if n not in ("_metadata",)}).items()))
+    got = U.judge_urls(df, RULES, U.fit(df, RULES)).collect()
+    assert len(got) == len(rows) and {r.verdict for r in got} <= {"allow", "block"}
+    assert len({(r.host, r.path, r.rule, r.verdict, r.ratio) for r in got if r.path == "/a"}) == 1
+    assert U.judge_urls(df, RULES, U.fit(df.filter("false"), RULES)).count() == len(rows)
