@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 from tidewright.llm import _common as C
 
 WIDTH, FILLER = 576, 255
-#: Bytes after which a task starts another shard.
-SHARD_BYTES = 1 << 30
+#: Bytes after which a task starts another shard, and payloads whose places it remembers; a payload that it forgot is stored again.
+SHARD_BYTES, MOST_SEEN = 1 << 30, 1_000_000
 #: The PNG signature, and the bytes of signature and first chunk.
 SIGNATURE, HEADER = b"\x89PNG\r\n\x1a\n", 33
 
@@ -97,6 +97,8 @@ def store(docs: DataFrame, folder: str, *, key: str = "doc_id", text: str = "tex
                 payload = payload_of(buf[offsets[i] : offsets[i + 1]].tobytes())
                 digest = hashlib.sha256(payload).digest()
                 if digest not in seen:
+                    if len(seen) >= MOST_SEEN:
+                        seen.clear()
                     if out is not None and at > SHARD_BYTES:
                         out.write(bytes(1024))
                         out.close()
