@@ -49,6 +49,20 @@ def test_entry(spark):
     assert set(catalogue.QUERIES) <= set(__spark_entry__.queries())
 
 
+def test_works_when_the_optional_folders_are_gone(tmp_path):
+    """A copy of the repository without the training-data operators, their tests and the pipeline imports and answers."""
+    import shutil
+    import subprocess
+    import sys
+
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "repo"
+    shutil.copytree(top, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py"))
+    assert not (copy / "tidewright/llm").exists() and not (copy / "tests/llm").exists()
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'seasonal_naive_24h' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q); import tidewright, bench, tidewright.tasks"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=copy)
+
+
 def test_imports_without_the_optional_parts():
     import subprocess
     import sys
