@@ -77,7 +77,7 @@ def test_snapshots_screen(spark):
 def test_row_filters(documents):
     docs = C.with_row(documents([(i, f"t {i}") for i in range(3000)]))
     some = docs.filter("doc_id % 100 = 3").select("_row")
-    passed = {r[0] for r in docs.filter(C.row_filter(some, "_row", 30)(F.col("_row"))).select("doc_id").collect()}
+    passed = {r[0] for r in docs.filter(C.passes(some, "_row", 30, "_row")).select("doc_id").collect()}
     assert {i for i in range(3000) if i % 100 == 3} <= passed and len(passed) < 60
     left = C.without_rows(docs, some, "_row", 30)
     assert left.columns == docs.columns

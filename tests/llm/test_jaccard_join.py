@@ -133,6 +133,18 @@ def test_words_that_repeat_a_pattern():
         assert one and not one & two
 
 
+def test_words_differ_in_any_byte():
+    r = random.Random(2)
+    words_ = {bytes(r.choice(b"abc") for _ in range(r.choice([1, 7, 8, 9, 15, 16, 17, 40, 255, 256, 257, 300]))) for _ in range(3000)} | {b"a" * n for n in range(1, 600)}
+    words_ = sorted(words_)
+    data = b"\t".join(w.upper() if i % 2 else w for i, w in enumerate(words_))
+    buf = np.frombuffer(data, np.uint8)
+    h = J._word_hashes(buf, buf != 9, np.array([len(w) for w in words_]))
+    assert len(set(h.tolist())) == len(words_)
+    again = J._word_hashes(np.frombuffer(b"".join(reversed(words_)), np.uint8), np.ones(sum(map(len, words_)), bool), np.array([len(w) for w in reversed(words_)]))
+    np.testing.assert_array_equal(again[::-1], h)
+
+
 def test_sketch_counts_whatever_comes():
     r = np.random.default_rng(1)
     sketch, total = J.Sketch(16), np.zeros(1 << 16, np.int64)

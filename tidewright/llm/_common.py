@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import sys
 import tempfile
@@ -27,12 +28,29 @@ BATCH_ROWS = 2000
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """mapInArrow with this package at hand on the executors, in batches that suit whole documents."""
+    """mapInArrow with this package at hand on the executors, in batches that suit whole documents. Workers are used again, so each task
+    gives back the memory that it no longer needs."""
     spark = df.sparkSession
     ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def give_back() -> None:
+    """Returns freed memory of this process to the system, as far as its C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -110,9 +128,10 @@ FILTER_BITS_A_ROW, MOST_FILTER_BITS = 12, 1 << 28
 
 
 def row_filter(rows: DataFrame, row: str, count: int):
-    """A function of a row column: whether the row may be among `rows`, never false for one of them (a Bloom filter of four bits a row).
+    """Whether a row may be among `rows`, never false for one of them: (hashes, maybe), a Bloom filter of four bits a row.
 
-    It spares texts that no join wants the shuffle. Its size is bounded, so it is sent to all executors; what passes is joined exactly.
+    hashes(column) gives two columns, and maybe(a, b) tells from their NumPy arrays. It spares texts that no join wants the shuffle. Its
+    size is bounded, so it is sent to all executors; what passes is joined exactly.
     """
     bits = min(MOST_FILTER_BITS, 1 << max(16, int(FILTER_BITS_A_ROW * max(count, 1) - 1).bit_length()))
     hashes = lambda column: [F.xxhash64(F.lit(seed), column) for seed in (11, 12)]
@@ -126,17 +145,22 @@ def row_filter(rows: DataFrame, row: str, count: int):
     ship(spark)
     shared = spark.sparkContext.broadcast(data.view(np.uint64))
 
-    def maybe(a: pd.Series, b: pd.Series) -> pd.Series:
+    def maybe(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         words, out = shared.value, np.ones(len(a), bool)
-        for h in (a, b):
-            h = h.to_numpy(np.int64).view(np.uint64)
+        for h in (a.view(np.uint64), b.view(np.uint64)):
             for x in (h, h >> np.uint64(32)):
                 x = x & np.uint64(bits - 1)
                 out &= (words[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1) == 1
-        return pd.Series(out)
+        return out
+
+    return hashes, maybe
+
 
-    test = F.pandas_udf(maybe, "boolean")
-    return lambda column: test(*hashes(column))
+def passes(rows: DataFrame, row: str, count: int, column: str) -> Column:
+    """row_filter() as a condition on a column."""
+    hashes, maybe = row_filter(rows, row, count)
+    test = F.pandas_udf(lambda a, b: pd.Series(maybe(a.to_numpy(np.int64), b.to_numpy(np.int64))), "boolean")
+    return test(*hashes(column))
 
 
 def without_rows(docs: DataFrame, gone: DataFrame, row: str, count: int) -> DataFrame:
@@ -144,7 +168,7 @@ def without_rows(docs: DataFrame, gone: DataFrame, row: str, count: int) -> Data
     if not count:
         return docs
     flag = fresh(docs, "_maybe")
-    marked = docs.withColumn(flag, row_filter(gone, row, count)(F.col(row)))
+    marked = docs.withColumn(flag, passes(gone, row, count, row))
     unsure = marked.filter(F.col(flag)).join(gone.select(row), row, "left_anti")
     return marked.filter(~F.col(flag)).unionByName(unsure.select(*marked.columns)).drop(flag)
 

@@ -201,7 +201,7 @@ def dedup(docs: DataFrame, in_snapshot: Column | None = None, *, key: str = "doc
     several = groups.filter("size > 1").select("digest", F.col("best.rid").alias("best_rid"))
     members = C.as_table(rows.join(several, "digest").select("rid"), "members", n=F.count(F.lit(1)))
     hashed = texts.withColumn("digest", F.unhex(digest(F.col("norm"))))
-    wanted = texts.filter(C.row_filter(members, "rid", members.measured["n"])(F.col("rid"))).withColumn("digest", F.unhex(digest(F.col("norm"))))
+    wanted = texts.filter(C.passes(members, "rid", members.measured["n"], "rid")).withColumn("digest", F.unhex(digest(F.col("norm"))))
     moved = C.as_table(wanted.join(several, "digest").select("digest", "norm", (F.col("rid") == F.col("best_rid")).alias("is_best")), "texts")
     leaders = moved.filter("is_best").select("digest", F.col("norm").alias("leader"))  # one row of each digest
     # written before they are made distinct, so that Spark can split the join of a very large group

@@ -1,7 +1,7 @@
 """N-gram Jaccard join by a token-group matrix: bound a query against a group's token union, open only groups that qualify.
 
-A document's set is its distinct 5-word shingles, with fewer words the whole sequence as one. Words are hashed by XXH3, shingles by
-mixing the words' hashes one after the other, to 64 bits each: for two sets of 100,000 shingles the chance that one shingle passes
+A document's set is its distinct 5-word shingles, with fewer words the whole sequence as one. Words are hashed by mixing their bytes
+eight at a time, very long ones by XXH3, and shingles by mixing the words' hashes one after the other, to 64 bits each: for two sets of 100,000 shingles the chance that one shingle passes
 for another is about 1 in 10^9.
 
 1. Equal sets become one node, by a 128-bit sum over the set.
@@ -58,17 +58,30 @@ _LOWER = C.ascii_lower_table()
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LANE = np.uint64(0xE7037ED1A0B428DB)
+#: Masks of the first 0 to 8 bytes, and the bytes of a word beyond which it is hashed as a whole.
+_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+LONG_WORD = 256
 
 
 def _word_hashes(buf: np.ndarray, ink: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A hash of each word in lower case; each distinct word is hashed once."""
-    import xxhash
-
-    letters = _LOWER[buf[ink]]
-    at = np.concatenate([[0], np.cumsum(lengths)])
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(at), pa.py_buffer(letters)]).dictionary_encode()
-    kinds = np.fromiter(map(xxhash.xxh3_64_intdigest, words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
-    return kinds[words.indices.to_numpy()]
+    """A hash of each word in lower case: eight bytes at a time are mixed in; very long words are hashed by XXH3."""
+    letters = np.zeros(int(lengths.sum()) + 8, np.uint8)
+    letters[:-8] = _LOWER[buf[ink]]
+    at = np.cumsum(lengths) - lengths
+    lanes = np.ndarray(len(letters) - 7, "<u8", letters, strides=(1,))  # the eight bytes from each place on
+    h = C.mix64((lanes[at] & _BYTES[np.minimum(lengths, 8)]) ^ (lengths.astype(np.uint64) * _LANE))
+    done, left = 8, np.flatnonzero(lengths > 8)
+    while len(left) and done < LONG_WORD:
+        n = lengths[left] - done
+        h[left] = C.mix64((h[left] * _K) ^ (lanes[at[left] + done] & _BYTES[np.minimum(n, 8)]))
+        done += 8
+        left = left[n > 8]
+    if len(left):
+        import xxhash
+
+        for i in left.tolist():
+            h[i] ^= np.uint64(xxhash.xxh3_64_intdigest(letters[at[i] : at[i] + lengths[i]]))
+    return h
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -518,18 +531,18 @@ def least_shared(a0: Column, a1: Column, b0: Column, b1: Column, percent: int) -
 def _with_sets(docs: DataFrame, text: str, nodes: DataFrame, roles: DataFrame) -> DataFrame:
     """roles (node, ...) with toks, the node's set, from the text of the document that stands for it."""
     placed = C.as_table(roles.join(nodes.select("node", F.col("best.row").alias("_row")), "node"), "roles", n=F.count(F.lit(1)))
-    keep = [c for c in placed.columns if c != "_row"]
-    wanted = docs.select("_row", text).filter(C.row_filter(placed, "_row", placed.measured["n"])(F.col("_row")))
-    source = wanted.join(placed, "_row").select(*keep, text)
-    schema = T.StructType([*(source.schema[c] for c in keep), T.StructField("toks", T.ArrayType(T.LongType()))])
+    hashes, maybe = C.row_filter(placed, "_row", placed.measured["n"])
+    source = docs.select("_row", text, *(h.alias(f"_h{i}") for i, h in enumerate(hashes("_row"))))
+    schema = T.StructType([source.schema["_row"], T.StructField("toks", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for b in batches:
+            b = b.filter(pa.array(maybe(*(b.column(f"_h{i}").to_numpy() for i in range(2)))))
             for i, j, tokens, bounds in _read(b, text):
                 sets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(tokens.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in keep), sets], names=schema.names)
+                yield pa.RecordBatch.from_arrays([b.column("_row").slice(i, j - i), sets], names=schema.names)
 
-    return C.map_arrow(source, run, schema)
+    return C.map_arrow(source, run, schema).join(placed, "_row").drop("_row")
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
