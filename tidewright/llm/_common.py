@@ -8,6 +8,7 @@ import sys
 import tempfile
 import types
 import uuid
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -135,22 +136,40 @@ def row_filter(rows: DataFrame, row: str, count: int):
     """
     bits = min(MOST_FILTER_BITS, 1 << max(16, int(FILTER_BITS_A_ROW * max(count, 1) - 1).bit_length()))
     hashes = lambda column: [F.xxhash64(F.lit(seed), column) for seed in (11, 12)]
-    places = F.array(*(x.bitwiseAND(F.lit(bits - 1)) for h in hashes(F.col(row)) for x in (h, F.shiftrightunsigned(h, 32))))
-    at = rows.select(F.explode(places).alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("set"))
-    found = words.toPandas()
-    data = np.zeros(bits // 64, np.int64)
-    data[found["word"].to_numpy(np.int64)] = found["set"].to_numpy(np.int64)
-    spark = rows.sparkSession
-    ship(spark)
-    shared = spark.sparkContext.broadcast(data.view(np.uint64))
+    block = min(bits, 1 << 19)  # bits of a piece
 
-    def maybe(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        words, out = shared.value, np.ones(len(a), bool)
+    def places(a: np.ndarray, b: np.ndarray):
         for h in (a.view(np.uint64), b.view(np.uint64)):
             for x in (h, h >> np.uint64(32)):
-                x = x & np.uint64(bits - 1)
-                out &= (words[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1) == 1
+                yield x & np.uint64(bits - 1)
+
+    def gather(batches):
+        """The pieces of a task's rows that have a bit set, once for each task."""
+        words = np.zeros(bits >> 6, np.uint64)
+        for batch in batches:
+            for x in places(*(batch.column(i).to_numpy() for i in range(2))):
+                np.bitwise_or.at(words, (x >> np.uint64(6)).astype(np.int64), np.uint64(1) << (x & np.uint64(63)))
+        for i, piece in enumerate(words.reshape(-1, block >> 6)):
+            if piece.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(piece.tobytes(), 1)], pa.binary())], names=["piece", "bits"])
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(block >> 6, np.uint64)
+        for x in pdf["bits"]:
+            total |= np.frombuffer(zlib.decompress(x), np.uint64)
+        return pd.DataFrame({"piece": pdf["piece"].iloc[:1], "bits": [zlib.compress(total.tobytes(), 1)]})
+
+    spark, schema = rows.sparkSession, "piece int, bits binary"
+    parts = map_arrow(rows.select(*(h.alias(f"_h{i}") for i, h in enumerate(hashes(F.col(row))))), gather, schema)
+    data = np.zeros((bits // block, block >> 6), np.uint64)
+    for i, x in parts.groupBy("piece").applyInPandas(merge, schema).collect():  # 512 pieces of 64 KB at most
+        data[i] = np.frombuffer(zlib.decompress(x), np.uint64)
+    shared = spark.sparkContext.broadcast(data.ravel())
+
+    def maybe(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        words, out = shared.value, np.ones(len(a), bool)
+        for x in places(a, b):
+            out &= (words[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1) == 1
         return out
 
     return hashes, maybe
