@@ -102,3 +102,23 @@ def test_outliers_with_their_original_values(series):
     s = series([1.0, 1.1, 0.9, 1.0, 50.0] * 4)
     found = curate.get_outliers(s, 0.2, original=s.withColumn("y", F.col("y") * 2)).select("y").distinct().collect()
     assert [r.y for r in found] == [100.0]
+
+
+def test_thresholds_come_from_all_values(series, monkeypatch):
+    """The flagged values are those whose scores pass the quantile of all scores, however few the trees have seen, in any number of parts."""
+    r = np.random.default_rng(5)
+    y = np.concatenate([r.normal(size=3000), r.normal(size=30) * 30]).round(3)
+    s = series(y.tolist())
+    monkeypatch.setattr(curate, "PART_ROWS", 500)
+    got = curate.flag_outliers(s, 0.02, sample=400).toPandas()
+    assert got.is_outlier.mean() == pytest.approx(0.02, abs=0.004)
+    assert got[np.abs(got.y) > 20].is_outlier.mean() > 0.9
+    whole = curate.flag_outliers(s, 0.02).toPandas()
+    x = np.sort(y)
+    f = curate.IsolationForest().fit(x)
+    want = f.score(y) > np.quantile(f.score(y), 0.98)
+    by_time = whole.sort_values("ts").is_outlier.to_numpy()
+    assert (by_time == want).all()
+    values, counts = r.random(50), r.integers(0, 5, 50)
+    for q in (0, 0.3, 0.77, 1):
+        assert curate.weighted_quantile(values, counts, q) == pytest.approx(np.quantile(np.repeat(values, counts), q))

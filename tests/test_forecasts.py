@@ -437,3 +437,19 @@ def test_folds_of_ragged_series(series, spark):
         assert mine and min(r.pos for r in mine) >= 60
     with pytest.raises(ValueError):
         B.backtest(SeasonalNaive(1), s.filter("false"), TimeSeriesFold(1, 1))
+
+
+def test_unknown_series_take_pooled_residuals(series):
+    """A series that a global model has not seen gets intervals and paths from the residuals of all series."""
+    s = series(wave(150), b=wave(150, 3))
+    f = RecursiveForecaster(lags=[1, 24], per_series=False, encoding="onehot").fit(s, store_residuals=True)
+    new = s.filter("series_id = 'b'").withColumn("series_id", F.lit("new"))
+    rows = f.predict_interval(3, 0.8, last_window=s.unionByName(new)).collect()
+    assert len(rows) == 9 and all(r.lower_bound < r.pred < r.upper_bound for r in rows)
+    known = {(r.series_id, r.step): r.upper_bound - r.lower_bound for r in rows}
+    alone = {(r.series_id, r.step): r.upper_bound - r.lower_bound for r in f.predict_interval(3, 0.8).collect()}
+    assert all(known[k] == pytest.approx(v) for k, v in alone.items())
+    width = np.quantile(np.abs([r.residual for r in f.residuals.collect()]), 0.8)
+    assert known["new", 1] == pytest.approx(2 * width, rel=0.02)
+    for binned in (True, False):
+        assert f.predict_bootstrapping(2, n_boot=5, last_window=s.unionByName(new), binned=binned).filter("pred IS NOT NULL").count() == 30

@@ -142,3 +142,36 @@ def test_workflow(spark, series, tmp_path):
     again = pipelines.model_prediction(f"file://{tmp_path}", "m", lambda f, n: pipelines.ModelWorkflow("m", s, "2024-01-18", n, forecaster=f), spark)
     assert again["future_pred"].count() == 24
     assert pipelines.model_prediction(f"file://{tmp_path}", "x", None, spark) is None
+
+
+def answer(kind, resolution, values, start="2024-01-01T22:00Z", end="2024-01-02T01:00Z"):
+    inner = "".join(f"<Point><position>{i}</position><quantity>{v}</quantity></Point>" for i, v in values.items())
+    return f'<?xml version="1.0"?><GL_MarketDocument xmlns="urn:x:{kind}"><TimeSeries><Period><timeInterval><start>{start}</start><end>{end}</end></timeInterval><resolution>{resolution}</resolution>{inner}</Period></TimeSeries></GL_MarketDocument>'
+
+
+def test_energy_answers(tmp_path):
+    from tidewright.sources import energy as E
+
+    quarter = E.points(answer("a", "PT15M", {1: 10, 2: 20, 4: 40, 9: 5}))
+    assert len(quarter) == 12 and [quarter[k] for k in sorted(quarter)] == [10, 20, 20, 40, 40, 40, 40, 40, 5, 5, 5, 5]
+    asked = []
+
+    def fetch(url, params):
+        asked.append((url, params))
+        return answer("a", "PT60M", {1: 1, 2: 2, 3: 3}) if params["processType"] == "A01" else answer("b", "PT30M", {1: 10, 2: 30, 3: 50, 4: 50}, end="2024-01-02T00:00Z")
+
+    text = E.load_query("secret", "FR", fetch)("2024-01-01T22:00", "2024-01-02T01:00")
+    assert text.splitlines() == ["Time (UTC),Forecasted Load,Actual Load", "2024-01-01 22:00:00,1.0,20.0", "2024-01-01 23:00:00,2.0,50.0", "2024-01-02 00:00:00,3.0,-"]
+    assert asked[0][1]["periodStart"] == "202401012200" and asked[0][1]["outBiddingZone_Domain"] == E.ZONES["FR"]
+    kept = S.download(E.load_query("secret", "FR", fetch), tmp_path, "2024-01-01T21:00:00", force=True, now=1_704_157_200)
+    assert kept.read_text() == text
+    nothing = "<Acknowledgement_MarketDocument><Reason><code>999</code><text>No matching data found</text></Reason></Acknowledgement_MarketDocument>"
+    with pytest.raises(E.NoData, match="No matching"):
+        E.load_query("secret", "FR", lambda *_: nothing)("2024-01-01", "2024-01-02")
+    for bad in (("", "FR"), ("secret", "XX")):
+        with pytest.raises(ValueError):
+            E.load_query(*bad)
+    with pytest.raises(ValueError):
+        E.load_query("secret", "FR", fetch)("2024-01-02", "2024-01-01")
+    with pytest.raises(ValueError):
+        E._minutes("P1D")

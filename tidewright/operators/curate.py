@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.operators.grid import fill
-from tidewright.session import over_series, with_pos
+from tidewright.session import over_series, stored, with_pos
 
 # ---- outliers ---------------------------------------------------------------------------------------------------------
 
@@ -79,11 +79,25 @@ class IsolationForest:
         return 2 ** -(total / len(self.steps) / self.norm)
 
 
+#: Values of a series that a task counts at once.
+PART_ROWS = 100_000
+
+
+def weighted_quantile(values: np.ndarray, counts: np.ndarray, q: float) -> float:
+    """np.quantile of values that come so many times each."""
+    order = np.argsort(values)
+    v, ends = values[order], np.cumsum(counts[order])
+    at = q * (ends[-1] - 1)
+    low, high = (v[np.searchsorted(ends, k, "right")] for k in (np.floor(at), np.ceil(at)))
+    return float(low + (high - low) * (at - np.floor(at)))
+
+
 def flag_outliers(series: DataFrame, contamination: float = 0.1, seed: int = 1234, sample: int = 20_000) -> DataFrame:
     """series with is_outlier: the share `contamination` of each series' known values that an isolation forest finds rarest.
 
-    The forest and its threshold come from at most `sample` values of a series, by hash; every value is scored, by a step
-    function that is broadcast, so no series is gathered.
+    Trees are grown on samples, from at most `sample` values of a series, by hash. In one dimension their score is a step function, so
+    the threshold comes from counts of all values between its cuts, part by part, and every value is flagged by the few places where
+    scores pass it; no series is gathered.
     """
     if not 0 < contamination <= 0.5:
         raise ValueError("contamination must lie in (0, 0.5]")
@@ -92,17 +106,34 @@ def flag_outliers(series: DataFrame, contamination: float = 0.1, seed: int = 123
     some = known.join(n, "series_id").filter(F.pmod(F.xxhash64(F.lit(seed), "ts", "y"), F.lit(1_000_003)) < F.lit(1_000_003.0) * sample / F.col("_n"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(pdf["y"].to_numpy(float))
-        f = IsolationForest(seed=seed).fit(x)
-        # the score is constant between the trees' cuts: one step function says it all
+        f = IsolationForest(seed=seed).fit(np.sort(pdf["y"].to_numpy(float)))
         edges = np.unique(np.concatenate([lo for lo, _ in f.steps]))
-        scores = f.score(edges)
-        limit = np.quantile(f.score(x), 1 - contamination)
-        return pd.DataFrame({"series_id": pdf["series_id"].iloc[:1], "edges": [np.maximum(edges, -1.7e308).tolist()], "rare": [(scores > limit).tolist()]})
-
-    steps = some.select("series_id", "y").groupBy("series_id").applyInPandas(fit, "series_id string, edges array<double>, rare array<boolean>")
-
-    joined = series.join(steps, "series_id", "left")
+        return pd.DataFrame({"series_id": pdf["series_id"].iloc[:1], "edges": [edges.tolist()], "scores": [f.score(edges).tolist()]})
+
+    steps = stored(some.select("series_id", "y").groupBy("series_id").applyInPandas(fit, "series_id string, edges array<double>, scores array<double>"), "steps")
+    parts = n.select("series_id", F.ceil(F.col("_n") / PART_ROWS).alias("_parts"))
+    rows = known.join(parts, "series_id").select("series_id", "y", F.pmod(F.xxhash64("ts"), "_parts").alias("part"))
+    cuts = steps.join(parts, "series_id").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+
+    def count(pdf: pd.DataFrame, cut: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(cut):
+            return pd.DataFrame({"series_id": [], "n": []})
+        edges = np.asarray(cut["edges"].iloc[0], float)
+        at = np.maximum(np.searchsorted(edges, pdf["y"].to_numpy(float), "right") - 1, 0)
+        return pd.DataFrame({"series_id": pdf["series_id"].iloc[:1], "n": [np.bincount(at, minlength=len(edges)).tolist()]})
+
+    counts = rows.groupBy("series_id", "part").cogroup(cuts.groupBy("series_id", "part")).applyInPandas(count, "series_id string, n array<long>")
+
+    def decide(pdf: pd.DataFrame, cut: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(cut):
+            return pd.DataFrame({"series_id": [], "edges": [], "rare": []})
+        edges, scores = (np.asarray(cut[c].iloc[0], float) for c in ("edges", "scores"))
+        rare = scores > weighted_quantile(scores, np.sum(pdf["n"].tolist(), axis=0), 1 - contamination)
+        turns = np.flatnonzero(np.concatenate([[True], rare[1:] != rare[:-1]]))
+        return pd.DataFrame({"series_id": cut["series_id"].iloc[:1], "edges": [np.maximum(edges[turns], -1.7e308).tolist()], "rare": [rare[turns].tolist()]})
+
+    decided = counts.groupBy("series_id").cogroup(steps.groupBy("series_id")).applyInPandas(decide, "series_id string, edges array<double>, rare array<boolean>")
+    joined = series.join(decided, "series_id", "left")
     at = F.size(F.filter("edges", lambda e: e <= F.col("y")))
     hit = F.when((at > 0) & F.col("y").isNotNull(), F.try_element_at("rare", F.greatest(at, F.lit(1))))
     return joined.withColumn("is_outlier", F.coalesce(hit, F.lit(False))).drop("edges", "rare")
@@ -319,7 +350,8 @@ class QuantileBinner:
     def intervals(self) -> DataFrame:
         return self.edges.select(*self.by, F.posexplode(F.transform(F.slice("edges", 1, F.greatest(F.size("edges") - 1, F.lit(1))), lambda lo, i: F.struct(lo.alias("lo"), F.coalesce(F.get("edges", i + 1), lo).alias("hi")))).alias("bin", "x")).select(*self.by, "bin", "x.lo", "x.hi")
 
-    def transform(self, df: DataFrame, value: str, out: str = "bin") -> DataFrame:
-        joined = df.join(self.edges, list(self.by)) if self.by else df.crossJoin(F.broadcast(self.edges))
+    def transform(self, df: DataFrame, value: str, out: str = "bin", how: str = "inner") -> DataFrame:
+        """df with the bin of value. how='left': rows of groups without edges stay, without a bin."""
+        joined = df.join(self.edges, list(self.by), how) if self.by else df.crossJoin(F.broadcast(self.edges))
         inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
         return joined.withColumn(out, F.size(F.filter(inner, lambda e: e <= F.col(value))).cast("int")).drop("edges")

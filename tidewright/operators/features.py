@@ -246,9 +246,10 @@ def asof(left: DataFrame, right: DataFrame, columns: Sequence[str], by: Sequence
 
     Both sides are stacked and filled forward in one window; of one time, right rows come first. by: keys within which to look.
     backfill: rows before right's first get its first value. block: a unit of date_trunc; then blocks of time are filled apart,
-    and only each block's last values are carried on, so that no task holds all rows of a key.
+    and only each block's last values are carried on, so that no task holds all rows of a key. Without keys the blocks are months.
     """
     by = list(by)
+    block = block if block or by else "month"
     value = F.struct(*(F.col(c) for c in columns))
     rest = [c for c in left.columns if c not in (*by, "ts")]
     kind = right.select(value.alias("v")).schema["v"].dataType

@@ -65,15 +65,22 @@ def correction(residuals: DataFrame, coverage: float) -> tuple[DataFrame, DataFr
     return residuals.groupBy("series_id", "bin").agg(q), residuals.groupBy("series_id").agg(q)
 
 
-def with_interval(forecast: DataFrame, residuals: DataFrame, binner: QuantileBinner | None, coverage: float) -> DataFrame:
-    """forecast with lower_bound and upper_bound; a binner makes the width depend on the forecast's bin."""
+def with_interval(forecast: DataFrame, residuals: DataFrame, binner: QuantileBinner | None, coverage: float, unknown: bool = False) -> DataFrame:
+    """forecast with lower_bound and upper_bound; a binner makes the width depend on the forecast's bin.
+
+    unknown: a series without residuals takes the width of all series' residuals (to a ten-thousandth of their ranks).
+    """
     by_bin, pooled = correction(residuals, coverage)
     out = forecast.join(pooled.withColumnRenamed("width", "_pooled"), "series_id", "left")
     width = F.col("_pooled")
+    if unknown:
+        everything = residuals.agg(F.percentile_approx(F.abs("residual"), F.lit(coverage), F.lit(10_000)).alias("_all"))
+        out = out.crossJoin(F.broadcast(everything))  # one row
+        width = F.coalesce("_pooled", "_all")
     if binner is not None:
-        out = binner.transform(out, "pred").join(by_bin, ["series_id", "bin"], "left")
-        width = F.coalesce("width", "_pooled")
-    return out.withColumns({"lower_bound": F.col("pred") - width, "upper_bound": F.col("pred") + width}).drop("_pooled", "width", "bin")
+        out = binner.transform(out, "pred", how="left" if unknown else "inner").join(by_bin, ["series_id", "bin"], "left")
+        width = F.coalesce(F.col("width"), width)
+    return out.withColumns({"lower_bound": F.col("pred") - width, "upper_bound": F.col("pred") + width}).drop("_pooled", "_all", "width", "bin")
 
 
 def check_interval(interval) -> float:

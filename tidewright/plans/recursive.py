@@ -29,7 +29,7 @@ from tidewright.operators import validate as V
 from tidewright.operators.curate import QuantileBinner, check_weights, look_up_weights
 from tidewright.operators.grid import future
 from tidewright.plans import estimators as E
-from tidewright.plans.naive import capped, check_interval, with_interval
+from tidewright.plans.naive import RESIDUALS, capped, check_interval, with_interval
 from tidewright.session import over_series
 
 
@@ -530,9 +530,13 @@ class RecursiveForecaster:
                     p = one(row)
                     yield pd.DataFrame({"series_id": row["series_id"], "last": row["last"], "step": np.repeat(np.arange(1, steps + 1), n), "boot_id": np.tile(np.arange(n), steps), "pred": p.ravel()})
 
-        if boot:
+        if boot and boot["all"] is None:
             windows = windows.join(boot["pools"], "series_id")
             windows = windows.join(boot["edges"], "series_id") if edges else windows
+        elif boot:  # a series without residuals draws from those of all series
+            windows = windows.join(boot["pools"], "series_id", "left").crossJoin(F.broadcast(boot["all"]))  # one row
+            windows = windows.join(boot["edges"], "series_id", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<double>"))) if edges else windows
+            windows = windows.withColumns({"bins": F.coalesce("bins", F.array(F.lit(0))), "pools": F.coalesce("pools", F.array("_all"))}).drop("_all")
         out = windows.mapInPandas(run, "series_id string, last timestamp, step long, boot_id long, pred double")
         out = self._timed(out, F.col("step"))
         return out.select("series_id", "ts", "step", *(["boot_id"] if boot else []), "pred")
@@ -563,7 +567,11 @@ class RecursiveForecaster:
         kept = capped(residuals, self.n_bins, seed)
         pools = kept.groupBy("series_id", "bin").agg(F.sort_array(F.collect_list("residual")).alias("pool")).groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("bin", "pool"))).alias("p"))
         pools = pools.select("series_id", F.col("p.bin").alias("bins"), F.col("p.pool").alias("pools"))
-        rows = self._paths(steps, exog, last_window, levels, {"n": n_boot, "seed": seed, "pools": pools, "edges": self.binner.edges if binned else None})
+        everything = None
+        if not self.per_series:  # at most RESIDUALS of all series, by hash
+            some = residuals.orderBy(F.xxhash64(F.lit(seed), *residuals.columns), "residual").limit(RESIDUALS)
+            everything = some.agg(F.sort_array(F.collect_list("residual")).alias("_all"))
+        rows = self._paths(steps, exog, last_window, levels, {"n": n_boot, "seed": seed, "pools": pools, "edges": self.binner.edges if binned else None, "all": everything})
         return self._undo(rows, ["series_id", "boot_id"])
 
     def predict_quantiles(self, steps: int, quantiles: Sequence[float] = (0.05, 0.5, 0.95), **how) -> DataFrame:
@@ -582,20 +590,20 @@ class RecursiveForecaster:
         paths = paths.join(middle, keys) if distribution == "laplace" else paths
         return paths.groupBy(*keys).agg(*(f(F.col("pred")).alias(name) for name, f in parts.items()))
 
-    def predict_interval(self, steps: int, interval=(5, 95), method: str = "conformal", exog: DataFrame | None = None, in_sample: bool = True, binned: bool = True, n_boot: int = 250, seed: int = 123, levels=None) -> DataFrame:
+    def predict_interval(self, steps: int, interval=(5, 95), method: str = "conformal", exog: DataFrame | None = None, in_sample: bool = True, binned: bool = True, n_boot: int = 250, seed: int = 123, levels=None, last_window: DataFrame | None = None) -> DataFrame:
         """(series_id, ts, step, pred, lower_bound, upper_bound)."""
-        point = self.predict(steps, exog, levels=levels)
+        point = self.predict(steps, exog, last_window, levels)
         if method == "bootstrapping":
             lo, hi = ((1 - interval) / 2, (1 + interval) / 2) if isinstance(interval, float) else (interval[0] / 100, interval[1] / 100)
-            q = self.predict_quantiles(steps, (lo, hi), exog=exog, in_sample=in_sample, binned=binned, n_boot=n_boot, seed=seed, levels=levels)
+            q = self.predict_quantiles(steps, (lo, hi), exog=exog, in_sample=in_sample, binned=binned, n_boot=n_boot, seed=seed, levels=levels, last_window=last_window)
             return point.join(q.toDF("series_id", "ts", "step", "lower_bound", "upper_bound"), ["series_id", "ts", "step"])
         if method != "conformal":
             raise ValueError("method must be 'conformal' or 'bootstrapping'")
         residuals = self.residuals if in_sample else self.out_residuals
         if residuals is None:
             raise ValueError("there are no residuals of this kind")
-        raw = self._paths(steps, exog, None, levels)
-        bounds = with_interval(raw, residuals, self.binner if binned else None, check_interval(interval))
+        raw = self._paths(steps, exog, last_window, levels)
+        bounds = with_interval(raw, residuals, self.binner if binned else None, check_interval(interval), unknown=not self.per_series)
         keys = ["series_id", "ts", "step"]
         parts = [self._undo(bounds.select(*keys, F.col(c).alias("pred")), ["series_id"]).withColumnRenamed("pred", c) for c in ("lower_bound", "upper_bound")] if self.differencing or self.scaled else [bounds.select(*keys, "lower_bound"), bounds.select(*keys, "upper_bound")]
         return point.join(parts[0], keys).join(parts[1], keys)
