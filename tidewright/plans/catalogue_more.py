@@ -406,6 +406,92 @@ def backtest_ragged(spark, sf_dir):
     return rounded(rows.select("series_id", "ts", F.col("fold").cast("long").alias("fold"), "pos", "y", "pred"), "y", "pred")
 
 
+# ---- the model workflow -----------------------------------------------------------------------------------------------
+
+_DEV = 600
+_DEV_AR1 = f"c AS (SELECT series_id, regr_slope(y, l) AS b, regr_intercept(y, l) AS a FROM x WHERE l IS NOT NULL AND pos < {_DEV} GROUP BY 1), z AS (SELECT series_id, ts AS t, y FROM filled WHERE pos = {_DEV - 1})"
+
+
+def _workflow(spark, sf_dir) -> pipelines.ModelWorkflow:
+    """An AR(1) model of the first 600 hours."""
+    h = filled(spark, sf_dir)
+    end = h.agg(F.min("ts") + F.expr(f"INTERVAL {_DEV - 1} HOURS")).first()[0]
+    return pipelines.ModelWorkflow("ar1", h, str(end), forecaster=RecursiveForecaster(lags=1, estimator_params=EXACT), refit_size=3)
+
+
+@query(f"{RECURSIVE}, {_LAG}, {_DEV_AR1}, {_path('c', 24)} {_STEPS}")
+def workflow_forecast(spark, sf_dir):
+    return rounded(_workflow(spark, sf_dir).fit().predict(), "pred")
+
+
+_ERRORS = f"{q6('avg(abs(y - pred))')} AS MAE, {q6('avg(pow(y - pred, 2))')} AS MSE"
+
+
+@query(f"{BASE}, {_LAG}, {_DEV_AR1}, o AS (SELECT series_id, x.y, a + b * l AS pred FROM x JOIN c USING (series_id) WHERE l IS NOT NULL AND pos < {_DEV}) SELECT series_id, {_ERRORS} FROM o GROUP BY 1")
+def workflow_training_errors(spark, sf_dir):
+    return rounded(_workflow(spark, sf_dir).fit().training_errors().drop("MAPE"), "MAE", "MSE")
+
+
+@query(f"{RECURSIVE}, {_LAG}, {_DEV_AR1}, {_path('c', 24)}, o AS (SELECT p.series_id, f.y, p.y AS pred FROM p JOIN filled f ON f.series_id = p.series_id AND f.ts = t + to_hours(step) WHERE step > 0) SELECT series_id, {_ERRORS} FROM o GROUP BY 1")
+def workflow_package(spark, sf_dir):
+    """Errors of the future rows of the package that the last saved iteration gives."""
+    home, flow = scratch(spark, "home"), _workflow(spark, sf_dir)
+    for flow.iteration in (0, 1):
+        flow.fit().save(home)
+    make = lambda f, number: pipelines.ModelWorkflow("ar1", flow.series, flow.end_dev, number, forecaster=f)
+    return rounded(pipelines.model_prediction(home, "ar1", make, spark)["future_errors"].drop("MAPE"), "MAE", "MSE")
+
+
+@query(f"""{RECURSIVE}, {_LAG}, f AS (SELECT i AS fold, {_DEV} - 72 + 24 * i AS s, {_DEV} - 48 + 24 * i AS u FROM (SELECT unnest(range(0, 3)) AS i)), c AS (SELECT series_id, regr_slope(y, l) AS b, regr_intercept(y, l) AS a FROM x WHERE l IS NOT NULL AND pos < {_DEV} - 72 GROUP BY 1),
+p(fold, series_id, pos, u, y) AS (SELECT fold, series_id, s - 1, u, y FROM f JOIN filled ON pos = s - 1 UNION ALL SELECT p.fold, p.series_id, pos + 1, u, a + b * y FROM p JOIN c USING (series_id) WHERE pos + 1 < u)
+SELECT p.series_id, {q6('avg(abs(g.y - p.y))')} AS mean_absolute_error FROM p JOIN f USING (fold) JOIN filled g ON g.series_id = p.series_id AND g.pos = p.pos WHERE p.pos >= s GROUP BY 1""")
+def workflow_backtest(spark, sf_dir):
+    return rounded(_workflow(spark, sf_dir).backtest()[0], "mean_absolute_error")
+
+
+@query(f"""{BASE}, {_LAG}, t AS (SELECT *, lag(y, 24) OVER (PARTITION BY series_id ORDER BY ts) AS l24 FROM filled WHERE pos < {_DEV}), e1 AS (SELECT series_id, regr_slope(y, l) AS b, regr_intercept(y, l) AS a FROM x WHERE l IS NOT NULL AND pos < {_DEV} - 24 GROUP BY 1), e24 AS (SELECT series_id, regr_slope(y, l24) AS b, regr_intercept(y, l24) AS a FROM t WHERE l24 IS NOT NULL AND pos < {_DEV} - 24 GROUP BY 1),
+m AS (SELECT [1] AS lags, avg(abs(x.y - a - b * l)) AS e FROM x JOIN e1 USING (series_id) WHERE pos >= {_DEV} - 24 AND pos < {_DEV} UNION ALL SELECT [24], avg(abs(t.y - a - b * l24)) FROM t JOIN e24 USING (series_id) WHERE pos >= {_DEV} - 24) SELECT unnest(arg_min(lags, e)) AS lag FROM m""")
+def workflow_tuned_lags(spark, sf_dir):
+    flow = _workflow(spark, sf_dir).tune([[1], [24]])
+    return spark.createDataFrame([(x,) for x in flow.forecaster.lag_list], "lag int")
+
+
+# ---- checks -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"""{BASE}, n AS (SELECT (SELECT count(*) FROM hourly WHERE y IS NULL) AS holes, (SELECT count(DISTINCT series_id) FROM filled) AS k) SELECT * FROM (SELECT 'complete series' AS part, TRUE AS passes UNION ALL SELECT 'series with holes', holes = 0 FROM n UNION ALL SELECT 'exogenous values', holes = 0 FROM n
+UNION ALL SELECT 'interval', TRUE UNION ALL SELECT 'falling interval', FALSE UNION ALL SELECT 'quantile', TRUE UNION ALL SELECT 'quantile beyond 1', FALSE UNION ALL SELECT 'not fitted', FALSE UNION ALL SELECT 'fitted', TRUE UNION ALL SELECT 'short last window', FALSE UNION ALL SELECT 'no residuals', FALSE UNION ALL SELECT 'uneven collection', k = 1 FROM n)""")
+def input_checks(spark, sf_dir):
+    """Which checks pass on the hourly series, before and after their holes are filled."""
+    h, holed = filled(spark, sf_dir), hourly(spark, sf_dir)
+    fresh, fitted = RecursiveForecaster(lags=24), RecursiveForecaster(lags=24).fit(h)
+    uneven = h.filter((F.col("series_id") == h.agg(F.min("series_id")).first()[0]) | (F.hour("ts") % 2 == 0))
+    short = h.filter(F.col("ts") >= F.lit(h.agg(F.max("ts")).first()[0]) - F.expr("INTERVAL 3 HOURS"))
+    checks = {
+        "complete series": lambda: validate.check_y(h),
+        "series with holes": lambda: validate.check_y(holed),
+        "exogenous values": lambda: validate.check_exog(holed, allow_missing=False),
+        "interval": lambda: validate.check_interval([5, 95]),
+        "falling interval": lambda: validate.check_interval([95, 5]),
+        "quantile": lambda: validate.check_quantile([0.0, 1.0]),
+        "quantile beyond 1": lambda: validate.check_quantile(1.5),
+        "not fitted": lambda: validate.check_predict_input(fresh, 1),
+        "fitted": lambda: validate.check_predict_input(fitted, 1),
+        "short last window": lambda: validate.check_predict_input(fitted, 1, last_window=short),
+        "no residuals": lambda: validate.check_residuals(fitted),
+        "uneven collection": lambda: validate.collect_series(uneven),
+    }
+
+    def passes(check) -> bool:
+        try:
+            check()
+            return True
+        except ValueError:
+            return False
+
+    return spark.createDataFrame([(name, passes(c)) for name, c in checks.items()], "part string, passes boolean")
+
+
 # ---- calendar tables --------------------------------------------------------------------------------------------------
 
 _H = _EASTER.replace("(50), (60)", "(50)").replace("(11, 1), ", "")

@@ -170,10 +170,10 @@ class ModelWorkflow:
 
     def backtest(self, metrics: Sequence[str] = ("mean_absolute_error",)) -> tuple[DataFrame, DataFrame]:
         """Folds of predict_size without refitting, over the last predict_size * refit_size steps up to end_dev."""
-        from tidewright.plans.backtest import backtest, length
+        from tidewright.plans.backtest import backtest, placed_on_axis
 
         data = self._data().filter(F.col("ts") <= F.lit(self.end_dev).cast("timestamp"))
-        init = length(data) - self.predict_size * self.refit_size
+        init = placed_on_axis(data)[1] - self.predict_size * self.refit_size
         return backtest(self.forecaster, data, TimeSeriesFold(self.predict_size, init), metrics, self._exog())
 
     def predict(self, steps: int | None = None) -> DataFrame:
