@@ -82,14 +82,15 @@ def release(spark: SparkSession) -> None:
 def as_table(df: DataFrame, name: str, **measured: Column) -> DataFrame:
     """Writes df to the shared folder and reads it again, which cuts its lineage and survives lost executors.
 
-    measured: aggregates that the same job computes on the way; they are in the result's `measured`.
+    measured: counts and sums that the same job computes on the way; they are in the result's `measured`, 0 for no rows.
     """
     path = scratch_path(df.sparkSession, name)
     seen = Observation() if measured else None
     (df.observe(seen, *(c.alias(n) for n, c in measured.items())) if measured else df).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
-    out.measured = seen.get if measured else {}
+    found = seen.get if measured else {}
+    out.measured = {n: found.get(n) or 0 for n in measured}
     return out
 
 
