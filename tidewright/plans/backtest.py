@@ -94,7 +94,7 @@ def _recursive_at_once(forecaster, placed, folds, cv, exog, interval) -> DataFra
         last = f["fold"] if f["fit_forecaster"] or last is None else last
         plan.append((f["fold"], last))
     spark = placed.sparkSession
-    used = F.broadcast(spark.createDataFrame(plan, "fold long, model long"))  # a row for each fold
+    used = F.broadcast(spark.createDataFrame(plan, "fold long, _fit long"))  # a row for each fold
     train = rows_of(placed, folds.join(F.broadcast(spark.createDataFrame([(m,) for m in sorted({m for _, m in plan})], "fold long")), "fold"), "train_start", "train_end")
     named = lambda rows: rows.select(name("fold").alias("series_id"), "ts", "y")
     exog_of = lambda rows: exog if exog is None or "series_id" not in exog.columns else exog.join(rows.select("series_id", "fold").distinct(), "series_id").withColumn("series_id", name("fold")).drop("fold")
@@ -104,8 +104,8 @@ def _recursive_at_once(forecaster, placed, folds, cv, exog, interval) -> DataFra
 
     def for_each_fold(table: DataFrame) -> DataFrame:
         """A table of models or scales, named by the fold of the fit, with a row for each fold that uses it."""
-        rows = table.withColumn("model", parts[0].cast("long")).withColumn("_id", parts[1]).join(used, "model")
-        return rows.withColumn("series_id", F.concat_ws("\x1f", F.lpad(F.col("fold").cast("string"), 12, "0"), "_id")).drop("model", "_id", "fold")
+        rows = table.withColumn("_fit", parts[0].cast("long")).withColumn("_id", parts[1]).join(used, "_fit")
+        return rows.withColumn("series_id", F.concat_ws("\x1f", F.lpad(F.col("fold").cast("string"), 12, "0"), "_id")).drop("_fit", "_id", "fold")
 
     if len(plan) > fits:
         fitted.model_table = for_each_fold(fitted.model_table)
