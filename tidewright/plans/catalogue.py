@@ -534,7 +534,7 @@ def _fold_columns(init: str, stride: int, steps: int, gap: int, window: int, fix
 @query(f"{BASE}, {_N}, i AS (SELECT n, unnest(range(0, CAST(ceil((n - 300) / 24.0) AS BIGINT))) AS i FROM n) SELECT {_fold_columns('300', 24, 24, 0, 24, False, True)}, true AS fit_forecaster FROM i")
 def folds_expanding(spark, sf_dir):
     cv = folds.TimeSeriesFold(24, 300, window_size=24, refit=True, fixed_train_size=False)
-    return cv.split(spark, B.length(filled(spark, sf_dir)))
+    return cv.split(spark, B.placed_on_axis(filled(spark, sf_dir))[1])
 
 
 @query(f"{BASE}, {_N}, i AS (SELECT n, unnest(range(0, CAST(ceil((n - 306) / 12.0) AS BIGINT))) AS i FROM n), f AS (SELECT {_fold_columns('300', 12, 24, 6, 48, True, True)}, i % 2 = 0 AS fit_forecaster FROM i) SELECT * FROM f WHERE test_end - test_start - 6 >= 24")
