@@ -41,3 +41,8 @@ def test_folds_expanding(spark, events):
     got = matched(spark, events, "folds_expanding").sort_values("fold")
     assert list(got.train_end) == [300, 324] and set(got.train_start) == {0}
     assert list(got.test_end) == [324, HOURS] and all(got.fit_forecaster)
+
+
+def test_folds_rolling_gap(spark, events):
+    got = matched(spark, events, "folds_rolling_gap")
+    assert [tuple(r) for r in got[["fold", "train_start", "train_end", "test_start_with_gap", "test_end"]].itertuples(index=False)] == [(0, 0, 300, 306, 330)]
