@@ -15,8 +15,8 @@ def events(spark, tmp_path_factory):
     """Two types over HOURS hours, with gaps, missing values and NaN; one begins late, one ends early."""
     import pandas as pd
 
-    rows = [(h, "click", None if h % 50 == 7 else float(h % 24)) for h in range(HOURS) if h % 9 != 4]
-    rows += [(h, "view", float("nan") if h % 40 == 3 else h * 37 % 101 / 4) for h in range(12, HOURS - 20)]
+    rows = [(h, "click", None if h % 50 == 7 else h % 24 + 1.0) for h in range(HOURS) if h % 9 != 4]
+    rows += [(h, "view", float("nan") if h % 40 == 3 else h * 37 % 101 / 4 + 1) for h in range(12, HOURS - 20)]
     start = dt.datetime(2024, 1, 1, 0, 10)
     pdf = pd.DataFrame([(i, start + dt.timedelta(hours=h), t, y) for i, (h, t, y) in enumerate(rows)], columns=["event_id", "ts", "event_type", "value"])
     home = tmp_path_factory.mktemp("events")
@@ -46,3 +46,8 @@ def test_folds_expanding(spark, events):
 def test_folds_rolling_gap(spark, events):
     got = matched(spark, events, "folds_rolling_gap")
     assert [tuple(r) for r in got[["fold", "train_start", "train_end", "test_start_with_gap", "test_end"]].itertuples(index=False)] == [(0, 0, 300, 306, 330)]
+
+
+def test_folds_skipped(spark, events):
+    got = matched(spark, events, "folds_skipped")
+    assert [tuple(r) for r in got[["fold", "train_end", "test_start", "test_end", "fit_forecaster"]].itertuples(index=False)] == [(0, 300, 300, 324, True)]

@@ -545,7 +545,7 @@ def folds_rolling_gap(spark, sf_dir):
 
 @query(f"{BASE}, {_N}, i AS (SELECT n, unnest(range(0, CAST(ceil((n - 300) / 24.0) AS BIGINT))) AS i FROM n) SELECT {_fold_columns('300', 24, 24, 0, 24, True, False)}, i = 0 AS fit_forecaster FROM i WHERE i % 3 = 0")
 def folds_skipped(spark, sf_dir):
-    return folds.TimeSeriesFold(24, 300, window_size=24, skip_folds=3).split(spark, B.length(filled(spark, sf_dir)))
+    return folds.TimeSeriesFold(24, 300, window_size=24, skip_folds=3).split(spark, B.placed_on_axis(filled(spark, sf_dir))[1])
 
 
 _BACK = f"""{_N}, fo AS (SELECT i, 300 + i * 12 AS s, least(300 + i * 12 + 24, n) AS z FROM (SELECT n, unnest(range(0, CAST(ceil((n - 300) / 12.0) AS BIGINT))) AS i FROM n)),
