@@ -51,3 +51,10 @@ def test_folds_rolling_gap(spark, events):
 def test_folds_skipped(spark, events):
     got = matched(spark, events, "folds_skipped")
     assert [tuple(r) for r in got[["fold", "train_end", "test_start", "test_end", "fit_forecaster"]].itertuples(index=False)] == [(0, 300, 300, 324, True)]
+
+
+def test_backtest_naive(spark, events):
+    got = matched(spark, events, "backtest_naive")
+    assert len(got) == 2 * (24 + 24 + 16 + 4)  # the last folds are cut at the table's end
+    early = got[(got.series_id == "click") & (got.fold == 0) & (got.pos < 304)].sort_values("pos")
+    assert list(early.pred) == [h % 24 + 1.0 for h in (276, 277, 278, 279)]

@@ -554,9 +554,8 @@ kept AS (SELECT * FROM bt QUALIFY row_number() OVER (PARTITION BY series_id, ts
 
 
 def _backtest_rows(spark, sf_dir):
-    f = with_pos(filled(spark, sf_dir))
-    cv = folds.TimeSeriesFold(24, 300, fold_stride=12)
-    return B.naive_rows(f, cv.split(spark, B.length(f.drop("pos"))), 24)
+    placed, n = B.placed_on_axis(filled(spark, sf_dir))
+    return B.naive_rows(placed, folds.TimeSeriesFold(24, 300, fold_stride=12).split(spark, n), 24)
 
 
 @query(f"{BASE}, {_BACK} SELECT series_id, ts, CAST(fold AS BIGINT) AS fold, CAST(pos AS BIGINT) AS pos, {q6('y')} AS y, {q6('pred')} AS pred FROM bt")
