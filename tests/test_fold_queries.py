@@ -58,3 +58,10 @@ def test_backtest_naive(spark, events):
     assert len(got) == 2 * (24 + 24 + 16 + 4)  # the last folds are cut at the table's end
     early = got[(got.series_id == "click") & (got.fold == 0) & (got.pos < 304)].sort_values("pos")
     assert list(early.pred) == [h % 24 + 1.0 for h in (276, 277, 278, 279)]
+
+
+def test_metrics_all(spark, events):
+    got = matched(spark, events, "metrics_all")
+    rows = normal(catalogue.QUERIES["backtest_naive"](spark, events).toPandas()).sort_values("fold").drop_duplicates(["series_id", "ts"], keep="last")
+    error = (rows.y - rows.pred).abs().groupby(rows.series_id).mean()
+    assert dict(zip(got.series_id, got.mean_absolute_error, strict=True)) == pytest.approx(dict(error), abs=1e-6)
