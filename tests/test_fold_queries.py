@@ -65,3 +65,10 @@ def test_metrics_all(spark, events):
     rows = normal(catalogue.QUERIES["backtest_naive"](spark, events).toPandas()).sort_values("fold").drop_duplicates(["series_id", "ts"], keep="last")
     error = (rows.y - rows.pred).abs().groupby(rows.series_id).mean()
     assert dict(zip(got.series_id, got.mean_absolute_error, strict=True)) == pytest.approx(dict(error), abs=1e-6)
+
+
+def test_coverage(spark, events):
+    got = matched(spark, events, "coverage")
+    rows = normal(catalogue.QUERIES["backtest_naive"](spark, events).toPandas()).sort_values("fold").drop_duplicates(["series_id", "ts"], keep="last")
+    inside = ((rows.y - rows.pred).abs() <= 10).groupby(rows.series_id).mean()
+    assert dict(zip(got.series_id, got.coverage, strict=True)) == pytest.approx(dict(inside), abs=1e-6)
