@@ -72,3 +72,10 @@ def test_coverage(spark, events):
     rows = normal(catalogue.QUERIES["backtest_naive"](spark, events).toPandas()).sort_values("fold").drop_duplicates(["series_id", "ts"], keep="last")
     inside = ((rows.y - rows.pred).abs() <= 10).groupby(rows.series_id).mean()
     assert dict(zip(got.series_id, got.coverage, strict=True)) == pytest.approx(dict(inside), abs=1e-6)
+
+
+def test_pinball(spark, events):
+    got = matched(spark, events, "pinball")
+    rows = normal(catalogue.QUERIES["backtest_naive"](spark, events).toPandas()).sort_values("fold").drop_duplicates(["series_id", "ts"], keep="last")
+    error = (rows.y - rows.pred).abs().groupby(rows.series_id).mean()  # the losses of q and 1 - q add up to it
+    assert dict(zip(got.series_id, got.pinball_90 + got.pinball_10, strict=True)) == pytest.approx(dict(error), abs=3e-6)
