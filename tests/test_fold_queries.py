@@ -79,3 +79,9 @@ def test_pinball(spark, events):
     rows = normal(catalogue.QUERIES["backtest_naive"](spark, events).toPandas()).sort_values("fold").drop_duplicates(["series_id", "ts"], keep="last")
     error = (rows.y - rows.pred).abs().groupby(rows.series_id).mean()  # the losses of q and 1 - q add up to it
     assert dict(zip(got.series_id, got.pinball_90 + got.pinball_10, strict=True)) == pytest.approx(dict(error), abs=3e-6)
+
+
+def test_compare_actual_predicted(spark, events):
+    got = matched(spark, events, "compare_actual_predicted")
+    rows = normal(catalogue.QUERIES["backtest_naive"](spark, events).toPandas()).sort_values("fold").drop_duplicates(["series_id", "ts"], keep="last")
+    assert len(got) == 1 and got.MAE[0] == pytest.approx((rows.y - rows.pred).abs().mean(), abs=1e-6)
