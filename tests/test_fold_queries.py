@@ -85,3 +85,31 @@ def test_compare_actual_predicted(spark, events):
     got = matched(spark, events, "compare_actual_predicted")
     rows = normal(catalogue.QUERIES["backtest_naive"](spark, events).toPandas()).sort_values("fold").drop_duplicates(["series_id", "ts"], keep="last")
     assert len(got) == 1 and got.MAE[0] == pytest.approx((rows.y - rows.pred).abs().mean(), abs=1e-6)
+
+
+@pytest.fixture(scope="module")
+def odd_events(spark, tmp_path_factory):
+    """One type without any value, one with values down to -1, one with values below, over HOURS hours."""
+    import pandas as pd
+
+    rows = [(h, "empty", None if h % 2 else float("nan")) for h in range(HOURS)]
+    rows += [(h, "edge", h % 5 - 1.0) for h in range(HOURS)] + [(h, "below", h * 37 % 101 / 4 - 10) for h in range(HOURS)]
+    start = dt.datetime(2024, 1, 1, 0, 10)
+    pdf = pd.DataFrame([(i, start + dt.timedelta(hours=h), t, y) for i, (h, t, y) in enumerate(rows)], columns=["event_id", "ts", "event_type", "value"])
+    home = tmp_path_factory.mktemp("odd_events")
+    spark.createDataFrame(pdf, "event_id long, ts timestamp_ntz, event_type string, value double").coalesce(1).write.parquet(f"{home}/events.parquet")
+    return str(home)
+
+
+def test_metrics_all_of_missing_and_negative_values(spark, odd_events):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{odd_events}/events.parquet/*.parquet'")
+    got = catalogue.QUERIES["metrics_all"](spark, odd_events).toPandas().set_index("series_id").sort_index()
+    want = con.sql(catalogue.ORACLE_SQL["metrics_all"]).df().set_index("series_id").sort_index()
+    assert list(got.index) == list(want.index) == ["below", "edge", "empty"]
+    for c in want:  # percentage errors at 0 are of the size of 1e14; their last digits depend on the order of the sum
+        assert list(got[c]) == pytest.approx(list(want[c]), rel=1e-12, abs=1e-9, nan_ok=True), c
+    assert got.loc["empty"].isna().all()
+    assert got.mean_squared_log_error.isna()["below"]  # no mean of the rows that have a logarithm

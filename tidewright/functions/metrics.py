@@ -37,8 +37,13 @@ def smape(y: str = "y", p: str = "pred") -> Column:
     return 100 * F.avg(_both(y, p, F.when(scale == 0, 0.0).otherwise(F.abs(F.col(y) - F.col(p)) / F.nullif(scale, F.lit(0.0)))))
 
 
+def _log1p(c: str) -> Column:
+    """NaN below -1 and -infinity at -1, where Spark gives NULL, which a mean would skip."""
+    return F.when(F.col(c) < -1, float("nan")).when(F.col(c) == -1, float("-inf")).otherwise(F.log1p(c))
+
+
 def msle(y: str = "y", p: str = "pred") -> Column:
-    return F.avg(F.pow(F.log1p(F.col(y)) - F.log1p(F.col(p)), 2))
+    return F.avg(F.pow(_log1p(y) - _log1p(p), 2))
 
 
 def medae(y: str = "y", p: str = "pred") -> Column:

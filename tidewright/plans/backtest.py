@@ -39,14 +39,14 @@ def placed_on_axis(series: DataFrame) -> tuple[DataFrame, int]:
 
 
 def naive_rows(series: DataFrame, folds: DataFrame, offset: int, n_offsets: int = 1, agg="mean") -> DataFrame:
-    """(series_id, ts, fold, pos, y, pred) of all test rows that have a value an offset before; series has pos."""
+    """(series_id, ts, fold, pos, y, pred) of all test rows that have a row an offset before, pred being NULL where its value is missing; series has pos."""
     test = rows_of(series, folds, "test_start_with_gap", "test_end_with_gap")
     src = F.col("test_start") - offset + F.pmod(F.col("pos") - F.col("test_start"), F.lit(offset))
     at = test.select("series_id", "ts", "fold", "pos", "y", F.explode(F.sequence(F.lit(0), F.lit(n_offsets - 1))).alias("k"), src.alias("_src")).withColumn("_src", F.col("_src") - F.col("k") * offset)
-    past = series.select("series_id", F.col("pos").alias("_src"), F.col("y").alias("_v"))
+    past = series.select("series_id", F.col("pos").alias("_src"), F.col("y").alias("_v"), F.lit(1).alias("_row"))
     joined = at.join(past, ["series_id", "_src"], "left")
     pred = _of_rows(agg, "_v").alias("pred")
-    return joined.groupBy("series_id", "ts", "fold", "pos").agg(F.first("y").alias("y"), pred, F.count("_v").alias("_n")).filter("_n > 0").drop("_n")
+    return joined.groupBy("series_id", "ts", "fold", "pos").agg(F.first("y").alias("y"), pred, F.count("_row").alias("_n")).filter("_n > 0").drop("_n")
 
 
 def keep_last_fold(rows: DataFrame) -> DataFrame:
