@@ -113,3 +113,8 @@ def test_metrics_all_of_missing_and_negative_values(spark, odd_events):
         assert list(got[c]) == pytest.approx(list(want[c]), rel=1e-12, abs=1e-9, nan_ok=True), c
     assert got.loc["empty"].isna().all()
     assert got.mean_squared_log_error.isna()["below"]  # no mean of the rows that have a logarithm
+
+
+def test_coverage_of_missing_values(spark, odd_events):
+    got = matched(spark, odd_events, "coverage").set_index("series_id").coverage
+    assert sorted(got.index) == ["below", "edge", "empty"] and got["empty"] == 0 and got["edge"] == 1

@@ -51,7 +51,8 @@ def medae(y: str = "y", p: str = "pred") -> Column:
 
 
 def coverage(y: str = "y", low: str = "lower_bound", high: str = "upper_bound") -> Column:
-    return F.avg(F.col(y).between(F.col(low), F.col(high)).cast("double"))
+    """Share of all rows; one with a missing value or bound is not covered."""
+    return F.avg(F.coalesce(F.col(y).between(F.col(low), F.col(high)), F.lit(False)).cast("double"))
 
 
 def pinball(alpha: float, y: str = "y", p: str = "pred") -> Column:
