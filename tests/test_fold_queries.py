@@ -118,3 +118,25 @@ def test_metrics_all_of_missing_and_negative_values(spark, odd_events):
 def test_coverage_of_missing_values(spark, odd_events):
     got = matched(spark, odd_events, "coverage").set_index("series_id").coverage
     assert sorted(got.index) == ["below", "edge", "empty"] and got["empty"] == 0 and got["edge"] == 1
+
+
+@pytest.fixture(scope="module")
+def short_events(spark, tmp_path_factory):
+    """One type over 300 hours, which leave no row to test."""
+    import pandas as pd
+
+    start = dt.datetime(2024, 1, 1, 0, 10)
+    pdf = pd.DataFrame([(h, start + dt.timedelta(hours=h), "click", h % 24 + 1.0) for h in range(300)], columns=["event_id", "ts", "event_type", "value"])
+    home = tmp_path_factory.mktemp("short_events")
+    spark.createDataFrame(pdf, "event_id long, ts timestamp_ntz, event_type string, value double").coalesce(1).write.parquet(f"{home}/events.parquet")
+    return str(home)
+
+
+def test_pinball_of_missing_values_and_short_tables(spark, odd_events, short_events):
+    import duckdb
+
+    got = matched(spark, odd_events, "pinball").set_index("series_id")
+    assert sorted(got.index) == ["below", "edge", "empty"] and got.loc["empty"].isna().all() and got.pinball_90["edge"] > 0
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{short_events}/events.parquet/*.parquet'")
+    assert catalogue.QUERIES["pinball"](spark, short_events).collect() == con.sql(catalogue.ORACLE_SQL["pinball"]).fetchall() == []
