@@ -140,3 +140,13 @@ def test_pinball_of_missing_values_and_short_tables(spark, odd_events, short_eve
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{short_events}/events.parquet/*.parquet'")
     assert catalogue.QUERIES["pinball"](spark, short_events).collect() == con.sql(catalogue.ORACLE_SQL["pinball"]).fetchall() == []
+
+
+def test_compare_actual_predicted_of_missing_values_and_short_tables(spark, odd_events, short_events):
+    import duckdb
+
+    assert matched(spark, odd_events, "compare_actual_predicted").MAE[0] > 0  # the type without values doesn't count
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{short_events}/events.parquet/*.parquet'")
+    got = [tuple(r) for r in catalogue.QUERIES["compare_actual_predicted"](spark, short_events).collect()]
+    assert got == con.sql(catalogue.ORACLE_SQL["compare_actual_predicted"]).fetchall() == [(None, None)]
