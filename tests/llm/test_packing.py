@@ -130,3 +130,38 @@ def test_packer_places_every_token_once(sizes, window, most_open):
     for i, s in enumerate(sizes):
         assert sum((x for _, x in sorted(docs[i])), []) == list(range(s))
     assert all(n == window or n & (n - 1) == 0 for n in fill.values())
+
+
+def test_open_windows_keep_only_their_ids():
+    """The tail of a long document doesn't keep the rest of it in memory."""
+    p = P.Packer()
+    for i in range(50):
+        p.add(i, np.arange(100_600 + i, dtype=np.uint32))
+        p.out = []
+    held = [ids for level in p.open for w in level for _, _, ids in w]
+    assert sum((x if x.base is None else x.base).nbytes for x in held) <= 50 * 4 * P.WINDOW
+
+
+def test_output_batches_are_bounded(documents, tokenizer, monkeypatch):
+    """What a task hands on at once is bounded by its bytes: whole windows are 4096 bytes of ids each."""
+    import pyarrow as pa
+    import pyspark
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 3)  # noqa: N815
+
+    made = {}
+    monkeypatch.setattr(P.C, "map_arrow", lambda df, run, schema: made.setdefault("run", run))
+    monkeypatch.setattr(pyspark, "TaskContext", Task)
+    P.pack(documents([(1, "")]), PATH)
+    texts = [f"document {i} " * 8000 for i in range(120)]
+    rows = pa.record_batch({"doc_id": pa.array(range(120), pa.int64()), "text": pa.array(texts)})
+    sizes, ids = [], {}
+    for b in made["run"]([rows]):
+        sizes.append(b.nbytes)
+        for r in b.to_pylist():
+            ids.setdefault(r["doc_id"], []).append((r["start"], r["ids"]))
+    assert len(sizes) > 1 and max(sizes) <= 1.1 * (1 << 21)
+    for i in (0, 7, 119):
+        assert b"".join(x for _, x in sorted(ids[i])) == np.append(tokenizer.ids(texts[i]), 0).astype("<u4").tobytes()

@@ -2,10 +2,10 @@
 
 A document is its ids and an end id. Whole windows of it are cut off at once; the piece that is left goes to the fill
 level h (0 is a new window) for which the sum over levels of squared counts of partially filled windows becomes
-least, and a level array holds these counts. A task packs its own documents in reading order, and holds a bounded number of
-open windows; nothing is shuffled. When more would be open (documents of half a window and more find no partners), and when the
-documents end, the emptiest open windows are cut up to fill the fullest. The one window that stays partly filled at the end is
-cut at powers of two, where no padding is needed.
+least, and a level array holds these counts. A task packs its own documents in reading order, holds a bounded number of
+open windows, and hands on closed ones in batches of bounded bytes; nothing is shuffled. When more would be open (documents of
+half a window and more find no partners), and when the documents end, the emptiest open windows are cut up to fill the fullest.
+The one window that stays partly filled at the end is cut at powers of two, where no padding is needed.
 
 Defined results: null and empty texts are the end id alone; each repeated row is a document of its own; an empty
 table gives no piece. sequence_id is the number of the task and a number in it, so it is the same whenever the table
@@ -28,8 +28,8 @@ from tidewright.llm import _common as C
 WINDOW = 1024
 #: Windows that a task holds open at most.
 MOST_OPEN = 4096
-#: Rows of an output batch.
-_ROWS = 8192
+#: Rows of an output batch, and bytes of its ids (one piece, if a window has more), at most.
+_ROWS, _BYTES = 8192, 1 << 21
 
 
 class Tokenizer:
@@ -100,7 +100,7 @@ class Packer:
         for start in range(0, whole, self.window):
             self._emit([(row, start, ids[start : start + self.window])])
         if whole < len(ids):
-            self.place((row, whole, ids[whole:]))
+            self.place((row, whole, ids[whole:].copy() if whole else ids))  # a view would keep the whole document as long as its window is open
 
     def level(self, size: int) -> int:
         """The fill level to which a piece of this size goes; the fullest of equally good ones."""
@@ -187,6 +187,7 @@ def pack(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text",
     source = docs.select(key, text)
     longs = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     schema = T.StructType([source.schema[key], *(T.StructField(n, T.LongType()) for n in longs), T.StructField("ids", T.BinaryType())])
+    most = max(1, min(_ROWS, _BYTES // (4 * window)))
 
     def run(batches):
         from pyspark import TaskContext
@@ -200,8 +201,8 @@ def pack(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text",
         kind = None
 
         def batches_of(found):
-            for i in range(0, len(found), _ROWS):
-                rows = found[i : i + _ROWS]
+            for i in range(0, len(found), most):
+                rows = found[i : i + most]
                 parts = [ids.astype("<u4").tobytes() for _, _, ids, _, _ in rows]
                 cols = [[start for _, start, *_ in rows], [len(p) // 4 for p in parts], [zlib.crc32(p) for p in parts], [row[1] for row, *_ in rows], [first + s for *_, s, _ in rows], [o for *_, o in rows]]
                 yield pa.RecordBatch.from_arrays([pa.array([row[0] for row, *_ in rows], kind), *(pa.array(c, pa.int64()) for c in cols), pa.array(parts, pa.binary())], names=schema.names)
@@ -211,7 +212,7 @@ def pack(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text",
             for k, t in zip(b.column(key).to_pylist(), b.column(text), strict=True):
                 ids = np.concatenate([tokenizer.ids(t.as_py()), end])
                 packer.add((k, len(ids)), ids)
-                if len(packer.out) >= _ROWS:
+                if len(packer.out) >= most:
                     found, packer.out = packer.out, []
                     yield from batches_of(found)
         packer.finish()
