@@ -150,3 +150,24 @@ def test_compare_actual_predicted_of_missing_values_and_short_tables(spark, odd_
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{short_events}/events.parquet/*.parquet'")
     got = [tuple(r) for r in catalogue.QUERIES["compare_actual_predicted"](spark, short_events).collect()]
     assert got == con.sql(catalogue.ORACLE_SQL["compare_actual_predicted"]).fetchall() == [(None, None)]
+
+
+def test_compare_actual_predicted_of_missing_times_and_empty_tables(spark, tmp_path):
+    """Rows without a time are in no hour, whatever their type has beside them; without any row, the means are NULL."""
+    import duckdb
+
+    at = lambda h: dt.datetime(2024, 1, 1, 0, 10) + dt.timedelta(hours=h)
+    kinds = "event_id long, ts timestamp_ntz, event_type string, value double"
+    timeless = [(9001, None, "click", 3.0), (9002, None, "late", 3.0), (9003, None, "never", 4.0)]
+    timed = [(h, at(h), "click", h * 37 % 101 / 4 + 1) for h in range(HOURS)] + [(h, at(h), "late", h % 7 + 1.0) for h in range(12, HOURS)]
+    for name, rows in {"mixed": timed + timeless, "timeless": timeless, "empty": []}.items():
+        home = tmp_path / name
+        spark.createDataFrame(rows, kinds).coalesce(1).write.parquet(f"{home}/events.parquet")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW events AS SELECT * FROM '{home}/events.parquet/*.parquet'")
+        got = [tuple(r) for r in catalogue.QUERIES["compare_actual_predicted"](spark, str(home)).collect()]
+        assert got == con.sql(catalogue.ORACLE_SQL["compare_actual_predicted"]).fetchall(), name
+        assert (got == [(None, None)]) == (name != "mixed")
+        text = lambda rows: sorted(map(str, rows))
+        y = catalogue.QUERIES["resample_hourly_mean"](spark, str(home)).selectExpr("series_id", "unix_seconds(ts) AS ts", "y").collect()
+        assert text(map(tuple, y)) == text(con.sql(f"SELECT series_id, CAST(epoch(ts) AS BIGINT), y FROM ({catalogue.ORACLE_SQL['resample_hourly_mean']})").fetchall()), name

@@ -93,14 +93,16 @@ def resample(series: DataFrame, rule: str = "h", closed: str = "left", label: st
 def _spread(bins: DataFrame, step: int, ends: DataFrame | None) -> DataFrame:
     """bins with a row of NULL for each step between a bin and the next; with ends, from _a to _z for every series.
 
-    Each row stands for the steps up to the next one, so no spine is joined and the table is read once.
+    Each row stands for the steps up to the next one, so no spine is joined and the table is read once. Rows without a time are in no
+    bin; with ends, a series of nothing else has a row of NULL for every step.
     """
     one = F.make_dt_interval(secs=F.lit(step))
     start, end = F.col("ts"), F.coalesce(F.lead("ts").over(over_series()) - one, F.col("ts"))
     if ends is not None:
         bins = bins.crossJoin(F.broadcast(ends))  # one row
+        after = F.lead("ts").over(over_series())  # a missing time comes first
         start = F.when(F.lag("ts").over(over_series()).isNull(), F.col("_a")).otherwise(start)
-        end = F.coalesce(F.lead("ts").over(over_series()) - one, F.col("_z"))
+        end = F.when(F.col("ts").isNotNull() | after.isNull(), F.coalesce(after - one, F.col("_z")))
     steps = bins.withColumns({"_from": start, "_to": end})
     out = steps.withColumn("_t", F.explode(F.sequence("_from", "_to", one)))
     return out.select("series_id", F.col("_t").alias("ts"), F.when(F.col("_t") == F.col("ts"), F.col("y")).alias("y"))

@@ -554,9 +554,11 @@ kept AS (SELECT * FROM bt QUALIFY row_number() OVER (PARTITION BY series_id, ts
 
 
 def _backtest_rows(spark, sf_dir):
-    placed, n = B.placed_on_axis(filled(spark, sf_dir))
+    series = filled(spark, sf_dir)
+    empty = events(spark, sf_dir).filter(F.col("ts").isNotNull()).isEmpty()
+    placed, n = (with_pos(series), 0) if empty else B.placed_on_axis(series)
     cv = folds.TimeSeriesFold(24, 300, fold_stride=12)
-    return B.naive_rows(placed, cv.split(spark, max(n, 301)), 24)  # a table of up to 300 times has no row in the fold of 301
+    return B.naive_rows(placed, cv.split(spark, max(n, 301)), 24)  # a table of up to 300 times, or none, has no row in the fold of 301
 
 
 @query(f"{BASE}, {_BACK} SELECT series_id, ts, CAST(fold AS BIGINT) AS fold, CAST(pos AS BIGINT) AS pos, {q6('y')} AS y, {q6('pred')} AS pred FROM bt")
